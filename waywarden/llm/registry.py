@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from waywarden.llm import chat, sharding
+from waywarden.llm import chat, pii, sharding
 
 
 def queries():
     return {
+        "op2_pii_spans": pii.op2,
         "op6_chat_format": chat.op6,
         "op7_feistel_shards": sharding.op7,
     }
@@ -14,6 +15,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op2_pii_spans": pii.ORACLE,
         "op6_chat_format": chat.ORACLE,
         "op7_feistel_shards": sharding.ORACLE,
     }
