@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from waywarden.llm import chat, pii, sharding
+from waywarden.llm import chat, pii, quality, sharding
 
 
 def queries():
     return {
+        "op1_line_frequency": quality.op1,
         "op2_pii_spans": pii.op2,
         "op6_chat_format": chat.op6,
         "op7_feistel_shards": sharding.op7,
@@ -15,6 +16,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op1_line_frequency": quality.ORACLE,
         "op2_pii_spans": pii.ORACLE,
         "op6_chat_format": chat.ORACLE,
         "op7_feistel_shards": sharding.ORACLE,
