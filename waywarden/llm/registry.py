@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from waywarden.llm import chat, pii, quality, sharding
+from waywarden.llm import chat, mixing, pii, quality, sharding
 
 
 def queries():
     return {
         "op1_line_frequency": quality.op1,
         "op2_pii_spans": pii.op2,
+        "op5_entropy_mixing": mixing.op5,
         "op6_chat_format": chat.op6,
         "op7_feistel_shards": sharding.op7,
     }
