@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from waywarden.llm import chat, mixing, pii, quality, sharding
+from waywarden.llm import chat, mixing, packing, pii, quality, sharding, token_files
 
 
 def queries():
     return {
         "op1_line_frequency": quality.op1,
         "op2_pii_spans": pii.op2,
+        "op4_arrow_tokens": token_files.op4,
         "op5_entropy_mixing": mixing.op5,
         "op6_chat_format": chat.op6,
         "op7_feistel_shards": sharding.op7,
+        "op9_online_packing": packing.op9,
     }
 
 
