@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waywarden.llm import chat, mixing, packing, pii, quality, sharding, token_files
+from waywarden.llm import chat, mixing, near_dup, packing, pii, quality, sharding, token_files
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op5_entropy_mixing": mixing.op5,
         "op6_chat_format": chat.op6,
         "op7_feistel_shards": sharding.op7,
+        "op8_bayes_near_dup": near_dup.op8,
         "op9_online_packing": packing.op9,
     }
 
