@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from waywarden.llm import chat, mixing, near_dup, packing, pii, quality, sharding, token_files
+from waywarden.llm import chat, hmm, mixing, near_dup, packing, pii, quality, sharding, token_files
 
 
 def queries():
     return {
         "op1_line_frequency": quality.op1,
         "op2_pii_spans": pii.op2,
+        "op3_hmm_score": hmm.op3,
         "op4_arrow_tokens": token_files.op4,
         "op5_entropy_mixing": mixing.op5,
         "op6_chat_format": chat.op6,
