@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waywarden.llm import chat, hmm, mixing, near_dup, packing, pii, quality, sharding, token_files
+from waywarden.llm import chat, hmm, media, mixing, near_dup, packing, pii, quality, sharding, token_files
 
 
 def queries():
@@ -16,6 +16,7 @@ def queries():
         "op7_feistel_shards": sharding.op7,
         "op8_bayes_near_dup": near_dup.op8,
         "op9_online_packing": packing.op9,
+        "op10_webp_media": media.op10,
     }
 
 
