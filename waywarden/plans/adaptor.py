@@ -15,8 +15,8 @@ COLUMNS = {
     "source": "'events'",
     "domain": "CASE WHEN event_type IN ('purchase', 'error') THEN 'vehicle' ELSE 'aircraft' END",
     "seq": "event_id",
-    "lat": "41.77 + (event_id * 37 % 900) / 10000.0",
-    "lon": "12.20 + (event_id * 91 % 1000) / 10000.0",
+    "lat": "CAST(41.77 AS DOUBLE) + CAST(event_id * 37 % 900 AS DOUBLE) / CAST(10000 AS DOUBLE)",
+    "lon": "CAST(12.2 AS DOUBLE) + CAST(event_id * 91 % 1000 AS DOUBLE) / CAST(10000 AS DOUBLE)",
     "asset_class": CLASS,
     "alt_baro_m": "event_id * 13 % 3000 + 0.5",
     "alt_geom_m": "CASE WHEN event_id % 11 > 0 THEN event_id * 13 % 3000 + event_id * 17 % 50 + 0.5 END",

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from waywarden.plans import judgement, motion
+
+MODULES = (motion, judgement)
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return motion.window_residuals(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
