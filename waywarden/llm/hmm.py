@@ -39,13 +39,13 @@ STEPS = 4
 OWN = 4096
 SHARED = 1024
 SEGMENT = 64
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 FOLD, HELD_OUT = 7, 2
 SMOOTH = 0.1
 #: The end of a text; no word is empty.
 END = b""
 
-BLOCKS = "block long, words array<binary>, counts array<long>, tokens binary, doc_ids array<long>, lengths array<long>, held_out array<boolean>"
+BLOCKS = "block long, words array<binary>, counts array<long>, width int, tokens binary, doc_ids array<long>, lengths array<long>, held_out array<boolean>"
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -53,45 +53,66 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLD == HELD_OUT
 
 
+class _Block:
+    """Documents of a block: words in order of their first use, tokens as places among them."""
+
+    def __init__(self):
+        self.places: dict[bytes, int] = {END: 0}
+        self.tokens, self.docs, self.size = [], [], 0
+
+    def add(self, doc: int | None, text: str | None) -> None:
+        raw = text.encode("utf-8", "surrogatepass").lower() if text else b""
+        ws, places = raw.split(), self.places
+        for w in ws:
+            if w not in places:
+                places[w] = len(places)
+        at = np.fromiter(map(places.__getitem__, ws), np.uint32, len(ws))
+        self.tokens.append(np.append(at, np.uint32(0)))
+        self.docs.append(doc)
+        self.size += len(raw)
+
+    def row(self, number: int) -> pa.RecordBatch:
+        whole, out = np.concatenate(self.tokens), [held_out(d) for d in self.docs]
+        lengths = np.array(list(map(len, self.tokens)))
+        counts = np.bincount(whole[np.repeat(~np.array(out), lengths)], minlength=len(self.places))
+        width = 2 if len(self.places) <= 1 << 16 else 4
+        values = {
+            "block": [number],
+            "words": [list(self.places)],
+            "counts": [counts],
+            "width": [width],
+            "tokens": [whole.astype(f"<u{width}").tobytes()],
+            "doc_ids": [self.docs],
+            "lengths": [lengths],
+            "held_out": [out],
+        }
+        return pa.RecordBatch.from_arrays([pa.array(v, BLOCK_TYPES[c]) for c, v in values.items()], names=list(values))
+
+
+BLOCK_TYPES = {
+    "block": pa.int64(),
+    "words": pa.list_(pa.binary()),
+    "counts": pa.list_(pa.int64()),
+    "width": pa.int32(),
+    "tokens": pa.binary(),
+    "doc_ids": pa.list_(pa.int64()),
+    "lengths": pa.list_(pa.int64()),
+    "held_out": pa.list_(pa.bool_()),
+}
+
+
 def _blocks(batches):
-    task, number = TaskContext.get().partitionId(), 0
-
-    def finish(docs):
-        ids: dict[bytes, int] = {END: 0}
-        tokens, train = [], []
-        for doc, ws in docs:
-            for w in ws:
-                if w not in ids:
-                    ids[w] = len(ids)
-            at = np.fromiter(map(ids.__getitem__, ws), np.int64, len(ws))
-            tokens.append(np.append(at, 0))
-            train.append(np.full(len(at) + 1, not held_out(doc)))
-        whole = np.concatenate(tokens)
-        counts = np.bincount(whole[np.concatenate(train)], minlength=len(ids))
-        dtype = "<u2" if len(ids) <= 1 << 16 else "<u4"
-        return pa.RecordBatch.from_pydict(
-            {
-                "block": pa.array([(task << 32) | number], pa.int64()),
-                "words": pa.array([list(ids)], pa.list_(pa.binary())),
-                "counts": pa.array([counts], pa.list_(pa.int64())),
-                "tokens": pa.array([whole.astype(dtype).tobytes()], pa.binary()),
-                "doc_ids": pa.array([[d for d, _ in docs]], pa.list_(pa.int64())),
-                "lengths": pa.array([list(map(len, tokens))], pa.list_(pa.int64())),
-                "held_out": pa.array([[held_out(d) for d, _ in docs]], pa.list_(pa.bool_())),
-            }
-        )
-
-    docs, size = [], 0
+    number, block = TaskContext.get().partitionId() << 32, _Block()
     for b in batches:
-        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            raw = text.encode("utf-8", "surrogatepass").lower() if text else b""
-            docs.append((doc, raw.split()))
-            size += len(raw)
-            if size >= BLOCK_BYTES:
-                yield finish(docs)
-                number, docs, size = number + 1, [], 0
-    if docs:
-        yield finish(docs)
+        for at in range(0, len(b), 64):
+            part = b.slice(at, 64)
+            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                block.add(doc, text)
+                if block.size >= BLOCK_BYTES:
+                    yield block.row(number)
+                    number, block = number + 1, _Block()
+    if block.docs:
+        yield block.row(number)
 
 
 @dataclass
@@ -119,7 +140,11 @@ def first_model(own: list[bytes], class_counts: np.ndarray, states: int = STATES
 
 
 class _Segments:
-    """A block's documents cut into segments of up to SEGMENT tokens, longest first, with the chain of each document."""
+    """A block's documents cut into segments of up to SEGMENT tokens, longest first, with the chain of each document.
+
+    Arrays have the states first and the segments last, so that each step works
+    on long rows.
+    """
 
     def __init__(self, cls: np.ndarray, lengths: np.ndarray):
         docs = len(lengths)
@@ -129,10 +154,11 @@ class _Segments:
         start = np.repeat(np.cumsum(lengths) - lengths, per) + nth * SEGMENT
         size = np.minimum(SEGMENT, np.repeat(lengths, per) - nth * SEGMENT)
         order = np.argsort(-size, kind="stable")
-        self.cls, self.docs, self.doc, self.nth = cls, docs, doc[order], nth[order]
-        self.start, self.size = start[order], size[order]
-        #: alive[t]: how many segments have a token t
-        self.alive = np.searchsorted(-self.size, -np.arange(SEGMENT), side="left")
+        self.docs, self.doc, self.nth = docs, doc[order], nth[order]
+        start, size = start[order], size[order]
+        #: alive[t]: how many segments have a token t; steps[t]: the classes of those tokens
+        self.alive = [int(a) for a in np.searchsorted(-size, -np.arange(SEGMENT), side="left") if a]
+        self.steps = [cls[start[:a] + t] for t, a in enumerate(self.alive)]
         by_nth = np.argsort(self.nth, kind="stable")
         cuts = np.searchsorted(self.nth[by_nth], np.arange(int(per.max(initial=0)) + 1))
         self.rounds = [by_nth[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -143,94 +169,87 @@ class _Segments:
         A document's first token is emitted from the start distribution: its
         segment's matrix has the rows of no move for that token.
         """
-        k, n = len(m.start), len(self.start)
-        p, log = np.empty((n, k, k)), np.zeros(n)
-        for t in range(SEGMENT):
-            a = self.alive[t]
-            if not a:
-                break
-            e = m.emit[self.cls[self.start[:a] + t]]
+        k, n = len(m.start), len(self.doc)
+        emit, step = np.ascontiguousarray(m.emit.T), np.ascontiguousarray(m.move.T)
+        p, log = np.empty((k, k, n)), np.zeros(n)
+        for t, (a, cls) in enumerate(zip(self.alive, self.steps, strict=True)):
+            e = emit.take(cls, axis=1)
             if t == 0:
-                p[:] = m.move
-                p[self.nth == 0] = np.eye(k)
-                p *= e[:, None, :]
+                p[:] = m.move[:, :, None]
+                p[:, :, self.nth == 0] = np.eye(k)[:, :, None]
+                p *= e
             else:
-                p[:a] = (p[:a].reshape(-1, k) @ m.move).reshape(a, k, k)
-                p[:a] *= e[:, None, :]
+                now = np.matmul(step, p[:, :, :a])
+                now *= e
+                p[:, :, :a] = now
             if t % 8 == 7 or t == SEGMENT - 1:
-                s = p[:a].max(axis=(1, 2))
-                p[:a] /= s[:, None, None]
+                s = p[:, :, :a].max(axis=(0, 1))
+                p[:, :, :a] /= s
                 log[:a] += np.log(s)
         return p, log
 
     def forward(self, m: Model, p: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The state distribution before each segment, and each document's log likelihood."""
-        state, total = np.tile(m.start, (self.docs, 1)), np.zeros(self.docs)
-        before = np.empty((len(self.start), len(m.start)))
+        state, total = np.repeat(m.start[:, None], self.docs, axis=1), np.zeros(self.docs)
+        before = np.empty((len(m.start), len(self.doc)))
         for at in self.rounds:
             d = self.doc[at]
-            before[at] = state[d]
-            now = np.einsum("nk,nkl->nl", state[d], p[at])
-            s = now.sum(axis=1)
-            state[d] = now / s[:, None]
+            before[:, at] = state[:, d]
+            now = np.einsum("kn,kln->ln", state[:, d], p[:, :, at])
+            s = now.sum(axis=0)
+            state[:, d] = now / s
             total[d] += np.log(s) + log[at]
         return before, total
 
     def expect(self, m: Model, counts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
         """Adds the expected starts, moves and emissions; returns the log likelihood."""
-        k, n = len(m.start), len(self.start)
+        k, n = len(m.start), len(self.doc)
+        emit, step = np.ascontiguousarray(m.emit.T), np.ascontiguousarray(m.move.T)
         p, log = self.transfer(m)
         before, total = self.forward(m, p, log)
-        behind, state = np.empty((n, k)), np.ones((self.docs, k))
+        behind, state = np.empty((k, n)), np.ones((k, self.docs))
         for at in reversed(self.rounds):
             d = self.doc[at]
-            behind[at] = state[d]
-            now = np.einsum("nkl,nl->nk", p[at], state[d])
-            state[d] = now / now.max(axis=1)[:, None]
+            behind[:, at] = state[:, d]
+            now = np.einsum("kln,ln->kn", p[:, :, at], state[:, d])
+            state[:, d] = now / now.max(axis=0)
         starts, moves, emits = counts
-        alphas, first = [], self.nth == 0
-        alpha = before
-        for t in range(SEGMENT):
-            a = self.alive[t]
-            if not a:
-                break
-            ahead = alpha[:a] @ m.move
+        first = self.nth == 0
+        alphas, emitted, alpha = [], [], before
+        for t, (a, cls) in enumerate(zip(self.alive, self.steps, strict=True)):
+            alpha = step @ alpha[:, :a]
             if t == 0:
-                ahead[first] = m.start
-            alpha = ahead * m.emit[self.cls[self.start[:a] + t]]
-            alpha /= alpha.sum(axis=1)[:, None]
+                alpha[:, first] = m.start[:, None]
+            emitted.append(emit.take(cls, axis=1))
+            alpha *= emitted[-1]
+            alpha /= alpha.sum(axis=0)
             alphas.append(alpha)
-        beta = behind.copy()
+        beta = behind
         for t in range(len(alphas) - 1, -1, -1):
-            a = self.alive[t]
-            at = self.cls[self.start[:a] + t]
-            gamma = alphas[t] * beta[:a]
-            gamma /= gamma.sum(axis=1)[:, None]
+            a, cls = self.alive[t], self.steps[t]
+            gamma = alphas[t] * beta[:, :a]
+            gamma /= gamma.sum(axis=0)
             for j in range(k):
-                emits[:, j] += np.bincount(at, weights=gamma[:, j], minlength=len(emits))
-            out = m.emit[at] * beta[:a]
-            prior = alphas[t - 1][:a] if t else before
+                emits[:, j] += np.bincount(cls, weights=gamma[j], minlength=len(emits))
+            out = emitted[t] * beta[:, :a]
+            back = m.move @ out
+            prior, flow, meet = (alphas[t - 1][:, :a] if t else before), out, back
             if t == 0:
-                starts += gamma[first].sum(axis=0)
-                inner = ~first
-                prior, flow = prior[inner], out[inner]
-            else:
-                flow = out
-            weight = ((prior @ m.move) * flow).sum(axis=1)
-            moves += (prior / weight[:, None]).T @ flow * m.move
-            back = out @ m.move.T
-            beta[:a] = back / back.max(axis=1)[:, None]
+                starts += gamma[:, first].sum(axis=1)
+                prior, flow, meet = prior[:, ~first], out[:, ~first], back[:, ~first]
+            moves += (prior / (prior * meet).sum(axis=0)) @ flow.T * m.move
+            back /= back.max(axis=0)
+            beta[:, :a] = back
         return float(total.sum())
 
 
-def _rows(batch):
-    """A batch's blocks, one at a time."""
-    for i in range(len(batch)):
-        yield batch.slice(i, 1).to_pylist()[0]
+def _numpy(batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
+    """A row's list as an array."""
+    return batch.column(column).slice(i, 1).flatten().to_numpy(zero_copy_only=False)
 
 
-def _tokens(row: dict) -> np.ndarray:
-    return np.frombuffer(row["tokens"], "<u2" if len(row["words"]) <= 1 << 16 else "<u4").astype(np.int64)
+def _tokens(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    return np.frombuffer(batch.column("tokens")[i].as_buffer(), "<u2" if batch.column("width")[i].as_py() == 2 else "<u4")
 
 
 def _expect(model: Model):
@@ -239,9 +258,9 @@ def _expect(model: Model):
         counts = np.zeros(k), np.zeros((k, k)), np.zeros((c, k))
         likelihood, seen = 0.0, 0
         for b in batches:
-            for row in _rows(b):
-                lengths, keep = np.array(row["lengths"]), ~np.array(row["held_out"], bool)
-                cls = model.classes(row["words"])[_tokens(row)[np.repeat(keep, lengths)]]
+            for i in range(len(b)):
+                lengths, keep = _numpy(b, "lengths", i), ~_numpy(b, "held_out", i)
+                cls = model.classes(b.column("words").slice(i, 1).flatten().to_pylist())[_tokens(b, i)[np.repeat(keep, lengths)]]
                 if len(cls):
                     likelihood += _Segments(cls, lengths[keep]).expect(model, counts)
                     seen += len(cls)
@@ -262,7 +281,7 @@ def baum_welch(blocks: DataFrame, model: Model, steps: int = STEPS) -> tuple[Mod
     c, k = model.emit.shape
     trace = []
     for _ in range(steps):
-        part = blocks.select("words", "tokens", "lengths", "held_out").mapInArrow(_expect(model), "at long, value double")
+        part = blocks.select("words", "width", "tokens", "lengths", "held_out").mapInArrow(_expect(model), "at long, value double")
         sums = part.groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,10)")).cast("double").alias("value")).toPandas()
         flat = np.zeros(2 + k + k * k + c * k)
         flat[sums["at"].to_numpy()] = sums["value"].to_numpy()
@@ -285,12 +304,12 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score
 def _score(model: Model, total: int, distinct: int, class_count: np.ndarray, class_words: np.ndarray):
     def run(batches):
         for b in batches:
-            for row in _rows(b):
-                known = np.zeros(len(row["words"]), np.int64)
-                for x in row["known"] or ():
-                    known[x["pos"]] = x["c"]
-                cls = model.classes(row["words"])
-                tokens, lengths = _tokens(row), np.array(row["lengths"])
+            for i in range(len(b)):
+                # every word of the block has a row, whether the corpus knows it or not
+                at, c, of = (b.column("known").slice(i, 1).flatten().field(f).to_numpy() for f in ("pos", "c", "cls"))
+                known, cls = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+                known[at], cls[at] = c, of
+                tokens, lengths = _tokens(b, i), _numpy(b, "lengths", i)
                 base = np.log10((known + 1) / (total + distinct + 1))
                 # within a class; a word with a class of its own is certain there
                 inner = np.where(cls < len(model.own), 0.0, np.log10((known + 1) / (class_count[cls] + class_words[cls] + 1)))
@@ -300,8 +319,8 @@ def _score(model: Model, total: int, distinct: int, class_count: np.ndarray, cla
                 by_doc = lambda v: np.add.reduceat(v[tokens], ends - lengths)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row["doc_ids"], pa.int64()),
-                        pa.array(row["held_out"], pa.bool_()),
+                        b.column("doc_ids").slice(i, 1).flatten(),
+                        b.column("held_out").slice(i, 1).flatten(),
                         pa.array(lengths),
                         pa.array(by_doc((known > 0).astype(np.int64))),
                         pa.array(by_doc(base)),
@@ -322,22 +341,25 @@ def score(df: DataFrame, states: int = STATES, steps: int = STEPS) -> tuple[Data
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = written(rows.mapInArrow(_blocks, BLOCKS), "blocks")
     spread = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "x")).select("block", "pos", F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
-    vocab = written(spread.groupBy("word").agg(F.sum("c").alias("c")).filter("c > 0"), "vocab")
-    size = vocab.agg(F.sum("c").alias("n"), F.count("*").alias("v")).head()
+    counted = written(spread.groupBy("word").agg(F.sum("c").alias("c")).filter("c > 0"), "counts")
+    size = counted.agg(F.sum("c").alias("n"), F.count("*").alias("v")).head()
     total, distinct = size["n"] or 0, size["v"]
     # OWN rows at most come to the driver, then one row for each shared class
-    frequent = {bytes(r["word"]): r["c"] for r in vocab.orderBy(F.desc("c"), "word").limit(OWN).collect()}
+    frequent = {bytes(r["word"]): r["c"] for r in counted.orderBy(F.desc("c"), "word").limit(OWN).collect()}
     own = sorted(frequent)
-    rest = vocab.filter(~F.col("word").isin(own)) if own else vocab
-    per = rest.groupBy((F.crc32("word") % SHARED).cast("int").alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
+    places = F.broadcast(df.sparkSession.createDataFrame([(bytearray(w), i) for i, w in enumerate(own)], "word binary, place int"))
+    shared = (len(own) + F.crc32("word") % SHARED).cast("int")
+    vocab = counted.join(places, "word", "left").select("word", "c", F.coalesce("place", shared).alias("cls"))
+    per = vocab.filter(F.col("cls") >= len(own)).groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
     class_count, class_words = np.zeros(len(own) + SHARED), np.zeros(len(own) + SHARED)
     for r in per:
-        class_count[len(own) + r["k"]], class_words[len(own) + r["k"]] = r["c"], r["n"]
+        class_count[r["cls"]], class_words[r["cls"]] = r["c"], r["n"]
     counts = class_count.copy()
     counts[: len(own)] = [frequent[w] for w in own]
     model, trace = baum_welch(blocks, first_model(own, counts, states), steps)
-    known = spread.select("block", "pos", "word").join(vocab, "word").groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("known"))
-    out = blocks.drop("counts").join(known, "block", "left").mapInArrow(_score(model, total, distinct, class_count, class_words), SCORES)
+    found = spread.select("block", "pos", "word").join(vocab, "word", "left").select("block", "pos", F.coalesce("c", F.lit(0).cast("long")).alias("c"), F.coalesce("cls", shared).alias("cls"))
+    known = found.groupBy("block").agg(F.collect_list(F.struct("pos", "c", "cls")).alias("known"))
+    out = blocks.drop("counts", "words").join(known, "block").mapInArrow(_score(model, total, distinct, class_count, class_words), SCORES)
     return out.withColumn("train_tokens", F.lit(total).cast("long")), model, trace
 
 
