@@ -25,7 +25,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waywarden.llm.common import documents, written
@@ -35,7 +35,9 @@ ROWS = 5
 BATCH = 20
 MISS = 1e-6
 #: Rounds of leaders before the rest is finished; each takes another leader.
-LEADER_ROUNDS = 4
+LEADER_ROUNDS = 3
+#: Documents on each side of a tile of the finish.
+TILE = 256
 WORD_MEMORY = 400_000
 
 
@@ -203,13 +205,124 @@ def link(pairs: DataFrame, signed: DataFrame, texts: DataFrame, rule: Rule) -> D
     with_sig = pairs.join(sig.withColumnsRenamed({"id": "b", "sig": "sig_b"}), "b").join(sig.withColumnsRenamed({"id": "a", "sig": "sig_a"}), "a")
     alive = written(with_sig.select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(rule), "a long, b long"), "alive")
     ids = alive.select(F.col("a").alias("id")).union(alive.select("b")).distinct()
-    text = texts.join(ids, texts["doc_id"] == ids["id"], "left_semi").select("doc_id", "text")
+    text = texts.join(ids, texts["doc_id"] == ids["id"], "left_semi")
     # the leader's text comes last: its rows are then neighbours and its set is made once
     with_b = alive.join(text.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
     both = with_b.join(text.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")
     return written(both.mapInArrow(_verify(rule), "a long, b long"), "links")
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components."""
+    split = members.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("bucket")
+    return members.join(split, "bucket")
+
+
+def _spread(rule: Rule):
+    def run(batches):
+        hasher = _Hasher(rule)
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.slice(at, 256)
+                sets = [hasher.sets(t.encode("utf-8", "surrogatepass").lower().split()) for t in part.column("text").to_pylist()]
+                times = np.array([len(x) for x in sets])
+                ids, comps = (np.repeat(part.column(c).to_numpy(), times) for c in ("id", "c"))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(comps), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "c", "h"])
+
+    return run
+
+
+def reachable(members: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """members (bucket, id, n, c) that can have a link to another component, with s, the shingles they share with any.
+
+    What a document has in common with one of another component is at most s,
+    so with the smallest set of its bucket as partner it has an upper bound of
+    similarity; below the limit it has no link there. Near copies that each
+    have enough of their own leave in this way without being compared.
+    """
+    ids = members.select("id", "c").distinct()
+    rows = texts.join(ids, texts["doc_id"] == ids["id"]).select("id", "c", "text").mapInArrow(_spread(rule), "id long, c long, h long")
+    of = Window.partitionBy("h")
+    common = rows.withColumns({"c0": F.min("c").over(of), "c1": F.max("c").over(of)}).filter("c0 <> c1")
+    counts = common.groupBy("id").agg(F.count("*").alias("s"))
+    least = members.groupBy("bucket").agg(F.min("n").alias("least"))
+    bound = f"100 * s >= {rule.percent} * (n + least - s) AND 100 * s >= {rule.percent} * n"
+    return members.join(counts, "id").join(least, "bucket").filter(bound).select("bucket", "id", "n", "c", "s")
+
+
+def _tile(rule: Rule):
+    least = least_matches(rule)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("outside", "descending"), ("id", "ascending")])
+        ids, n, c, s = (rows[x].to_numpy() for x in ("id", "n", "c", "s"))
+        outside = rows["outside"].to_numpy(zero_copy_only=False)
+        sigs = np.frombuffer(b"".join(rows["sig"].to_pylist()), "<u4").reshape(len(ids), -1)
+        texts, sets = rows["text"], {}
+        of = {x: x for x in c.tolist()}  # components of this tile that have met
+
+        def root(x):
+            while of[x] != x:
+                x = of[x]
+            return x
+
+        def shingle_set(i):
+            if i not in sets:
+                sets[i] = shingles(texts[i].as_py(), rule.words)
+            return sets[i]
+
+        found_a, found_b = [], []
+        for i in np.flatnonzero(outside).tolist():
+            low = np.minimum(s, s[i])
+            at = (c != c[i]) & (100 * np.minimum(n, n[i]) >= rule.percent * np.maximum(n, n[i])) & (100 * low >= rule.percent * (n + n[i] - low))
+            at[:i] &= ~outside[:i]  # a pair of two outside comes once
+            alive, matches = np.flatnonzero(at), 0
+            for k, most in enumerate(least):
+                part = slice(k * BATCH, (k + 1) * BATCH)
+                matches = matches + (sigs[alive, part] == sigs[i, part]).sum(axis=1)
+                stay = matches >= most
+                alive, matches = alive[stay], matches[stay]
+            for j in alive.tolist():
+                if root(c[i]) == root(c[j]):
+                    continue
+                one, two = shingle_set(i), shingle_set(j)
+                common = len(one & two)
+                if 100 * common >= rule.percent * (len(one) + len(two) - common):
+                    of[root(c[i])] = root(c[j])
+                    found_a.append(min(ids[i], ids[j]))
+                    found_b.append(max(ids[i], ids[j]))
+        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+    return run
+
+
+def finish(members: DataFrame, reps: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b), written, between members of different components that no leader has joined, none left out that could join two.
+
+    Buckets that share documents form groups. In each group the documents
+    outside its largest component meet all others, in tiles of TILE by TILE:
+    what moves is documents, once for each tile of theirs, never pairs. Inside
+    a tile the posterior prunes and the full sets decide.
+    """
+    star = members.join(members.groupBy("bucket").agg(F.min("id").alias("l")), "bucket").select(F.col("id").alias("a"), F.col("l").alias("b"))
+    groups = components(star).withColumnRenamed("component", "g")
+    m = members.select("id", "n", "c", "s").dropDuplicates(["id"]).join(groups, "id")
+    sizes = m.groupBy("g", "c").agg(F.count("*").alias("k"))
+    info = sizes.groupBy("g").agg(F.max(F.struct("k", "c")).alias("x"), F.sum("k").alias("all"))
+    tiles = lambda k: F.greatest(F.lit(1), F.ceil(k / TILE)).cast("int")
+    info = info.select("g", F.col("x.c").alias("top"), tiles(F.col("x.k")).alias("inner"), tiles(F.col("all") - F.col("x.k")).alias("outer"))
+    m = m.join(info, "g").withColumn("outside", F.col("c") != F.col("top"))
+    m = m.withColumn("at", F.pmod(F.xxhash64("id"), F.when(F.col("outside"), F.col("outer")).otherwise(F.col("inner"))).cast("int"))
+    key = lambda i, kind, j: F.struct(i.alias("i"), F.lit(kind).alias("kind"), j.alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    of_outside = F.concat(F.transform(upto("inner"), lambda j: key(F.col("at"), "in", j)), F.transform(upto("outer"), lambda j: key(F.least(F.col("at"), j), "out", F.greatest(F.col("at"), j))))
+    of_top = F.transform(upto("outer"), lambda i: key(i, "in", F.col("at")))
+    m = m.join(reps.select(F.col("doc_id").alias("id"), "sig"), "id").join(texts.withColumnRenamed("doc_id", "id"), "id")
+    dealt = m.withColumn("tile", F.explode(F.when(F.col("outside"), of_outside).otherwise(of_top)))
+    dealt = dealt.select("g", "tile", "id", F.col("n").cast("long").alias("n"), "c", "s", "outside", "sig", "text")
+    return written(dealt.groupBy("g", "tile").applyInArrow(_tile(rule), "a long, b long"), "links")
+
+
 def near_duplicates(df: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each id of df.
 
@@ -230,28 +343,38 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule()) -> DataFrame:
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
     members = written(rows.join(shared, "bucket"), "members")
 
-    comp, links, done = None, None, None
+    # whole texts move once, for members only; what comes after joins with these
+    ids = members.select("id").distinct()
+    texts = written(texts.hint("merge").join(ids, texts["doc_id"] == ids["id"], "left_semi"), "texts")
+    comp, links, done, left = None, None, None, members
     for turn in range(LEADER_ROUNDS + 1):
-        now = members if comp is None else members.join(comp.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+        now = members
         if comp is None:
             now = now.withColumn("c", F.col("id"))
-        if turn:
-            split = now.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("bucket")
-            now = written(now.join(split, "bucket"), "open")
+        else:
+            # only buckets that still hold several components, and of their members only those that can have a link to another
+            now = _open(left.join(comp.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id")))
+            if turn == 1:
+                # components only grow, so what is shared with others can only fall: the bound holds for all later turns
+                now = _open(reachable(written(now, "open"), texts, rule))
+            now = written(now, "open")
+            left = now.drop("c")
             if now.isEmpty():
                 break
+        if turn == LEADER_ROUNDS:
+            found = finish(now, reps, texts, rule)
+            links = found if links is None else links.unionByName(found)
+            comp = components(links)
+            break
         # another leader each turn: the smallest id first, then the smallest of a hash
         rank = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-        if turn < LEADER_ROUNDS:
-            leaders = now.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), F.col("id").alias("l"), F.col("n").alias("ln"), F.col("c").alias("lc"))).alias("x")).select("bucket", "x.l", "x.ln", "x.lc")
-            near = now.join(leaders, "bucket").filter("c <> lc")
-        else:
-            sizes = now.groupBy("bucket", "c").agg(F.count("*").alias("k"))
-            largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("x")).select("bucket", F.col("x.c").alias("top"))
-            outside = now.join(largest, "bucket").filter("c <> top").select("bucket", F.col("id").alias("l"), F.col("n").alias("ln"), F.col("c").alias("lc"))
-            near = now.join(outside, "bucket").filter("c <> lc")
-        fits = f"100 * least(n, ln) >= {rule.percent} * greatest(n, ln)"
-        pairs = near.filter(fits).select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")).distinct()
+        shared = F.lit(None).cast("long") if turn == 0 else F.col("s")
+        leaders = now.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), F.col("id").alias("l"), F.col("n").alias("ln"), F.col("c").alias("lc"), shared.alias("ls"))).alias("x"))
+        other = leaders.select("bucket", "x.l", "x.ln", "x.lc", "x.ls")
+        fits = f"c <> lc AND 100 * least(n, ln) >= {rule.percent} * greatest(n, ln)"
+        if turn:
+            fits += f" AND 100 * least(s, ls) >= {rule.percent} * (n + ln - least(s, ls))"
+        pairs = now.join(other, "bucket").filter(fits).select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
