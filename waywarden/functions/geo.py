@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # WGS84, a fixed value.
@@ -79,6 +79,33 @@ def utm(lat: str, lon: str) -> tuple[str, str]:
     return f"({FALSE_EAST} + {K0 * RADIUS!r} * ({east}))", f"({K0 * RADIUS!r} * ({north}))"
 
 
+def with_utm(df: DataFrame, lat: str, lon: str, x: str, y: str) -> DataFrame:
+    """df with utm() as two columns; each intermediate value is a column of its own, so code stays small."""
+    e, c = math.sqrt(E2), F.col
+    s = F.sin(F.radians(lat))
+    out = df.withColumns({"_s": s, "_dl": F.radians(c(lon) - ZONE_LON)})
+    out = out.withColumn("_t", F.sinh(F.atanh("_s") - e * F.atanh(e * c("_s"))))
+    out = out.withColumns({"_xi": F.atan2(c("_t"), F.cos("_dl")), "_eta": F.atanh(F.sin("_dl") / F.sqrt(1 + c("_t") * c("_t")))})
+    east, north = c("_eta"), c("_xi")
+    for j, a in enumerate(ALPHA, 1):
+        east = east + a * F.cos(2 * j * c("_xi")) * F.sinh(2 * j * c("_eta"))
+        north = north + a * F.sin(2 * j * c("_xi")) * F.cosh(2 * j * c("_eta"))
+    return out.withColumns({x: FALSE_EAST + K0 * RADIUS * east, y: K0 * RADIUS * north}).drop("_s", "_dl", "_t", "_xi", "_eta")
+
+
+def with_hex(df: DataFrame, x: str, y: str, side: float) -> DataFrame:
+    """df with hex_axial() as q and r, in steps."""
+    c = F.col
+    out = df.withColumns({"_fq": (math.sqrt(3) / 3 * c(x) - c(y) / 3.0) / side, "_fr": 2.0 / 3.0 * c(y) / side})
+    out = out.withColumn("_fs", -c("_fq") - c("_fr"))
+    out = out.withColumns({f"_r{v}": F.floor(c(f"_f{v}") + 0.5) for v in "qrs"})
+    out = out.withColumns({f"_d{v}": F.abs(c(f"_r{v}") - c(f"_f{v}")) for v in "qrs"})
+    q_worst = (c("_dq") > c("_dr")) & (c("_dq") > c("_ds"))
+    r_worst = ~q_worst & (c("_dr") > c("_ds"))
+    out = out.withColumns({"q": F.when(q_worst, -c("_rr") - c("_rs")).otherwise(c("_rq")).cast("long"), "r": F.when(r_worst, -c("_rq") - c("_rs")).otherwise(c("_rr")).cast("long")})
+    return out.drop("_fq", "_fr", "_fs", "_rq", "_rr", "_rs", "_dq", "_dr", "_ds")
+
+
 def from_utm(x: float, y: float) -> tuple[float, float]:
     """(lat, lon) of a metric position, for the driver's small tables."""
     xi, eta = y / (K0 * RADIUS), (x - FALSE_EAST) / (K0 * RADIUS)

@@ -14,10 +14,21 @@ from waywarden.params import APRON, REGIONAL, Fleet
 
 def cells(df: DataFrame, side: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """df with q, r and cell ('q:r') of the hexagon that holds each position in the metric grid; null without a position."""
-    x, y = geo.utm(lat, lon)
-    out = df.withColumns({"_x": F.expr(x), "_y": F.expr(y)})
-    q, r = geo.hex_axial("_x", "_y", side)
-    return out.withColumns({"q": F.expr(q), "r": F.expr(r)}).withColumn("cell", F.concat_ws(":", F.col("q").cast("string"), F.col("r").cast("string"))).withColumn("cell", F.when(F.col("q").isNotNull(), F.col("cell"))).drop("_x", "_y")
+    out = geo.with_hex(geo.with_utm(df, lat, lon, "_x", "_y"), "_x", "_y", side)
+    name = F.concat_ws(":", F.col("q").cast("string"), F.col("r").cast("string"))
+    placed = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    return out.withColumns({"cell": F.when(placed, name), "q": F.when(placed, F.col("q")), "r": F.when(placed, F.col("r"))}).drop("_x", "_y")
+
+
+def placed_cells(df: DataFrame, side: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """cells() of rows that have a position, and only those.
+
+    Columns that cannot be null keep the optimizer from pushing a null check,
+    and with it the whole projection, below every join on them.
+    """
+    out = geo.with_hex(geo.with_utm(df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()), lat, lon, "_x", "_y"), "_x", "_y", side).drop("_x", "_y")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in "qr"})
+    return out.withColumn("cell", F.concat_ws(":", F.col("q").cast("string"), F.col("r").cast("string")))
 
 
 def regional(points: DataFrame, profile: Fleet = REGIONAL) -> DataFrame:
@@ -31,7 +42,7 @@ def regional(points: DataFrame, profile: Fleet = REGIONAL) -> DataFrame:
     p = p.withColumn("nacp", F.last("nacp", ignorenulls=True).over(w.orderBy("t_us", "seq").rowsBetween(Window.unboundedPreceding, 0)))
     p = p.withColumn("_best", F.max("nacp").over(w)).filter((F.col("_best") >= params.DEGRADED_NACP_BELOW) & F.col("nacp").isNotNull())
     bin_us = round(profile.bin_s * params.US)
-    p = cells(p, profile.cell_m).withColumn("bin_start", F.expr(f"CAST(floor(t_us / {bin_us}.0D) AS BIGINT) * {profile.bin_s}"))
+    p = placed_cells(p, profile.cell_m).withColumn("bin_start", F.expr(f"CAST(floor(t_us / {bin_us}.0D) AS BIGINT) * {profile.bin_s}"))
     per = p.groupBy("cell", "bin_start", "asset_id").agg((F.avg((F.col("nacp") < params.DEGRADED_NACP_BELOW).cast("double")) > 0.5).cast("long").alias("bad"))
     out = per.groupBy("cell", "bin_start").agg(F.count("*").alias("n_tracks"), F.sum("bad").alias("n_degraded")).filter(F.col("n_tracks") >= profile.min_tracks)
     share = F.col("n_degraded") / F.col("n_tracks")
@@ -50,7 +61,7 @@ def presence(windows: DataFrame, profile: Fleet = APRON) -> DataFrame:
     w = Window.partitionBy(TRACK).orderBy("k")
     s = windows.dropDuplicates([TRACK, "k"]).withColumn("_next", F.lead("k").over(w))
     s = s.withColumn("_until", F.least(F.coalesce("_next", F.col("k") + n), F.col("k") + n))
-    s = cells(s.withColumn("degraded", F.coalesce("degraded", F.lit(False))), profile.cell_m, "aux_lat", "aux_lon").filter("cell IS NOT NULL")
+    s = placed_cells(s.withColumn("degraded", F.coalesce("degraded", F.lit(False))), profile.cell_m, "aux_lat", "aux_lon")
     at = F.explode(F.sequence("k", F.col("_until") - 1))
     return s.select(TRACK, at.alias("at"), "k", "cell", "q", "r", "degraded").select(TRACK, F.col("at").alias("k"), "cell", "q", "r", "degraded", (F.col("at") == F.col("k")).alias("own"))
 

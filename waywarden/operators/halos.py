@@ -63,8 +63,8 @@ def halo_polygons(live: DataFrame, side: float) -> DataFrame:
 def path(rows: DataFrame, horizon_s: float = params.HORIZON_S, stride_s: float = 5.0) -> DataFrame:
     """rows (aux_lat, aux_lon, aux_gs_mps, aux_track_deg) once for each step of their constant course: step_s, lat, lon. Slow or unknown ones have none."""
     ok = (F.col("aux_gs_mps") >= params.MOVING_MPS) & F.col("aux_track_deg").isNotNull() & F.col("aux_lat").isNotNull() & F.col("aux_lon").isNotNull()
-    steps = F.explode(F.sequence(F.lit(0), F.lit(round(horizon_s / stride_s))))
-    p = rows.filter(ok).withColumn("step_s", steps * stride_s)
+    steps = F.array(*[F.lit(i * stride_s) for i in range(round(horizon_s / stride_s) + 1)])
+    p = rows.filter(ok).withColumn("step_s", F.explode(steps))
     lat, lon = geo.offset("aux_lat", "aux_lon", "aux_track_deg", "(aux_gs_mps * step_s)")
     return p.withColumns({"lat": F.expr(lat), "lon": F.expr(lon)})
 

@@ -27,8 +27,7 @@ TAXI = ("taxiway", "apron", "stand", "holding_point")
 
 
 def metric(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    x, y = geo.utm(lat, lon)
-    return df.withColumns({"x": F.expr(x), "y": F.expr(y)})
+    return geo.with_utm(df, lat, lon, "x", "y")
 
 
 def tiled(polygons: DataFrame, margin: float = 0.0, tile: float = TILE_M) -> DataFrame:
@@ -39,12 +38,18 @@ def tiled(polygons: DataFrame, margin: float = 0.0, tile: float = TILE_M) -> Dat
     return out.withColumn("ty", F.explode(F.sequence(at(F.array_min(ys) - margin), at(F.array_max(ys) + margin))))
 
 
+def _tile_of(tile: float) -> dict[str, Column]:
+    """A position's tile; never null, so that no null check pulls the projection of x and y below the join."""
+    far = F.lit(-(1 << 40)).cast("long")
+    return {f"t{v}": F.coalesce(F.floor(F.col(v) / tile), far) for v in "xy"}
+
+
 def near_polygons(positions: DataFrame, polygons: DataFrame, within: float = 0.0, tile: float = TILE_M) -> DataFrame:
     """Pairs of positions (with x, y) and polygons at most `within` metres apart, and dist (0 inside).
 
     Catalyst joins on the tile; the polygons' side is broadcast only below Spark's size limit.
     """
-    p = positions.withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})
+    p = positions.withColumns(_tile_of(tile))
     pairs = p.join(tiled(polygons, within, tile), ["tx", "ty"]).drop("tx", "ty")
     if within == 0:
         return pairs.filter(geo.in_ring(F.col("x"), F.col("y"), F.col("ring"))).withColumn("dist", F.lit(0.0))
@@ -62,7 +67,7 @@ def nearest_edge(positions: DataFrame, routes: DataFrame, key: list[str], tile:
     e = e.withColumn("tx", F.explode(F.sequence(F.floor((F.col("xa") - tile) / tile), F.floor((F.col("xb") + tile) / tile))))
     e = e.withColumn("ty", F.explode(F.sequence(F.floor((F.col("ya") - tile) / tile), F.floor((F.col("yb") + tile) / tile))))
     d = geo.to_segment_m(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    p = positions.select(*key, "domain", "x", "y").withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})
+    p = positions.select(*key, "domain", "x", "y").withColumns(_tile_of(tile))
     first = p.join(e.drop("xa", "xb", "ya", "yb"), ["domain", "tx", "ty"], "left").groupBy(*key, "domain", "x", "y").agg(F.min(d).alias("route_m"))
     sure = F.col("route_m") <= tile
     rest = first.filter(~F.coalesce(sure, F.lit(False))).join(routes, "domain").groupBy(*key).agg(F.min(d).alias("route_m"))

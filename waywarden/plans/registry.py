@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from waywarden.plans import judgement, motion
+from waywarden.plans import area, judgement, motion
 
-MODULES = (motion, judgement)
+MODULES = (motion, judgement, area)
 
 
 def flagship(spark, sf_dir):
