@@ -60,10 +60,10 @@ def _exact(x: Column) -> Column:
 
 def solve(sizes: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
     """(source, source_size, target, mean, full, lam): the dual's solution."""
-    z = F.col("least") / F.col("mean")
-    ratio = F.col("target") / F.col("source_size")
+    z = F.try_divide("least", "mean")
+    ratio = F.try_divide("target", "source_size")
     state = (
-        goals.withColumn("mean", F.greatest(F.lit(1.0), F.col("source_size") / F.col("n_docs")))
+        goals.withColumn("mean", F.greatest(F.lit(1.0), F.try_divide("source_size", "n_docs")))
         .withColumn("full", F.coalesce(F.col("target") >= F.col("source_size") * most, F.lit(True)))
         .withColumn("lo", F.when(ratio < 1, F.log(ratio) / z).otherwise(F.lit(0.0)))
         .withColumn("hi", F.when(ratio > 1, F.lit(math.log(most)) / z).otherwise(F.lit(0.0)))

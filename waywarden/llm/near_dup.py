@@ -348,12 +348,14 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule()) -> DataFrame:
     texts = written(texts.hint("merge").join(ids, texts["doc_id"] == ids["id"], "left_semi"), "texts")
     comp, links, done, left = None, None, None, members
     for turn in range(LEADER_ROUNDS + 1):
-        now = members
-        if comp is None:
-            now = now.withColumn("c", F.col("id"))
+        if turn == 0:
+            now = members.withColumn("c", F.col("id"))
         else:
             # only buckets that still hold several components, and of their members only those that can have a link to another
-            now = _open(left.join(comp.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id")))
+            now = left.withColumn("c", F.col("id"))
+            if comp is not None:
+                now = left.join(comp.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+            now = _open(now)
             if turn == 1:
                 # components only grow, so what is shared with others can only fall: the bound holds for all later turns
                 now = _open(reachable(written(now, "open"), texts, rule))

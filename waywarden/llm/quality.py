@@ -121,15 +121,15 @@ def quality(df: DataFrame, host: str = "source", limit: int = MAX_LINE_DOCS) ->
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
-def _by_document(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+def _by_document(left: DataFrame, right: DataFrame, how: str, text_hash: str = "text_hash") -> DataFrame:
     right = right.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
-    return left.join(right, left["doc_id"].eqNullSafe(right["_doc"]) & (left["text_hash"] == right["_hash"]), how).drop("_doc", "_hash")
+    return left.join(right, left["doc_id"].eqNullSafe(right["_doc"]) & (left[text_hash] == right["_hash"]), how).drop("_doc", "_hash")
 
 
 def clean(df: DataFrame, host: str = "source") -> DataFrame:
     """The documents that are kept, without their lines above the limit; other columns as they were, n_chars after the text."""
     good = quality(df, host).filter("kept").select("doc_id", "text_hash", F.coalesce("lines", F.array().cast("array<bigint>")).alias("_lines")).dropDuplicates(["doc_id", "text_hash"])
-    out = _by_document(df.withColumn("text_hash", F.xxhash64("text")), good, "inner").drop("text_hash")
+    out = _by_document(df.withColumn("_own", F.xxhash64("text")), good, "inner", "_own").drop("_own")
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("_lines", F.xxhash64(normal_line(x)))), "\n")
     out = out.withColumn("text", F.when(F.size("_lines") == 0, F.col("text")).otherwise(left))
     if "n_chars" in df.columns:
