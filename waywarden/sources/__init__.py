@@ -1,0 +1 @@
+"""Where points and map layers come from."""
