@@ -51,19 +51,23 @@ def regional(points: DataFrame, profile: Fleet = REGIONAL) -> DataFrame:
 
 
 def presence(windows: DataFrame, profile: Fleet = APRON) -> DataFrame:
-    """(track_id, k, cell, q, r, degraded, own): the latest window of each track at each grid time, for at most bin_s.
+    """(area, track_id, k, cell, q, r, degraded, own): the latest window of each track at each grid time, for at most bin_s.
 
     A window (track_id, k, aux_lat, aux_lon, degraded) is carried to the grid
-    times before the track's next window; own marks the window itself.
+    times before the track's next window; own marks the window itself. Tracks
+    see each other inside an area (a scene or an airport); without the column
+    all windows are one.
     """
     stride = profile.timing.stride_s
     n = max(1, round(profile.bin_s / stride))
+    if "area" not in windows.columns:
+        windows = windows.withColumn("area", F.lit("all"))
     w = Window.partitionBy(TRACK).orderBy("k")
     s = windows.dropDuplicates([TRACK, "k"]).withColumn("_next", F.lead("k").over(w))
     s = s.withColumn("_until", F.least(F.coalesce("_next", F.col("k") + n), F.col("k") + n))
     s = placed_cells(s.withColumn("degraded", F.coalesce("degraded", F.lit(False))), profile.cell_m, "aux_lat", "aux_lon")
     at = F.explode(F.sequence("k", F.col("_until") - 1))
-    return s.select(TRACK, at.alias("at"), "k", "cell", "q", "r", "degraded").select(TRACK, F.col("at").alias("k"), "cell", "q", "r", "degraded", (F.col("at") == F.col("k")).alias("own"))
+    return s.select("area", TRACK, at.alias("at"), "k", "cell", "q", "r", "degraded").select("area", TRACK, F.col("at").alias("k"), "cell", "q", "r", "degraded", (F.col("at") == F.col("k")).alias("own"))
 
 
 def binomial_tail(n: Column, k: Column, p: Column) -> Column:
@@ -94,8 +98,8 @@ def flag(n: Column, bad: Column, base: Column, profile: Fleet = APRON) -> Column
 
 
 def cell_counts(state: DataFrame, profile: Fleet = APRON, baseline: DataFrame | None = None) -> DataFrame:
-    """(cell, q, r, k, n_tracks, n_degraded, share, baseline, p_value, flagged); baseline (cell, baseline) is floored."""
-    c = state.groupBy("cell", "q", "r", "k").agg(F.count("*").alias("n_tracks"), F.sum(F.col("degraded").cast("long")).alias("n_degraded"))
+    """(area, cell, q, r, k, n_tracks, n_degraded, share, baseline, p_value, flagged); baseline (cell, baseline) is floored."""
+    c = state.groupBy("area", "cell", "q", "r", "k").agg(F.count("*").alias("n_tracks"), F.sum(F.col("degraded").cast("long")).alias("n_degraded"))
     if baseline is not None:
         c = c.join(baseline.select("cell", F.col("baseline").alias("_b")), "cell", "left")
     else:
@@ -125,10 +129,10 @@ def fleet_features(windows: DataFrame, profile: Fleet = APRON, baseline: DataFra
     """
     state = presence(windows, profile)
     counts = cell_counts(state, profile, baseline)
-    sent = ring(counts, profile.ring, True).groupBy("nq", "nr", "k").agg(F.sum("n_tracks").alias("n_disk"), F.sum("n_degraded").alias("bad_disk"))
-    near = ring(counts.filter("flagged"), 1, False).groupBy("nq", "nr", "k").agg(F.count("*").alias("n_flagged"))
-    own = state.filter("own").join(counts.select("cell", "k", "n_tracks", "n_degraded", "baseline"), ["cell", "k"])
-    own = own.join(sent.withColumnsRenamed({"nq": "q", "nr": "r"}), ["q", "r", "k"]).join(near.withColumnsRenamed({"nq": "q", "nr": "r"}), ["q", "r", "k"], "left")
+    sent = ring(counts, profile.ring, True).groupBy("area", "nq", "nr", "k").agg(F.sum("n_tracks").alias("n_disk"), F.sum("n_degraded").alias("bad_disk"))
+    near = ring(counts.filter("flagged"), 1, False).groupBy("area", "nq", "nr", "k").agg(F.count("*").alias("n_flagged"))
+    own = state.filter("own").join(counts.select("area", "cell", "k", "n_tracks", "n_degraded", "baseline"), ["area", "cell", "k"])
+    own = own.join(sent.withColumnsRenamed({"nq": "q", "nr": "r"}), ["area", "q", "r", "k"]).join(near.withColumnsRenamed({"nq": "q", "nr": "r"}), ["area", "q", "r", "k"], "left")
     bad = F.col("degraded").cast("long")
     others, bad_others = F.col("n_disk") - 1, F.col("bad_disk") - bad
     return own.select(
@@ -190,15 +194,14 @@ class Alerts:
         return [(a, sorted(c), a in fresh) for a, (c, _) in sorted(now.items())]
 
 
-def area_alerts(counts: DataFrame, profile: Fleet = APRON, by: str | None = None) -> DataFrame:
-    """(area_alert_id, k, cells, share, n_tracks, n_degraded, flagged): one row for each alert at each grid time.
+def area_alerts(counts: DataFrame, profile: Fleet = APRON) -> DataFrame:
+    """(area, area_alert_id, k, cells, share, n_tracks, n_degraded, flagged): one row for each alert at each grid time.
 
-    Only flagged cells, few beside all, go through the fold in time; `by` is the
-    area or scene it runs in. Counts of an alert's cells are joined afterwards.
+    Only flagged cells, few beside all, go through the fold in time, which runs in
+    each area by itself. Counts of an alert's cells are joined afterwards.
     """
     stride, held = profile.timing.stride_s, max(1, -(-round(profile.bin_s) // max(1, round(profile.timing.stride_s))))
-    key = F.col(by) if by else F.lit("all")
-    flagged = counts.filter("flagged").groupBy(key.alias("area"), "k").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
+    flagged = counts.filter("flagged").groupBy("area", "k").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         alerts, rows = Alerts(profile.bin_s), []
@@ -210,16 +213,16 @@ def area_alerts(counts: DataFrame, profile: Fleet = APRON, by: str | None = None
 
     alerts = flagged.groupBy("area").applyInPandas(fold, "area string, area_alert_id string, k long, cells array<string>, flagged boolean")
     each = alerts.withColumn("cell", F.explode("cells")).select("area", "area_alert_id", "k", "cell")
-    sums = each.join(counts.select(key.alias("area"), "cell", "k", "n_tracks", "n_degraded"), ["area", "cell", "k"], "left").groupBy("area", "area_alert_id", "k").agg(F.coalesce(F.sum("n_tracks"), F.lit(0)).alias("n_tracks"), F.coalesce(F.sum("n_degraded"), F.lit(0)).alias("n_degraded"))
+    sums = each.join(counts.select("area", "cell", "k", "n_tracks", "n_degraded"), ["area", "cell", "k"], "left").groupBy("area", "area_alert_id", "k").agg(F.coalesce(F.sum("n_tracks"), F.lit(0)).alias("n_tracks"), F.coalesce(F.sum("n_degraded"), F.lit(0)).alias("n_degraded"))
     out = alerts.join(sums, ["area", "area_alert_id", "k"])
     return out.withColumn("share", F.coalesce(F.try_divide("n_degraded", "n_tracks"), F.lit(0.0)))
 
 
 def alert_members(windows: DataFrame, alerts: DataFrame, profile: Fleet = APRON) -> DataFrame:
     """(track_id, k, area_alert_id): windows that sit in an alert's cells at their time, the smallest id where several."""
-    own = presence(windows, profile).filter("own").select(TRACK, "k", "cell")
-    each = alerts.select("area_alert_id", "k", F.explode("cells").alias("cell"))
-    return own.join(each, ["cell", "k"]).groupBy(TRACK, "k").agg(F.min("area_alert_id").alias("area_alert_id"))
+    own = presence(windows, profile).filter("own").select("area", TRACK, "k", "cell")
+    each = alerts.select("area", "area_alert_id", "k", F.explode("cells").alias("cell"))
+    return own.join(each, ["area", "cell", "k"]).groupBy(TRACK, "k").agg(F.min("area_alert_id").alias("area_alert_id"))
 
 
 def outline(cell_ids: list[str], side: float) -> str:
