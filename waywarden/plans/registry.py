@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from waywarden.plans import area, judgement, motion
+from waywarden.plans import area, checks, judgement, motion
 
-MODULES = (motion, judgement, area)
+MODULES = (motion, judgement, area, checks)
 
 
 def flagship(spark, sf_dir):
