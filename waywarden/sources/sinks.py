@@ -17,7 +17,8 @@ def parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 
 def csv(df: DataFrame, path: str, digits: int = 6) -> None:
     """CSV with numbers to so many significant digits."""
-    out = df.select([F.format_string(f"%.{digits}g", c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    number = lambda c: F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}g", c)).alias(c)
+    out = df.select([number(c) if t == "double" else F.col(c) for c, t in df.dtypes])
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
