@@ -28,4 +28,5 @@ def oracle_sql():
         "op2_pii_spans": pii.ORACLE,
         "op6_chat_format": chat.ORACLE,
         "op7_feistel_shards": sharding.ORACLE,
+        "op8_bayes_near_dup": near_dup.ORACLE,
     }
