@@ -257,15 +257,28 @@ def approach_match(spark, d):
     return places.approach(p, runways(spark)).select("track_id", "seq", F.col("end").alias("runway_end"), F.round("lateral", 6).alias("lateral"), F.round("glide", 6).alias("glide"))
 
 
-@query("building_shadow", None)
+BLD = table("bd", "building_id, height, x1, y1, x2, y2", [(z[0], 10.0 + 7 * i, *a, *b) for i, z in enumerate(ZONES[:12]) for a, b in zip(ring_of(z[5] + 650, z[6] + 300, 120.0), ring_of(z[5] + 650, z[6] + 300, 120.0)[1:], strict=False)])
+
+
+@query("building_shadow", f"""WITH {PTS}, {XY}, {BLD}, sg AS (SELECT track_id, seq, building_id, height, x, y, (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 AS hit, {T01} AS u, x1, y1, x2, y2 FROM xy, bd),
+db AS (SELECT track_id, seq, building_id, any_value(height) AS height, CASE WHEN count(*) FILTER (hit) % 2 = 1 THEN 0 ELSE min(sqrt(pow(x - (x1 + u * (x2 - x1)), 2) + pow(y - (y1 + u * (y2 - y1)), 2))) END AS dist FROM sg GROUP BY ALL),
+el AS (SELECT track_id, seq, max(degrees(atan2(height, greatest(dist, 1)))) AS e FROM db WHERE dist <= 150 GROUP BY ALL)
+SELECT track_id, seq, CASE WHEN e >= 45 THEN 'static_elev45' WHEN e >= 30 THEN 'static_elev30' ELSE 'static_elev15' END AS risk_zone_id FROM el WHERE e >= 15""")
 def building_shadow(spark, d):
     return halos.static_halos(placed(spark, d), buildings(spark), ["track_id", "seq"])
 
 
-@query("dwell_timer", None)
+# the timer as a recursion over a track's fixes
+DWELL = f"""o AS (SELECT track_id, seq, t_us, floor(x / 2000) * 2000 AS x, floor(y / 2000) * 2000 AS y, domain = 'vehicle' AS ok, row_number() OVER (PARTITION BY track_id ORDER BY t_us, seq) AS i FROM xy),
+dw AS (SELECT track_id, seq, i, CASE WHEN ok THEN x END AS ax, CASE WHEN ok THEN y END AS ay, CASE WHEN ok THEN t_us END AS tt, CASE WHEN ok THEN CAST(0 AS DOUBLE) END AS d FROM o WHERE i = 1
+ UNION ALL SELECT track_id, seq, i, CASE WHEN NOT ok THEN NULL WHEN moved THEN x ELSE ax END, CASE WHEN NOT ok THEN NULL WHEN moved THEN y ELSE ay END, CASE WHEN NOT ok THEN NULL WHEN moved THEN t_us ELSE tt END, CASE WHEN NOT ok THEN NULL WHEN moved THEN CAST(0 AS DOUBLE) ELSE (t_us - tt) / 1e6 END
+ FROM (SELECT o.*, dw.ax, dw.ay, dw.tt, dw.ax IS NULL OR pow(o.x - dw.ax, 2) + pow(o.y - dw.ay, 2) > 100 AS moved FROM o JOIN dw ON dw.track_id = o.track_id AND o.i = dw.i + 1))"""
+
+
+@query("dwell_timer", f"WITH RECURSIVE {PTS}, {XY}, {DWELL} SELECT track_id, seq, round(d, 6) AS dwell_s FROM dw")
 def dwell_timer(spark, d):
     p = placed(spark, d).withColumns({"x": F.expr("floor(x / 2000) * 2000"), "y": F.expr("floor(y / 2000) * 2000"), "ok": F.col("domain") == "vehicle"})
-    return places.dwell(p.select("track_id", "seq", "t_us", "x", "y", "ok")).select("track_id", "seq", "dwell_s")
+    return places.dwell(p.select("track_id", "seq", "t_us", "x", "y", "ok")).select("track_id", "seq", F.round("dwell_s", 6).alias("dwell_s"))
 
 
 LAT2, LON2 = geo.offset("lat", "lon", "track_deg", "(gs_mps * s)")
@@ -277,11 +290,17 @@ def forecast_steps(spark, d):
     return halos.path(p).select("track_id", "seq", "step_s", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
 
 
-@query("forecast_entry", None)
+FC = f"""stp AS (SELECT seq AS track_id, lat, lon, track_deg, gs_mps, unnest(generate_series(0, 12)) * 5.0 AS s FROM pts WHERE gs_mps >= 1 AND track_deg IS NOT NULL), ps AS (SELECT track_id, s, {LAT2} AS lat, {LON2} AS lon FROM stp), xq AS (SELECT track_id, s, {X} AS x, {Y} AS y FROM ps),
+sg AS (SELECT track_id, s, zone_id, x, y, (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 AS hit, {T01} AS u, x1, y1, x2, y2 FROM xq, sd),
+dz AS (SELECT track_id, s, zone_id, CASE WHEN count(*) FILTER (hit) % 2 = 1 THEN 0 ELSE min(sqrt(pow(x - (x1 + u * (x2 - x1)), 2) + pow(y - (y1 + u * (y2 - y1)), 2))) END AS dist FROM sg GROUP BY ALL),
+en AS (SELECT track_id, zone_id, min(s) AS eta FROM dz WHERE dist <= 150 GROUP BY ALL HAVING min(s) > 0)"""
+
+
+@query("forecast_entry", f"WITH {PTS}, {ZT}, {SIDES}, {FC} SELECT track_id, arg_min(zone_id, struct_pack(a := eta, b := zone_id)) AS risk_zone_id, CAST(min(eta) AS DOUBLE) AS eta_s FROM en GROUP BY track_id")
 def forecast_entry(spark, d):
     rows = points(spark, d).select(F.col("seq").alias("track_id"), F.col("lat").alias("aux_lat"), F.col("lon").alias("aux_lon"), F.col("gs_mps").alias("aux_gs_mps"), F.col("track_deg").alias("aux_track_deg"))
     areas = zones(spark).select(F.col("zone_id").alias("risk_zone_id"), F.col("criticality").alias("level"), F.col("zone_name").alias("label"), "ring")
-    return halos.forecasts(rows, areas)
+    return halos.forecasts(rows, areas).select("track_id", "risk_zone_id", "eta_s")
 
 
 # ---------------------------------------------------------------- metrics and membership

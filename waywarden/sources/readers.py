@@ -51,7 +51,7 @@ def traces(spark: SparkSession, path: str, box: tuple[float, float, float, float
     return out
 
 
-def asset_tracks(raw: DataFrame, class_map: DataFrame, source: str = "adr_mock") -> DataFrame:
+def asset_tracks(raw: DataFrame, class_map: DataFrame, source: str = "tracker") -> DataFrame:
     """Vehicle and aircraft samples of an airport's tracker to points, and their side columns, in order of time per asset.
 
     class_map: adr_class, domain, asset_class, adr_group; unknown classes stop
