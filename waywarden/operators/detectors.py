@@ -305,3 +305,26 @@ def report(labelled: DataFrame) -> DataFrame:
     """Counts and shares of label pairs."""
     g = labelled.groupBy("signal_label", "behaviour_label").agg(F.count("*").alias("n"))
     return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("signal_label")))
+
+
+#: Which injected cause and mode each label should find.
+EQUIVALENT = {
+    "position_jump": ("technical_error", "jump"),
+    "frozen_position": ("technical_error", "freeze"),
+    "fix_loss": ("technical_error", "loss"),
+    "multipath_noise": ("degraded", None),
+    "gnss_drift": ("gnss_anomaly", None),
+}
+
+
+def synthetic_eval(labelled: DataFrame, events: DataFrame) -> DataFrame:
+    """(label, flagged, true, tp, precision, recall) of signal labels against what was injected; the mode comes from the event's parameters."""
+    modes = events.select(F.col("event_id").alias("label_event_id"), F.get_json_object("params_json", "$.mode").alias("mode"))
+    s = labelled.join(modes, "label_event_id", "left")
+    rows = []
+    for label, (cause, mode) in EQUIVALENT.items():
+        truth = (F.col("label_cause") == cause) & (F.lit(True) if mode is None else F.coalesce(F.col("mode") == mode, F.lit(False)))
+        rows.append(F.struct(F.lit(label).alias("label"), F.col(label).alias("flag"), truth.alias("truth")))
+    e = s.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    g = e.groupBy("label").agg(F.count_if("flag").alias("flagged"), F.count_if("truth").alias("true"), F.count_if(F.col("flag") & F.col("truth")).alias("tp"))
+    return g.withColumns({"precision": F.round(F.try_divide("tp", "flagged"), 4), "recall": F.round(F.try_divide("tp", "true"), 4)})

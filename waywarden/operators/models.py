@@ -34,8 +34,36 @@ def split_scenes(scenes: DataFrame, by: list[str], parts=params.SPLITS, seed: in
     return at.withColumn("part", part).drop("_u")
 
 
-def check_splits(split: DataFrame, known: DataFrame, scene: str = "scene_id") -> None:
-    """Raises where a scene has two parts, or known scenes and split ones differ."""
+def scene_strata(windows: DataFrame, scene: str = "scene_id") -> DataFrame:
+    """(scene_id, stratum): the kind of a scene (its id up to the first underscore) and its rarest cause, by scenes that have it."""
+    sc = windows.select(scene, "label_cause").distinct()
+    rank = sc.groupBy("label_cause").agg(F.count("*").alias("_n"))
+    kind = F.get(F.split(scene, "_"), F.lit(0))
+    return sc.join(rank, "label_cause").groupBy(scene).agg(F.min(F.struct("_n", "label_cause")).alias("r")).select(scene, F.concat_ws("|", kind, "r.label_cause").alias("stratum"))
+
+
+def splits_for(spark, windows: DataFrame, path: str, scene: str = "scene_id") -> DataFrame:
+    """The split kept at path, or a new one written there; one that lacks scenes is an error and never made anew."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        kept = spark.read.parquet(path)
+        lacking = windows.select(scene).distinct().join(kept, scene, "left_anti").limit(3).collect()
+        if lacking:
+            raise ValueError(f"the split at {path} lacks scenes, such as {lacking}; remove it on purpose to split anew")
+        return kept
+    made = split_scenes(scene_strata(windows, scene), ["stratum"], scene=scene)
+    made.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def check_splits(split: DataFrame, known: DataFrame, scene: str = "scene_id", causes: tuple[str, ...] = ()) -> None:
+    """Raises where a scene has two parts, known scenes and split ones differ, or a part lacks one of the causes."""
+    if causes:
+        have = known.join(split, scene).select("part", "label_cause").distinct().collect()
+        parts = {r["part"] for r in have}
+        without = [(p, c) for p in sorted(parts) for c in causes if (p, c) not in {(r["part"], r["label_cause"]) for r in have}]
+        if without:
+            raise ValueError(f"parts without a cause: {without}")
     twice = split.groupBy(scene).agg(F.count_distinct("part").alias("n")).filter("n > 1").limit(5).collect()
     lacking = known.select(scene).distinct().join(split, scene, "left_anti").limit(5).collect()
     extra = split.select(scene).distinct().join(known, scene, "left_anti").limit(5).collect()

@@ -27,11 +27,14 @@ def frames(verdicts: DataFrame, zones: DataFrame | None = None) -> DataFrame:
 
     verdicts: contract()'s rows. zones: (t, feature).
     """
-    v = verdicts.groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("track_id", "verdict"))), lambda x: x["verdict"]).alias("verdicts"))
+    options = {"ignoreNullFields": "true"}
+    v = verdicts.select("t", F.struct("track_id", F.to_json("verdict", options).alias("json")).alias("v")).groupBy("t").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    parts = [F.lit('{"t":'), F.col("t").cast("string"), F.lit(',"verdicts":['), F.array_join(F.transform("vs", lambda x: x["json"]), ","), F.lit("]")]
     if zones is not None:
-        z = zones.groupBy("t").agg(F.collect_list("feature").alias("features"))
-        v = v.join(z, "t", "left").withColumn("risk_zones", F.struct(F.lit("FeatureCollection").alias("type"), F.coalesce("features", F.array().cast(z.schema["features"].dataType)).alias("features"))).drop("features")
-    return v.select("t", F.to_json(F.struct(*[F.col(c) for c in v.columns]), {"ignoreNullFields": "true"}).alias("value"))
+        z = zones.groupBy("t").agg(F.sort_array(F.collect_list(F.to_json("feature", options))).alias("zs"))
+        v = v.join(z, "t", "left")
+        parts += [F.lit(',"risk_zones":{"type":"FeatureCollection","features":['), F.array_join(F.coalesce("zs", F.array().cast("array<string>")), ","), F.lit("]}")]
+    return v.select("t", F.concat(*parts, F.lit("}")).alias("value"))
 
 
 def replay(frames_: DataFrame, events: DataFrame | None, folder: str, source: str) -> dict:
