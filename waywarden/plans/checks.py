@@ -54,7 +54,7 @@ def null_profile(spark, d):
 
 @query("order_tracks", """WITH l AS (SELECT o_custkey, o_orderdate, l_orderkey, l_linenumber, l_quantity, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 g AS (SELECT *, date_diff('day', lag(l_shipdate) OVER w, l_shipdate) AS gap FROM l WINDOW w AS (PARTITION BY o_custkey ORDER BY l_shipdate, l_orderkey, l_linenumber))
-SELECT o_custkey, count(*) AS n, max(gap) AS gap_max, sum(CASE WHEN gap > 60 THEN 1 ELSE 0 END) + 1 AS segments, round(max(l_quantity), 6) AS quantity_max FROM g GROUP BY ALL""")
+SELECT o_custkey, count(*) AS n, max(gap) AS gap_max, CAST(sum(CASE WHEN gap > 60 THEN 1 ELSE 0 END) + 1 AS BIGINT) AS segments, round(max(l_quantity), 6) AS quantity_max FROM g GROUP BY ALL""")
 def order_tracks(spark, d):
     """The second adaptor: customers as tracks, ship dates as time."""
     o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey")

@@ -60,7 +60,7 @@ def limit_sql(f: str) -> str:
     return f"coalesce(least(1, greatest(0, ({f} - {x.tau}) / {x.scale})), 0)"
 
 
-@query("p999_threshold", f"WITH {MADE_SQL} SELECT aux_domain AS domain, 'kin_speed_resid_max' AS name, greatest(10, quantile_cont(kin_speed_resid_max, 0.999)) AS tau, 20.0 AS scale, count(*) AS n FROM made GROUP BY ALL UNION ALL SELECT aux_domain, 'tmp_gap_max_s', greatest(10, quantile_cont(tmp_gap_max_s, 0.999)), 20.0, count(tmp_gap_max_s) FROM made GROUP BY ALL")
+@query("p999_threshold", f"WITH {MADE_SQL} SELECT aux_domain AS domain, 'kin_speed_resid_max' AS name, greatest(10, quantile_cont(kin_speed_resid_max, 0.999)) AS tau, CAST(20 AS DOUBLE) AS scale, count(*) AS n FROM made GROUP BY ALL UNION ALL SELECT aux_domain, 'tmp_gap_max_s', greatest(10, quantile_cont(tmp_gap_max_s, 0.999)), CAST(20 AS DOUBLE), count(tmp_gap_max_s) FROM made GROUP BY ALL")
 def p999_threshold(spark, d):
     return scoring.fit_thresholds(made(spark, d), ["kin_speed_resid_max", "tmp_gap_max_s"]).select("domain", "name", "tau", "scale", "n")
 
@@ -174,7 +174,7 @@ def evidence_topk(spark, d):
 
 
 @query("evidence_sentences", f"""WITH {GIVEN}, v AS (SELECT *, {', '.join(f'{limit_sql(f)} AS v_{f}' for f in READS)} FROM qd)
-SELECT track_id, seq, 'tmp_frozen_frac' AS feature, format('{{:.0f}}', tmp_frozen_frac * 100) || '% of positions are frozen while the asset reports movement' AS text, tmp_frozen_frac AS value, 0.3 AS tau, 'ratio' AS unit FROM v WHERE trust <> 'trusted' AND v_tmp_frozen_frac > 0""")
+SELECT track_id, seq, 'tmp_frozen_frac' AS feature, format('{{:.0f}}', tmp_frozen_frac * 100) || '% of positions are frozen while the asset reports movement' AS text, tmp_frozen_frac AS value, CAST(0.3 AS DOUBLE) AS tau, 'ratio' AS unit FROM v WHERE trust <> 'trusted' AND v_tmp_frozen_frac > 0""")
 def evidence_sentences(spark, d):
     g = scoring.violations(given(spark, d)).withColumn("normality_state", F.lit("expected"))
     keep = [c for c in g.columns if c not in ("kin_speed_resid_max", "kin_accel_ratio_max", "tmp_gap_max_s")]

@@ -62,7 +62,7 @@ def drop_counts(spark, d):
     return segments.drop_counts(p, (41.77, 12.2, 41.84, 12.28))
 
 
-@query("validate_counts", f"""WITH {PTS} SELECT count(*) FILTER (lat IS NULL) AS missing, count(*) FILTER (n > 1) AS repeated_seq, count(*) FILTER (alt > 20000) AS altitude, 0 AS time
+@query("validate_counts", f"""WITH {PTS} SELECT count(*) FILTER (lat IS NULL) AS missing, count(*) FILTER (n > 1) AS repeated_seq, count(*) FILTER (alt > 20000) AS altitude, CAST(0 AS BIGINT) AS time
 FROM (SELECT CASE WHEN seq % 17 > 0 THEN lat END AS lat, alt_baro_m * 10 AS alt, count(*) OVER (PARTITION BY track_id, seq // 2) AS n FROM pts)""")
 def validate_counts(spark, d):
     p = points(spark, d).withColumns({"alt_baro_m": F.col("alt_baro_m") * 10, "alt_geom_m": F.lit(None).cast("double"), "lat": F.expr("CASE WHEN seq % 17 > 0 THEN lat END"), "seq": F.expr("seq div 2")})
