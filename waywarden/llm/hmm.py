@@ -39,13 +39,14 @@ STEPS = 4
 OWN = 4096
 SHARED = 1024
 SEGMENT = 64
+PART = 1 << 18
 BLOCK_BYTES = 8 << 20
 FOLD, HELD_OUT = 7, 2
 SMOOTH = 0.1
 #: The end of a text; no word is empty.
 END = b""
 
-BLOCKS = "block long, words array<binary>, counts array<long>, width int, tokens binary, doc_ids array<long>, lengths array<long>, held_out array<boolean>"
+BLOCKS = "block long, words array<binary>, counts array<long>, low binary, high binary, doc_ids array<long>, lengths array<long>, held_out array<boolean>"
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -75,13 +76,13 @@ class _Block:
         whole, out = np.concatenate(self.tokens), [held_out(d) for d in self.docs]
         lengths = np.array(list(map(len, self.tokens)))
         counts = np.bincount(whole[np.repeat(~np.array(out), lengths)], minlength=len(self.places))
-        width = 2 if len(self.places) <= 1 << 16 else 4
         values = {
             "block": [number],
             "words": [list(self.places)],
             "counts": [counts],
-            "width": [width],
-            "tokens": [whole.astype(f"<u{width}").tobytes()],
+            # in two planes: the upper one is nearly all zeros, as frequent words come first
+            "low": [(whole & 0xFFFF).astype("<u2").tobytes()],
+            "high": [(whole >> 16).astype("<u2").tobytes()],
             "doc_ids": [self.docs],
             "lengths": [lengths],
             "held_out": [out],
@@ -93,8 +94,8 @@ BLOCK_TYPES = {
     "block": pa.int64(),
     "words": pa.list_(pa.binary()),
     "counts": pa.list_(pa.int64()),
-    "width": pa.int32(),
-    "tokens": pa.binary(),
+    "low": pa.binary(),
+    "high": pa.binary(),
     "doc_ids": pa.list_(pa.int64()),
     "lengths": pa.list_(pa.int64()),
     "held_out": pa.list_(pa.bool_()),
@@ -249,7 +250,14 @@ def _numpy(batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
 
 
 def _tokens(batch: pa.RecordBatch, i: int) -> np.ndarray:
-    return np.frombuffer(batch.column("tokens")[i].as_buffer(), "<u2" if batch.column("width")[i].as_py() == 2 else "<u4")
+    low, high = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u2") for c in ("low", "high"))
+    return low.astype(np.uint32) | high.astype(np.uint32) << 16
+
+
+def _parts(lengths: np.ndarray) -> list[slice]:
+    """Ranges of documents with about PART tokens each, so that a block's recursions need little memory at a time."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // PART)) + 1
+    return [slice(a, b) for a, b in zip([0, *cuts], [*cuts, len(lengths)], strict=True) if b > a]
 
 
 def _expect(model: Model):
@@ -260,10 +268,14 @@ def _expect(model: Model):
         for b in batches:
             for i in range(len(b)):
                 lengths, keep = _numpy(b, "lengths", i), ~_numpy(b, "held_out", i)
-                cls = model.classes(b.column("words").slice(i, 1).flatten().to_pylist())[_tokens(b, i)[np.repeat(keep, lengths)]]
-                if len(cls):
-                    likelihood += _Segments(cls, lengths[keep]).expect(model, counts)
-                    seen += len(cls)
+                cls = model.classes(b.column("words").slice(i, 1).flatten().to_pylist()).astype(np.int32)
+                tokens, ends = _tokens(b, i), np.cumsum(lengths)
+                for part in _parts(lengths):
+                    mine, train = tokens[ends[part.start] - lengths[part.start] : ends[part.stop - 1]], keep[part]
+                    mine = cls[mine[np.repeat(train, lengths[part])]]
+                    if len(mine):
+                        likelihood += _Segments(mine, lengths[part][train]).expect(model, counts)
+                        seen += len(mine)
         if seen:
             flat = np.concatenate([[likelihood, seen], counts[0], counts[1].ravel(), counts[2].ravel()])
             used = np.flatnonzero(flat)
@@ -281,7 +293,7 @@ def baum_welch(blocks: DataFrame, model: Model, steps: int = STEPS) -> tuple[Mod
     c, k = model.emit.shape
     trace = []
     for _ in range(steps):
-        part = blocks.select("words", "width", "tokens", "lengths", "held_out").mapInArrow(_expect(model), "at long, value double")
+        part = blocks.select("words", "low", "high", "lengths", "held_out").mapInArrow(_expect(model), "at long, value double")
         sums = part.groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,10)")).cast("double").alias("value")).toPandas()
         flat = np.zeros(2 + k + k * k + c * k)
         flat[sums["at"].to_numpy()] = sums["value"].to_numpy()
@@ -313,9 +325,11 @@ def _score(model: Model, total: int, distinct: int, class_count: np.ndarray, cla
                 base = np.log10((known + 1) / (total + distinct + 1))
                 # within a class; a word with a class of its own is certain there
                 inner = np.where(cls < len(model.own), 0.0, np.log10((known + 1) / (class_count[cls] + class_words[cls] + 1)))
-                s = _Segments(cls[tokens], lengths)
-                _, log = s.forward(model, *s.transfer(model))
-                ends = np.cumsum(lengths)
+                ends, logs = np.cumsum(lengths), []
+                for part in _parts(lengths):
+                    s = _Segments(cls[tokens[ends[part.start] - lengths[part.start] : ends[part.stop - 1]]], lengths[part])
+                    logs.append(s.forward(model, *s.transfer(model))[1])
+                log = np.concatenate(logs)
                 by_doc = lambda v: np.add.reduceat(v[tokens], ends - lengths)
                 yield pa.RecordBatch.from_arrays(
                     [
