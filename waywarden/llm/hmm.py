@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waywarden.llm.common import documents, written
+from waywarden.llm.common import arrow_rows, documents, written
 
 STATES = 4
 STEPS = 4
@@ -353,7 +353,9 @@ def score(df: DataFrame, states: int = STATES, steps: int = STEPS) -> tuple[Data
     their own. With nothing to train on, all classes are as likely.
     """
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = written(rows.mapInArrow(_blocks, BLOCKS), "blocks")
+    spark = df.sparkSession
+    with arrow_rows(spark, 512):
+        blocks = written(rows.mapInArrow(_blocks, BLOCKS), "blocks")
     spread = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "x")).select("block", "pos", F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
     counted = written(spread.groupBy("word").agg(F.sum("c").alias("c")).filter("c > 0"), "counts")
     size = counted.agg(F.sum("c").alias("n"), F.count("*").alias("v")).head()
@@ -361,7 +363,7 @@ def score(df: DataFrame, states: int = STATES, steps: int = STEPS) -> tuple[Data
     # OWN rows at most come to the driver, then one row for each shared class
     frequent = {bytes(r["word"]): r["c"] for r in counted.orderBy(F.desc("c"), "word").limit(OWN).collect()}
     own = sorted(frequent)
-    places = F.broadcast(df.sparkSession.createDataFrame([(bytearray(w), i) for i, w in enumerate(own)], "word binary, place int"))
+    places = F.broadcast(spark.createDataFrame([(bytearray(w), i) for i, w in enumerate(own)], "word binary, place int"))
     shared = (len(own) + F.crc32("word") % SHARED).cast("int")
     vocab = counted.join(places, "word", "left").select("word", "c", F.coalesce("place", shared).alias("cls"))
     per = vocab.filter(F.col("cls") >= len(own)).groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
@@ -370,10 +372,12 @@ def score(df: DataFrame, states: int = STATES, steps: int = STEPS) -> tuple[Data
         class_count[r["cls"]], class_words[r["cls"]] = r["c"], r["n"]
     counts = class_count.copy()
     counts[: len(own)] = [frequent[w] for w in own]
-    model, trace = baum_welch(blocks, first_model(own, counts, states), steps)
+    with arrow_rows(spark, 1):  # a row is a block
+        model, trace = baum_welch(blocks, first_model(own, counts, states), steps)
     found = spread.select("block", "pos", "word").join(vocab, "word", "left").select("block", "pos", F.coalesce("c", F.lit(0).cast("long")).alias("c"), F.coalesce("cls", shared).alias("cls"))
     known = found.groupBy("block").agg(F.collect_list(F.struct("pos", "c", "cls")).alias("known"))
-    out = blocks.drop("counts", "words").join(known, "block").mapInArrow(_score(model, total, distinct, class_count, class_words), SCORES)
+    with arrow_rows(spark, 1):
+        out = written(blocks.drop("counts", "words").join(known, "block").mapInArrow(_score(model, total, distinct, class_count, class_words), SCORES), "scores")
     return out.withColumn("train_tokens", F.lit(total).cast("long")), model, trace
 
 
