@@ -54,6 +54,14 @@ def test_keep_first(spark):
     assert kept.columns == df.columns and sorted(r["text"] or "" for r in kept.collect()) == ["", "a b c d e f g", "other text of its own kind", "x y"]
 
 
+def test_an_id_with_several_texts_joins_their_groups(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(1, a), (1, a), (2, a), (3, a), (3, b), (4, b), (5, "else and other"), (6, None), (7, ""), (8, "x y z"), (8, "x y z w v u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(df, near_dup.Rule(3, 85)).collect()]
+    assert sorted(got) == [(1, 6, 1), (1, 6, 1), (2, 6, 1), (3, 6, 1), (3, 6, 1), (4, 6, 1), (5, 1, 5), (6, 0, 6), (7, 0, 7), (8, 1, 8), (8, 4, 8)]
+
+
 def test_empty(spark):
     assert near_dup.near_duplicates(table(spark, [])).count() == 0
 

@@ -306,7 +306,7 @@ def finish(members: DataFrame, reps: DataFrame, texts: DataFrame, rule: Rule) ->
     """
     star = members.join(members.groupBy("bucket").agg(F.min("id").alias("l")), "bucket").select(F.col("id").alias("a"), F.col("l").alias("b"))
     groups = components(star).withColumnRenamed("component", "g")
-    m = members.select("id", "n", "c", "s").dropDuplicates(["id"]).join(groups, "id")
+    m = members.select("id", "n", "c", "s").distinct().join(groups, "id")
     sizes = m.groupBy("g", "c").agg(F.count("*").alias("k"))
     info = sizes.groupBy("g").agg(F.max(F.struct("k", "c")).alias("x"), F.sum("k").alias("all"))
     tiles = lambda k: F.greatest(F.lit(1), F.ceil(k / TILE)).cast("int")
@@ -324,17 +324,20 @@ def finish(members: DataFrame, reps: DataFrame, texts: DataFrame, rule: Rule) ->
 
 
 def near_duplicates(df: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row for each id of df.
+    """(doc_id, n_shingles, component_id), one row for each row of df that has an id.
 
-    Null and empty texts have no shingles and are linked with nothing. Ids are
-    taken to be unique; rows that repeat an id count as its copies when equal,
-    and link it with both texts' partners when not. A null id is left out.
+    Null and empty texts have no shingles and are linked with nothing. Rows that
+    repeat an id have one component, what any of their texts is linked with;
+    each has its own text's size. A null id is left out.
     """
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     signed = written(texts.mapInArrow(_sign(rule), SIGNED), "signed")
     keyed = signed.filter("key IS NOT NULL")
     classes = written(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = written(keyed.join(classes, "key").filter("doc_id = rep").select("doc_id", "n_shingles", "sig").dropDuplicates(["doc_id"]), "reps")
+    reps = written(keyed.join(classes, "key").filter("doc_id = rep").select("doc_id", "n_shingles", "sig").distinct(), "reps")
+    # an id that comes with several texts joins what they belong to
+    several = keyed.groupBy("doc_id").agg(F.count_distinct("key").alias("n")).filter("n > 1").select("doc_id")
+    bound = written(keyed.join(several, "doc_id").join(classes, "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "bound")
 
     hexed = F.hex("sig")
     width = 8 * ROWS
@@ -346,7 +349,7 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule()) -> DataFrame:
     # whole texts move once, for members only; what comes after joins with these
     ids = members.select("id").distinct()
     texts = written(texts.hint("merge").join(ids, texts["doc_id"] == ids["id"], "left_semi"), "texts")
-    comp, links, done, left = None, None, None, members
+    comp, links, done, left = None, bound, None, members
     for turn in range(LEADER_ROUNDS + 1):
         if turn == 0:
             now = members.withColumn("c", F.col("id"))
@@ -365,7 +368,7 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule()) -> DataFrame:
                 break
         if turn == LEADER_ROUNDS:
             found = finish(now, reps, texts, rule)
-            links = found if links is None else links.unionByName(found)
+            links = links.unionByName(found)
             comp = components(links)
             break
         # another leader each turn: the smallest id first, then the smallest of a hash
@@ -384,18 +387,18 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule()) -> DataFrame:
             continue
         done = pairs if done is None else done.unionByName(pairs)
         found = link(pairs, reps, texts, rule)
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         comp = components(links)
 
-    of_rep = classes.select("key", "rep")
-    if comp is not None:
-        of_rep = of_rep.join(comp, of_rep["rep"] == comp["id"], "left").select("key", F.coalesce("component", "rep").alias("rep"))
+    if comp is None:
+        comp = components(links)
+    of_rep = classes.select("key", "rep").join(comp, F.col("rep") == comp["id"], "left").select("key", F.coalesce("component", "rep").alias("rep"))
     out = signed.select("doc_id", "n_shingles", "key").join(of_rep, "key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
 
 
 def keep_first(df: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The rows of df that are their component's smallest id, columns as they were; rows without an id stay."""
+    """The rows of df that are their component's smallest id, columns as they were; rows without an id stay, rows of one id stay together."""
     kept = near_duplicates(df, rule).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     good = df.join(kept, df["doc_id"] == kept["_kept"], "left_semi")
     return good.unionByName(df.filter("doc_id IS NULL"))
