@@ -10,14 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waywarden.llm import webp
+from waywarden.llm import webp, webp_batch
 from waywarden.llm.common import documents, written
 
 #: A payload is padded with zeros to a positive multiple of this.
 UNIT = 64
 #: Pixels in a row of an image that has no more rows than the format allows.
 ROW = UNIT // 4
-PART = 64
+#: Images coded side by side.
+PART = 8192
 
 STORED = "doc_id long, n_bytes long, payload_bytes long, media binary"
 PIXELS = "doc_id long, n_bytes long, width int, height int, pixels binary, media binary"
@@ -40,7 +41,7 @@ def _store(batches):
         for at in range(0, len(b), PART):
             raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in b.column("text").slice(at, PART).to_pylist()]
             payloads = [padded(r) for r in raw]
-            media = [webp.encode_plain(image_of(p)) for p in payloads]
+            media = webp_batch.encode_all([image_of(p) for p in payloads])
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").slice(at, PART), pa.array(map(len, raw), pa.int64()), pa.array(map(len, payloads), pa.int64()), pa.array(media, pa.binary())],
                 names=["doc_id", "n_bytes", "payload_bytes", "media"],
@@ -56,8 +57,7 @@ def _read(batches):
     for b in batches:
         for at in range(0, len(b), PART):
             part = b.slice(at, PART)
-            media = part.column("media").to_pylist()
-            images = [webp.decode(m) for m in media]
+            images = webp_batch.decode_all(part.column("media").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
@@ -90,8 +90,8 @@ def _digest(batches):
     for b in batches:
         for at in range(0, len(b), PART):
             part, rows = b.slice(at, PART), []
-            for n, media in zip(part.column("payload_bytes").to_pylist(), part.column("media").to_pylist(), strict=True):
-                image = webp.decode(media)
+            files = part.column("media").to_pylist()
+            for n, media, image in zip(part.column("payload_bytes").to_pylist(), files, webp_batch.decode_all(files), strict=True):
                 payload = image.tobytes()[:n]
                 rows.append((sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), sha256(media).hexdigest(), features(image)))
             made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]

@@ -4,7 +4,8 @@ decode() reads prefix codes (simple, normal, and several groups by tile),
 back-references, the colour cache, and inverts the predictor, cross-colour,
 subtract-green and palette transforms. Streams whose literals all have 8-bit
 codes and nothing else, as `encode_plain` writes them, are decoded as one
-array operation; all others pixel by pixel.
+array operation; all others pixel by pixel. Tables of images are written and
+read side by side in `webp_batch`.
 
 Pixels are uint8 arrays of (height, width, 4), in the order red, green, blue,
 alpha. Inside, a pixel is one integer, alpha << 24 | red << 16 | green << 8 | blue.
@@ -53,7 +54,7 @@ class _Bits:
     """Bits of a stream, the lowest of each byte first."""
 
     def __init__(self, data: bytes):
-        self.data, self.at = data, 0
+        self.data, self.at, self.end = data, 0, 8 * len(data)
         self.word, self.word_at, self.word_end = 0, 0, 0
 
     def peek(self, n: int) -> int:
@@ -103,7 +104,9 @@ class _Code:
         if self.table is None:
             self._build()
         symbol, n = self.table[bits.peek(self.bits)]
-        bits.read(n)
+        bits.at += n
+        if bits.at > bits.end:
+            raise BadImage("the stream ends too early")
         return symbol
 
 
