@@ -81,10 +81,10 @@ def normal_line(line: Column) -> Column:
 
 
 def line_rows(df: DataFrame, host: str) -> DataFrame:
-    """One row for each document and distinct normalised line: host, line hash, text hash, words of all its copies in the text."""
+    """One row for each line that has words, of each row of df: doc_id, host, text hash, the line's place, its hash and words."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), normal_line)
-    rows = df.select("doc_id", F.col(host).alias("host"), F.xxhash64("text").alias("text_hash"), F.explode(lines).alias("line")).filter("line != ''")
-    rows = rows.select("doc_id", "host", "text_hash", F.xxhash64("line").alias("line_hash"), (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("n"))
+    rows = df.select("doc_id", F.col(host).alias("host"), F.xxhash64("text").alias("text_hash"), F.posexplode(lines).alias("place", "line")).filter("line != ''")
+    rows = rows.select("doc_id", "host", "text_hash", "place", F.xxhash64("line").alias("line_hash"), (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("n"))
     return rows
 
 
@@ -96,14 +96,19 @@ def frequent_lines(lines: DataFrame, limit: int) -> DataFrame:
 
 
 def removed_lines(df: DataFrame, host: str = "source", limit: int = MAX_LINE_DOCS) -> DataFrame:
-    """(doc_id, text_hash, removed, lines): words in and hashes of the lines above the limit, for documents that lose any."""
+    """(doc_id, text_hash, removed, lines): words in and hashes of the lines above the limit, for documents that lose any.
+
+    A line counts once for its place in the text, however many rows repeat the document.
+    """
     lines = line_rows(df, host)
     salted = frequent_lines(lines, limit).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = lines.withColumn("salt", F.pmod(F.xxhash64("text_hash", "doc_id"), F.lit(SALTS)).cast("int"))
     same = [spread["host"].eqNullSafe(salted["host"]), spread["line_hash"] == salted["line_hash"], spread["salt"] == salted["salt"]]
     later = ~spread["doc_id"].eqNullSafe(salted["first_doc"])
-    hit = spread.join(salted, [*same, later]).select(spread["doc_id"], "text_hash", spread["line_hash"], "n")
-    return hit.groupBy("doc_id", "text_hash").agg(F.sum("n").alias("removed"), F.collect_set("line_hash").alias("lines"))
+    hit = spread.join(salted, [*same, later]).select(spread["doc_id"], "text_hash", F.struct("place", "n", spread["line_hash"]).alias("hit"))
+    once = hit.groupBy("doc_id", "text_hash").agg(F.collect_set("hit").alias("hits"))
+    removed = F.aggregate("hits", F.lit(0).cast("long"), lambda total, x: total + x["n"])
+    return once.select("doc_id", "text_hash", removed.alias("removed"), F.array_distinct("hits.line_hash").alias("lines"))
 
 
 def quality(df: DataFrame, host: str = "source", limit: int = MAX_LINE_DOCS) -> DataFrame:
