@@ -63,6 +63,8 @@ def text_figures(text: str | None) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, dup_lines, repeat
 
 
+#: What tells documents apart: rows that agree on all three are treated alike.
+DOCUMENT = ["host", "doc_id", "text_hash"]
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -71,8 +73,8 @@ def _figures(batches):
         rows = [text_figures(t) for t in batch.column("text").to_pylist()]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_hash"), *[pa.array(c, pa.int64()) for c in columns]],
-            names=["doc_id", "text_hash", *FIGURES],
+            [*map(batch.column, DOCUMENT), *[pa.array(c, pa.int64()) for c in columns]],
+            names=[*DOCUMENT, *FIGURES],
         )
 
 
@@ -81,7 +83,7 @@ def normal_line(line: Column) -> Column:
 
 
 def line_rows(df: DataFrame, host: str) -> DataFrame:
-    """One row for each line that has words, of each row of df: doc_id, host, text hash, the line's place, its hash and words."""
+    """One row for each line that has words, of each row of df, repeated lines too: doc_id, host, text hash, the line's place, its hash and words."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), normal_line)
     rows = df.select("doc_id", F.col(host).alias("host"), F.xxhash64("text").alias("text_hash"), F.posexplode(lines).alias("place", "line")).filter("line != ''")
     rows = rows.select("doc_id", "host", "text_hash", "place", F.xxhash64("line").alias("line_hash"), (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("n"))
@@ -96,29 +98,31 @@ def frequent_lines(lines: DataFrame, limit: int) -> DataFrame:
 
 
 def removed_lines(df: DataFrame, host: str = "source", limit: int = MAX_LINE_DOCS) -> DataFrame:
-    """(doc_id, text_hash, removed, lines): words in and hashes of the lines above the limit, for documents that lose any.
+    """(host, doc_id, text_hash, removed, lines): words in and hashes of the lines above the limit, for documents that lose any.
 
-    A line counts once for its place in the text, however many rows repeat the document.
+    A line counts once for its place in the text, however many rows repeat the
+    document; the same document under another host is judged by that host's lines.
     """
     lines = line_rows(df, host)
     salted = frequent_lines(lines, limit).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = lines.withColumn("salt", F.pmod(F.xxhash64("text_hash", "doc_id"), F.lit(SALTS)).cast("int"))
     same = [spread["host"].eqNullSafe(salted["host"]), spread["line_hash"] == salted["line_hash"], spread["salt"] == salted["salt"]]
     later = ~spread["doc_id"].eqNullSafe(salted["first_doc"])
-    hit = spread.join(salted, [*same, later]).select(spread["doc_id"], "text_hash", F.struct("place", "n", spread["line_hash"]).alias("hit"))
-    once = hit.groupBy("doc_id", "text_hash").agg(F.collect_set("hit").alias("hits"))
+    hit = spread.join(salted, [*same, later]).select(spread["host"], spread["doc_id"], "text_hash", F.struct("place", "n", spread["line_hash"]).alias("hit"))
+    once = hit.groupBy(*DOCUMENT).agg(F.collect_set("hit").alias("hits"))
     removed = F.aggregate("hits", F.lit(0).cast("long"), lambda total, x: total + x["n"])
-    return once.select("doc_id", "text_hash", removed.alias("removed"), F.array_distinct("hits.line_hash").alias("lines"))
+    return once.select(*DOCUMENT, removed.alias("removed"), F.array_distinct("hits.line_hash").alias("lines"))
 
 
 def quality(df: DataFrame, host: str = "source", limit: int = MAX_LINE_DOCS) -> DataFrame:
-    """(doc_id, text_hash, figures, removed, lines, base_failed, kept), one row for each row of df.
+    """(host, doc_id, text_hash, figures, removed, lines, base_failed, kept), one row for each row of df.
 
     Null texts are empty and fail. A null host is a host of its own. Rows that
-    repeat both id and text are treated alike; an empty table gives no rows.
+    repeat host, id and text are treated alike; an empty table gives no rows.
     """
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text", F.col(host).alias("host"))
-    figures = rows.select("doc_id", "text_hash", "text").mapInArrow(_figures, ", ".join(f"{c} long" for c in ["doc_id", "text_hash", *FIGURES]))
+    kind = rows.schema["host"].dataType.simpleString()
+    figures = rows.select(*DOCUMENT, "text").mapInArrow(_figures, f"host {kind}, " + ", ".join(f"{c} long" for c in [*DOCUMENT[1:], *FIGURES]))
     gone = removed_lines(rows, "host", limit)
     out = _by_document(figures, gone, "left").withColumn("removed", F.coalesce("removed", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -126,15 +130,18 @@ def quality(df: DataFrame, host: str = "source", limit: int = MAX_LINE_DOCS) ->
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
-def _by_document(left: DataFrame, right: DataFrame, how: str, text_hash: str = "text_hash") -> DataFrame:
-    right = right.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
-    return left.join(right, left["doc_id"].eqNullSafe(right["_doc"]) & (left[text_hash] == right["_hash"]), how).drop("_doc", "_hash")
+def _by_document(left: DataFrame, right: DataFrame, how: str, names: list[str] = DOCUMENT) -> DataFrame:
+    """left, whose columns `names` are DOCUMENT's, joined with right."""
+    right = right.withColumnsRenamed({c: f"_r_{c}" for c in DOCUMENT})
+    host, doc, text_hash = (left[n] for n in names)
+    on = host.eqNullSafe(right["_r_host"]) & doc.eqNullSafe(right["_r_doc_id"]) & (text_hash == right["_r_text_hash"])
+    return left.join(right, on, how).drop(*[f"_r_{c}" for c in DOCUMENT])
 
 
 def clean(df: DataFrame, host: str = "source") -> DataFrame:
     """The documents that are kept, without their lines above the limit; other columns as they were, n_chars after the text."""
-    good = quality(df, host).filter("kept").select("doc_id", "text_hash", F.coalesce("lines", F.array().cast("array<bigint>")).alias("_lines")).dropDuplicates(["doc_id", "text_hash"])
-    out = _by_document(df.withColumn("_own", F.xxhash64("text")), good, "inner", "_own").drop("_own")
+    good = quality(df, host).filter("kept").select(*DOCUMENT, F.coalesce("lines", F.array().cast("array<bigint>")).alias("_lines")).dropDuplicates(DOCUMENT)
+    out = _by_document(df.withColumn("_own", F.xxhash64("text")), good, "inner", [host, "doc_id", "_own"]).drop("_own")
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("_lines", F.xxhash64(normal_line(x)))), "\n")
     out = out.withColumn("text", F.when(F.size("_lines") == 0, F.col("text")).otherwise(left))
     if "n_chars" in df.columns:
@@ -143,23 +150,23 @@ def clean(df: DataFrame, host: str = "source") -> DataFrame:
 
 
 def op1(spark, sf_dir):
-    return quality(documents(spark, sf_dir)).drop("text_hash", "lines")
+    return quality(documents(spark, sf_dir)).drop("host", "text_hash", "lines")
 
 
 ORACLE = rf"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
-l AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-dup AS (SELECT doc_id, sum(n - 1) AS n_dup_lines FROM (SELECT doc_id, line, count(*) AS n FROM l GROUP BY ALL) GROUP BY doc_id),
-g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS tri FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
-r AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, tri) AS n FROM g) WHERE n > 1),
-rep AS (SELECT doc_id, count(DISTINCT pos) AS n_repeat_words FROM r GROUP BY doc_id),
-nl AS (SELECT l.doc_id, d.source, d.text, array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS line FROM l JOIN d USING (doc_id)),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+l AS (SELECT row, line FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT row, sum(n - 1) AS n_dup_lines FROM (SELECT row, line, count(*) AS n FROM l GROUP BY ALL) GROUP BY row),
+g AS (SELECT row, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS tri FROM (SELECT row, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT row, unnest([i, i + 1, i + 2]) AS pos FROM (SELECT *, count(*) OVER (PARTITION BY row, tri) AS n FROM g) WHERE n > 1),
+rep AS (SELECT row, count(DISTINCT pos) AS n_repeat_words FROM r GROUP BY row),
+nl AS (SELECT l.row, d.doc_id, d.source, d.text, array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS line FROM l JOIN d USING (row)),
 f AS (SELECT source, line, min(doc_id) AS first_doc FROM nl GROUP BY ALL HAVING count(DISTINCT text) > {MAX_LINE_DOCS}),
-gone AS (SELECT nl.doc_id, sum(len(string_split(nl.line, ' '))) AS removed FROM nl JOIN f ON nl.source IS NOT DISTINCT FROM f.source AND nl.line = f.line AND nl.doc_id <> f.first_doc GROUP BY 1),
+gone AS (SELECT nl.row, sum(len(string_split(nl.line, ' '))) AS removed FROM nl JOIN f ON nl.source IS NOT DISTINCT FROM f.source AND nl.line = f.line AND nl.doc_id IS DISTINCT FROM f.first_doc GROUP BY 1),
 x AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda s: length(s))), 0) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(removed, 0) AS BIGINT) AS removed
-  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))
+  FROM w LEFT JOIN dup USING (row) LEFT JOIN rep USING (row) LEFT JOIN gone USING (row))
 SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
   NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND 100 * (n_words - removed) >= {MIN_LEFT_PERCENT} * n_words AS kept FROM x"""
