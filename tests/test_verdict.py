@@ -77,12 +77,16 @@ def test_action_text_and_evidence(spark):
 
 def test_registry():
     assert len(registry.FEATURES) == 53 and len(registry.SCORED) == 36
+    HEAD = "name,unit,monotone,source,tau,scale,applies_to,template"
     with pytest.raises(registry.LeakageError):
         registry.assert_no_leakage(["kin_speed_resid_max", "label_cause"])
     with pytest.raises(ValueError):
-        registry.parse("kin_a|m|0|fixed|||all|")
+        registry.parse(f"{HEAD}\nkin_a,m,0,fixed,,,all,")
     with pytest.raises(ValueError):
-        registry.parse("kin_a|m|0|none|||all|{aux_unknown}")
+        registry.parse(f"{HEAD}\nkin_a,m,0,none,,,all,{{aux_unknown}}")
+    with pytest.raises(ValueError):
+        registry.parse(f"{HEAD}\nkin_a,m,0,none,,,all,\nkin_a,m,0,none,,,all,")
+    assert list(registry.parse(f"# remark\n{HEAD}\nkin_a,m,0,none,,,all,")) == ["kin_a"]
 
 
 def test_synthetic_scenes(spark):

@@ -74,7 +74,7 @@ CAUSES = ("plausible", "degraded", "technical_error", "gnss_anomaly", "possible_
 SOUND = ("plausible", "behavioral_anomaly")
 UNSOUND = tuple(c for c in CAUSES if c not in SOUND)
 
-#: class, domain, ground m/s, air m/s, acceleration m/s2, turn deg/s, turn radius m, vertical m/s, checked
+# Class, domain, ground m/s, air m/s, acceleration m/s2, turn deg/s, turn radius m, vertical m/s, checked
 ENVELOPES = [
     ("widebody", "aircraft", 15.0, 320.0, 4.0, 6.0, 35.0, 25.0, True),
     ("narrowbody", "aircraft", 15.0, 320.0, 4.0, 6.0, 20.0, 25.0, True),
@@ -93,6 +93,7 @@ ENVELOPES = [
 ]
 ENVELOPE_SCHEMA = "asset_class string, class_domain string, ground_max double, air_max double, accel_max double, turn_max double, radius_min double, vrate_max double, kin_checks boolean"
 
+# Codes; the wording is ours.
 ACTION_TEXT = {
     "none": "No action needed.",
     "monitor": "Keep watching {asset}. No action needed yet.",
@@ -124,7 +125,7 @@ class Fleet:
 APRON = Fleet()
 REGIONAL = Fleet("regional", cell_m=22_600.0, bin_s=86_400, min_tracks=10, share_min=0.10, baseline_test=False)
 
-# Per-sample detectors.
+# Limits of the per-sample detectors.
 DETECT_GAP_S = 3.0
 STOPPED_MPS = 0.5
 FROZEN_MIN_S = 5.0
@@ -142,6 +143,7 @@ ROLE_ZONES = {"pushback_tug": ("taxi_corridor",)}
 STOP_LIMIT_S = {"runway_critical": 120.0, "runway_strip": 120.0, "taxi_corridor": 300.0, "holding_position": 900.0, "service_road_corridor": 900.0}
 STOP_FREE = ("aircraft_stand", "apron")
 STOP_AIRCRAFT_FREE = ("holding_position", "taxi_corridor")
+# Labels in order of precedence.
 SIGNAL_LABELS = ("frozen_position", "position_jump", "fix_loss", "multipath_noise", "gnss_drift", "implausible_speed", "heading_incoherent", "altitude_spike")
 BEHAVIOUR_LABELS = ("runway_incursion", "unauthorized_zone", "aircraft_proximity", "overspeed", "unexpected_stop", "wrong_way")
 POSITION_WRONG = ("frozen_position", "position_jump", "fix_loss", "multipath_noise", "gnss_drift")
