@@ -149,15 +149,44 @@ def test_presence_and_areas(spark):
     assert f["t0"] == 0 and f["t1"] == 2
 
 
-def test_alert_ids_and_hold():
-    a = fleet.Alerts(60)
-    assert a.step(0, ["0:0", "1:0"]) == [("area_0_0:0", ["0:0", "1:0"], True)]
-    assert a.step(5, ["1:0", "2:0"])[0][0] == "area_0_0:0"
-    assert a.step(30, []) == [("area_0_0:0", ["1:0", "2:0"], False)] and a.step(65, []) == []
-    b = fleet.Alerts(60)
-    b.step(0, ["0:0", "1:0", "2:0"])
-    split = b.step(5, ["0:0", "2:0", "3:0"])
-    assert [x[0] for x in split if "3:0" in x[1]] == ["area_0_0:0"] and len(split) == 2
+def shown(spark, flagged, before=None, by_history=True):
+    """{k: {id: (cells, flagged now)}} of alerts over flagged cells by time, on a 5 s grid."""
+    rows = [("x", k, *map(int, c.split(":")), c, 5, 5, True) for k, cells in flagged.items() for c in cells]
+    counts = spark.createDataFrame(rows, "area string, k long, q long, r long, cell string, n_tracks long, n_degraded long, flagged boolean")
+    held = before and spark.createDataFrame([("x", a, k, c) for a, k, c in before], "area string, area_alert_id string, k long, cells array<string>")
+    out = {}
+    for r in fleet.area_alerts(counts, APRON, held, by_history).collect():
+        out.setdefault(r["k"], {})[r["area_alert_id"]] = (r["cells"], r["flagged"])
+    return out
+
+
+@pytest.mark.parametrize("by_history", [True, False])
+def test_alert_ids_and_hold(spark, by_history):
+    a = shown(spark, {0: ["0:0", "1:0"], 1: ["1:0", "2:0"]}, by_history=by_history)
+    assert a[0] == {"area_0_0:0": (["0:0", "1:0"], True)} and a[1] == {"area_0_0:0": (["1:0", "2:0"], True)}
+    assert a[6] == {"area_0_0:0": (["1:0", "2:0"], False)} and max(a) == 12
+    # a split: the larger part keeps the id
+    b = shown(spark, {0: ["0:0", "1:0", "2:0"], 1: ["0:0", "2:0", "3:0"]}, by_history=by_history)
+    assert b[1] == {"area_0_0:0": (["2:0", "3:0"], True), "area_5_0:0": (["0:0"], True)}
+    # a merger: the first id stays, the other alert ends
+    c = shown(spark, {0: ["0:0", "4:0"], 1: ["0:0", "1:0", "2:0", "3:0", "4:0"]}, by_history=by_history)
+    assert len(c[0]) == 2 and list(c[1]) == ["area_0_0:0"] and list(c[5]) == ["area_0_0:0"]
+    # twelve steps of silence are the most an id outlasts
+    d = shown(spark, {0: ["0:0"], 12: ["0:0"], 25: ["0:0"]}, by_history=by_history)
+    assert list(d[12]) == ["area_0_0:0"] and list(d[25]) == ["area_125_0:0"]
+    # an alert of an earlier batch goes on with its id
+    e = shown(spark, {13: ["0:0"], 14: ["7:0"]}, [("area_9_z", 10, ["0:0"]), ("area_9_y", 3, ["7:0"])], by_history)
+    assert list(e[13]) == ["area_9_y", "area_9_z"] or set(e[13]) == {"area_9_y", "area_9_z"}
+    assert set(e[14]) == {"area_9_y", "area_9_z"}
+
+
+def test_parts_across_patches(spark):
+    line = [f"{q}:0" for q in range(-40, 40)] + [f"{q}:5" for q in range(3)] + ["100:31", "100:32", "-33:64", "-32:63"]
+    counts = spark.createDataFrame([("x", 1, *map(int, c.split(":")), c) for c in line], "area string, k long, q long, r long, cell string")
+    got = {}
+    for r in fleet.parts(counts).collect():
+        got.setdefault(r["part"], []).append(r["cell"])
+    assert sorted(map(len, got.values())) == [2, 2, 3, 80]
 
 
 @pytest.mark.parametrize("n,k,p", [(5, 3, 0.02), (12, 12, 0.3), (4, 0, 0.1), (6, 7, 0.5), (40, 2, 0.02)])

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from waywarden import params
 from waywarden.functions import geo
+from waywarden.operators.graph import components
 from waywarden.operators.windows import TRACK
 from waywarden.params import APRON, REGIONAL, Fleet
+from waywarden.tables import written
 
 
 def cells(df: DataFrame, side: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -148,70 +150,125 @@ def fleet_features(windows: DataFrame, profile: Fleet = APRON, baseline: DataFra
 
 # ---------------------------------------------------------------- area alerts
 
+#: Flagged cells of a patch of so many by so many are connected in one place.
+PATCH = 32
 
-class Alerts:
-    """The alerts of an area over time: ids, their cells and when they were last flagged.
 
-    One step takes the flagged cells of a grid time. A connected component that
-    overlaps alerts of the step before takes the smallest of their ids, the
-    larger component first; an alert without one is held for bin_s with its
-    last cells.
+def _patch_parts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The connected parts of a patch's cells, each named by its first cell."""
+    cells = list(zip(pdf["q"], pdf["r"], strict=True))
+    name = {c: c for c in cells}
+
+    def root(c):
+        while name[c] != c:
+            name[c] = name[name[c]]
+            c = name[c]
+        return c
+
+    for q, r in cells:
+        for dq, dr in ((1, 0), (0, 1), (1, -1)):
+            if (q + dq, r + dr) in name:
+                one, two = sorted((root((q, r)), root((q + dq, r + dr))))
+                name[two] = one
+    return pdf.assign(local=["{}:{}".format(*root(c)) for c in cells])
+
+
+def parts(flagged: DataFrame) -> DataFrame:
+    """(area, k, q, r, cell, part): the connected part that each flagged cell (area, k, q, r, cell) belongs to at its time.
+
+    Patches of PATCH x PATCH cells are connected each by itself; only links
+    over their borders go through components(), so no task holds a whole area.
+    """
+    keys = ["area", "k", "q", "r", "cell"]
+    f = flagged.select(*keys, F.floor(F.col("q") / PATCH).alias("pq"), F.floor(F.col("r") / PATCH).alias("pr"))
+    kinds = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in f.schema)
+    local = written(f.groupBy("area", "k", "pq", "pr").applyInPandas(_patch_parts, f"{kinds}, local string"), "patches")
+    node = F.concat_ws("|", "area", *[F.col(c).cast("string") for c in ("k", "pq", "pr")], "local")
+    at = local.withColumn("node", node)
+    edge = F.pmod(F.col("q"), F.lit(PATCH)).isin(0, PATCH - 1) | F.pmod(F.col("r"), F.lit(PATCH)).isin(0, PATCH - 1)
+    side = at.filter(edge)
+    other = side.select("area", "k", F.col("q").alias("nq"), F.col("r").alias("nr"), F.col("node").alias("b"))
+    links = ring(side, 1, False).join(other, ["area", "k", "nq", "nr"]).filter("node < b").select(F.col("node").alias("a"), "b")
+    joined = components(links)
+    whole = at.join(joined, at["node"] == joined["id"], "left").withColumn("part", F.coalesce("component", "node"))
+    return whole.select(*keys, "part")
+
+
+def held_steps(profile: Fleet) -> int:
+    """For how many grid times an alert lasts without a flagged cell."""
+    return max(1, -(-round(profile.bin_s) // max(1, round(profile.timing.stride_s))))
+
+
+def _named(held: int, stride: float):
+    """Parts of a history in order of time to alerts: (area, area_alert_id, k, until, cells).
+
+    A part goes on with the first id among the alerts whose last part shares a
+    cell with it; the others it meets end there. Where several parts meet one
+    alert, the largest goes on with it. A part is shown until its alert's next
+    part, the end of the alert in another one, or `held` steps.
     """
 
-    def __init__(self, bin_s: float, alive: dict[str, tuple[list[str], float]] | None = None):
-        self.bin_s = bin_s
-        self.alive = {a: (set(c), last) for a, (c, last) in (alive or {}).items()}
-
-    @staticmethod
-    def components(flagged: list[str]) -> list[set[str]]:
-        left, out = {tuple(map(int, c.split(":"))) for c in flagged}, []
-        while left:
-            found, todo = set(), [left.pop()]
-            while todo:
-                q, r = todo.pop()
-                found.add((q, r))
-                for dq, dr in geo.hex_disk(1):
-                    if (near := (q + dq, r + dr)) in left:
-                        left.remove(near)
-                        todo.append(near)
-            out.append({f"{q}:{r}" for q, r in found})
-        return sorted(out, key=lambda c: (-len(c), min(c)))
-
-    def step(self, t: float, flagged: list[str]) -> list[tuple[str, list[str], bool]]:
-        """(id, cells, flagged now) of the alerts alive at t."""
-        now: dict[str, tuple[set[str], float]] = {}
-        gone = set()
-        for part in self.components(flagged):
-            met = sorted(a for a, (c, _) in self.alive.items() if a not in gone and c & part)
-            alert = met[0] if met and met[0] not in now else f"area_{round(t)}_{min(part)}"
-            gone.update(met[1:])
-            now[alert] = (part, t)
-        fresh = set(now)
-        for a, (c, last) in self.alive.items():
-            if a not in now and a not in gone and t - last < self.bin_s - 1e-9:
-                now[a] = (c, last)
-        self.alive = now
-        return [(a, sorted(c), a in fresh) for a, (c, _) in sorted(now.items())]
-
-
-def area_alerts(counts: DataFrame, profile: Fleet = APRON) -> DataFrame:
-    """(area, area_alert_id, k, cells, share, n_tracks, n_degraded, flagged): one row for each alert at each grid time.
-
-    Only flagged cells, few beside all, go through the fold in time, which runs in
-    each area by itself. Counts of an alert's cells are joined afterwards.
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.assign(first=[min(c) for c in pdf["cells"]]).sort_values(["k", "n", "first"], ascending=[True, False, True])
+        shown: list[list] = []  # area, id, k, until, cells
+        live: dict[str, int] = {}  # alert to the place of its last part
+        for k, now in rows.groupby("k", sort=True):
+            live = {a: i for a, i in live.items() if k - shown[i][2] <= held}
+            holder: dict[str, set[str]] = {}
+            for a, i in live.items():
+                for c in shown[i][4]:
+                    holder.setdefault(c, set()).add(a)
+            ended, taken = set(), set()
+            for area, known, first, cells in zip(now["area"], now["area_alert_id"], now["first"], now["cells"], strict=True):
+                meets = [] if known else sorted(set().union(*(holder.get(c, ()) for c in cells)) - ended)
+                alert = known or (meets[0] if meets and meets[0] not in taken else f"area_{round(k * stride)}_{first}")
+                ended.update(meets[1:])
+                for a in ({alert, *meets[1:]} & live.keys()) - taken:
+                    shown[live[a]][3] = min(shown[live[a]][3], k)
+                taken.add(alert)
+                live[alert] = len(shown)
+                shown.append([area, alert, k, k + held, list(cells)])
+            for a in ended - taken:
+                live.pop(a, None)
+        return pd.DataFrame(shown, columns=["area", "area_alert_id", "k", "until", "cells"])
+
+    return run
+
+
+def alert_parts(counts: DataFrame, profile: Fleet = APRON, before: DataFrame | None = None, by_history: bool = True) -> DataFrame:
+    """(area, area_alert_id, k, until, cells): each connected part of flagged cells, the alert it belongs to, and the time it is shown to.
+
+    Only flagged cells, few beside all, come here. Parts of different times that
+    share a cell and are not too far apart make up a history; naming folds in
+    time inside each history by itself. before has parts (area, area_alert_id,
+    k, cells) of alerts that may go on, for a stream; by_history=False folds
+    whole areas, for short spans of time.
     """
-    stride, held = profile.timing.stride_s, max(1, -(-round(profile.bin_s) // max(1, round(profile.timing.stride_s))))
-    flagged = counts.filter("flagged").groupBy("area", "k").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        alerts, rows = Alerts(profile.bin_s), []
-        by_k = dict(zip(pdf["k"], pdf["cells"], strict=True))
-        for k in sorted({k + i for k in by_k for i in range(held)}):
-            for a, c, now in alerts.step(k * stride, list(by_k.get(k, ()))):
-                rows.append((pdf["area"].iloc[0], a, k, c, now))
-        return pd.DataFrame(rows, columns=["area", "area_alert_id", "k", "cells", "flagged"])
-
-    alerts = flagged.groupBy("area").applyInPandas(fold, "area string, area_alert_id string, k long, cells array<string>, flagged boolean")
+    held = held_steps(profile)
+    made = parts(counts.filter("flagged")).groupBy("area", "k", "part").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
+    p = made.withColumn("area_alert_id", F.lit(None).cast("string"))
+    if before is not None:
+        p = p.unionByName(before.select("area", "k", F.concat(F.lit("before|"), "area_alert_id", F.lit("|"), F.col("k").cast("string")).alias("part"), "cells", "area_alert_id"))
+    p = p.withColumn("n", F.size("cells").cast("long"))
+    group = ["area"]
+    if by_history:
+        p = written(p, "parts")
+        w = Window.partitionBy("area", "cell").orderBy("k")
+        # a cell's next flagged time leads to the next part; a part's own cells lead to each other through its name
+        each = p.select("area", "k", "part", F.explode("cells").alias("cell")).withColumn("_n", F.lead(F.struct("k", "part")).over(w))
+        links = each.filter(F.col("_n.k") - F.col("k") <= held).select(F.col("part").alias("a"), F.col("_n.part").alias("b")).distinct()
+        joined = components(links)
+        p = p.join(joined, p["part"] == joined["id"], "left").withColumn("history", F.coalesce("component", "part"))
+        group = ["area", "history"]
+    out = p.select(*group, "k", "area_alert_id", "n", "cells").groupBy(*group)
+    return out.applyInPandas(_named(held, profile.timing.stride_s), "area string, area_alert_id string, k long, until long, cells array<string>")
+
+
+def area_alerts(counts: DataFrame, profile: Fleet = APRON, before: DataFrame | None = None, by_history: bool = True) -> DataFrame:
+    """(area, area_alert_id, k, cells, share, n_tracks, n_degraded, flagged): one row for each alert at each grid time it lasts."""
+    shown = alert_parts(counts, profile, before, by_history)
+    at = F.explode(F.sequence("k", F.col("until") - 1))
+    alerts = shown.filter("until > k").select("area", "area_alert_id", "cells", F.col("k").alias("_k"), at.alias("k")).withColumn("flagged", F.col("k") == F.col("_k")).drop("_k")
     each = alerts.withColumn("cell", F.explode("cells")).select("area", "area_alert_id", "k", "cell")
     sums = each.join(counts.select("area", "cell", "k", "n_tracks", "n_degraded"), ["area", "cell", "k"], "left").groupBy("area", "area_alert_id", "k").agg(F.coalesce(F.sum("n_tracks"), F.lit(0)).alias("n_tracks"), F.coalesce(F.sum("n_degraded"), F.lit(0)).alias("n_degraded"))
     out = alerts.join(sums, ["area", "area_alert_id", "k"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waywarden.functions import geo
@@ -112,15 +113,8 @@ e AS (SELECT a.hr, a.q, a.r, b.q AS q2, b.r AS r2 FROM f a JOIN f b ON a.hr = b.
 w AS (SELECT hr, q, r, q2, r2 FROM e UNION SELECT w.hr, w.q, w.r, e.q2, e.r2 FROM w JOIN e ON e.hr = w.hr AND e.q = w.q2 AND e.r = w.r2)
 SELECT hr AS k, q || ':' || r AS cell, count(*) AS cells FROM w GROUP BY hr, q, r""")
 def components(spark, d):
-    c = fleet.cell_counts(fleet.presence(seen(spark, d), APRON), APRON).filter("n_tracks >= 2 AND share > 0.5")
-
-    def parts(pdf):
-        import pandas as pd
-
-        rows = [(pdf["k"].iloc[0], c, len(p)) for p in fleet.Alerts.components(list(pdf["cell"])) for c in p]
-        return pd.DataFrame(rows, columns=["k", "cell", "cells"])
-
-    return c.select("k", "cell").groupBy("k").applyInPandas(parts, "k long, cell string, cells long")
+    c = fleet.parts(fleet.cell_counts(fleet.presence(seen(spark, d), APRON), APRON).filter("n_tracks >= 2 AND share > 0.5"))
+    return c.select("k", "cell", F.count("*").over(Window.partitionBy("part")).alias("cells"))
 
 
 def some_alerts(spark, d):
