@@ -40,7 +40,8 @@ def back(span_s: float) -> Column:
 
 
 def ahead(span_s: float) -> Column:
-    return F.min(F.struct("t_us", "seq", "x", "y")).over(Window.partitionBy(*SEG).orderBy("t_us").rangeBetween(round(span_s * params.US), Window.unboundedFollowing))
+    """The earliest fix of the part at least span_s later; in the opposite order of time its frame grows, and is not made anew for each row."""
+    return F.min(F.struct("t_us", "seq", "x", "y")).over(Window.partitionBy(*SEG).orderBy(F.desc("t_us")).rangeBetween(Window.unboundedPreceding, -round(span_s * params.US)))
 
 
 def in_part():
@@ -159,9 +160,9 @@ def signal(points: DataFrame) -> DataFrame:
     # how many wrong rows lie between the ends of the centred window: a difference of running counts
     count = F.sum((c("position_wrong") | c("explained")).cast("long"))
     k = k.withColumns({"_c": count.over(in_part().rowsBetween(Window.unboundedPreceding, 0)), "_w": (c("position_wrong") | c("explained")).cast("long")})
-    order = Window.partitionBy(*SEG).orderBy("t_us")
+    order, opposite = (Window.partitionBy(*SEG).orderBy(c) for c in ("t_us", F.desc("t_us")))
     half = round(2.5 * params.US)
-    k = k.withColumns({"_hi": F.min(F.struct("t_us", "seq", "_c")).over(order.rangeBetween(half, Window.unboundedFollowing)), "_lo": F.max(F.struct("t_us", "seq", "_c", "_w")).over(order.rangeBetween(Window.unboundedPreceding, -half))})
+    k = k.withColumns({"_hi": F.min(F.struct("t_us", "seq", "_c")).over(opposite.rangeBetween(Window.unboundedPreceding, -half)), "_lo": F.max(F.struct("t_us", "seq", "_c", "_w")).over(order.rangeBetween(Window.unboundedPreceding, -half))})
     smooth = F.coalesce(c("_hi._c") - c("_lo._c") + c("_lo._w") == 0, F.lit(True))
     env = F.broadcast(registry.envelopes(points.sparkSession).select(c("asset_class").alias("_class"), F.when(c("kin_checks"), c("ground_max") * params.SPEED_FACTOR).alias("_cap")))
     k = k.join(env, c("asset_class") == c("_class"), "left").withColumn("bound_mps", F.coalesce("_cap", F.lit(params.SPEED_ABS_MPS)))
@@ -282,10 +283,10 @@ def attach_trust(samples: DataFrame, verdicts: DataFrame) -> DataFrame:
     """
     v = verdicts.select(TRACK, F.expr("CAST(round(t_end * 1000000) AS BIGINT)").alias("t_us"), F.struct("trust_state", "integrity").alias("_v"))
     rows = samples.select(TRACK, "seq", "t_us").withColumn("_row", F.lit(True)).unionByName(v, allowMissingColumns=True)
-    w = Window.partitionBy(TRACK).orderBy("t_us")
-    ahead_ = F.first("_v", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
-    behind = F.last("_v", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    found = rows.withColumn("_found", F.coalesce(ahead_, behind)).filter("_row").select(TRACK, "seq", c_("trust_state"), c_("integrity"))
+    at = F.when(F.col("_v").isNotNull(), F.struct("t_us", "_v"))
+    grows = lambda order: Window.partitionBy(TRACK).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    next_, last = F.min(at).over(grows(F.desc("t_us"))), F.max(at).over(grows("t_us"))
+    found = rows.withColumn("_found", F.coalesce(next_, last)["_v"]).filter("_row").select(TRACK, "seq", c_("trust_state"), c_("integrity"))
     return samples.join(found, [TRACK, "seq"], "left")
 
 

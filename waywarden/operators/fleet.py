@@ -73,30 +73,29 @@ def presence(windows: DataFrame, profile: Fleet = APRON) -> DataFrame:
 
 
 def binomial_tail(n: Column, k: Column, p: Column) -> Column:
-    """P(X >= k) of n trials: terms by recurrence, from the first one up. 1 for k <= 0."""
+    """P(X >= k) of n trials: one run over the terms, added up below k and from k on. 1 for k <= 0."""
     first = F.pow(1 - p, n)
-    zero = F.struct(first.alias("term"), F.lit(0.0).alias("below"))
+    zero = F.struct(first.alias("term"), F.lit(0.0).alias("below"), F.lit(0.0).alias("above"))
 
     def step(acc: Column, i: Column) -> Column:
-        # acc.term is P(X = i); what lies below k is added up
-        return F.struct((acc["term"] * (n - i) / (i + 1) * p / (1 - p)).alias("term"), (acc["below"] + acc["term"]).alias("below"))
+        # acc.term is P(X = i)
+        next_ = acc["term"] * (n - i) / (i + 1) * p / (1 - p)
+        return F.struct(next_.alias("term"), (acc["below"] + F.when(i < k, acc["term"]).otherwise(0.0)).alias("below"), (acc["above"] + F.when(i + 1 >= k, next_).otherwise(0.0)).alias("above"))
 
-    below = F.aggregate(F.sequence(F.lit(0), (k - 1).cast("int")), zero, step, lambda acc: acc["below"])
     # the tail's own terms, when it is small, keep the digits that 1 - below would lose
-    lead = F.aggregate(F.sequence(F.lit(0), (k - 1).cast("int")), first, lambda t, i: t * (n - i) / (i + 1) * p / (1 - p))
-    tail = F.aggregate(
-        F.when(k < n, F.sequence(k.cast("int"), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>")),
-        F.struct(lead.alias("term"), lead.alias("sum")),
-        lambda acc, i: F.struct((acc["term"] * (n - i) / (i + 1) * p / (1 - p)).alias("term"), (acc["sum"] + acc["term"] * (n - i) / (i + 1) * p / (1 - p)).alias("sum")),
-        lambda acc: acc["sum"],
-    )
-    return F.when(k <= 0, 1.0).when(k > n, 0.0).when(below < 0.5, 1 - below).otherwise(tail)
+    inner = F.aggregate(F.sequence(F.lit(0), (n - 1).cast("int")), zero, step, lambda acc: F.when(acc["below"] < 0.5, 1 - acc["below"]).otherwise(acc["above"]))
+    return F.when(k <= 0, 1.0).when(k > n, 0.0).otherwise(inner)
+
+
+def crowded(n: Column, bad: Column, profile: Fleet = APRON) -> Column:
+    """Enough tracks, and most of them degraded."""
+    return (n >= profile.min_tracks) & (F.coalesce(F.try_divide(bad, n), F.lit(0.0)) > profile.share_min)
 
 
 def flag(n: Column, bad: Column, base: Column, profile: Fleet = APRON) -> Column:
-    """The area rule: enough tracks, most of them degraded, and more than the cell's baseline explains."""
-    out = (n >= profile.min_tracks) & (F.coalesce(F.try_divide(bad, n), F.lit(0.0)) > profile.share_min)
-    return out & (binomial_tail(n, bad, base) < profile.alpha) if profile.baseline_test else out
+    """The area rule: crowded, and more than the cell's baseline explains, which is computed for crowded cells only."""
+    few = crowded(n, bad, profile)
+    return F.when(few, binomial_tail(n, bad, base) < profile.alpha).otherwise(False) if profile.baseline_test else few
 
 
 def cell_counts(state: DataFrame, profile: Fleet = APRON, baseline: DataFrame | None = None) -> DataFrame:
@@ -108,7 +107,10 @@ def cell_counts(state: DataFrame, profile: Fleet = APRON, baseline: DataFrame |
         c = c.withColumn("_b", F.lit(None).cast("double"))
     floor = F.lit(profile.baseline_floor)
     c = c.withColumn("baseline", F.greatest(F.coalesce("_b", floor), floor)).drop("_b")
-    return c.withColumns({"share": F.col("n_degraded") / F.col("n_tracks"), "p_value": binomial_tail(F.col("n_tracks"), F.col("n_degraded"), F.col("baseline")), "flagged": flag(F.col("n_tracks"), F.col("n_degraded"), F.col("baseline"), profile)})
+    n, bad = F.col("n_tracks"), F.col("n_degraded")
+    # a name of its own between two uses: the optimizer does not copy the tail into both
+    c = c.withColumns({"share": bad / n, "p_value": binomial_tail(n, bad, F.col("baseline"))})
+    return c.withColumn("flagged", crowded(n, bad, profile) & ((F.col("p_value") < profile.alpha) if profile.baseline_test else F.lit(True)))
 
 
 def baseline_rates(windows: DataFrame, profile: Fleet = APRON) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waywarden import params
-from waywarden.operators.windows import TRACK, grid, members
+from waywarden.operators.windows import TRACK, filled, first_k
 from waywarden.params import Timing
 
 ANOMALOUS = [c for c in params.CAUSES if c != "plausible"]
@@ -20,18 +20,23 @@ def window_labels(points: DataFrame, timing: Timing = Timing()) -> DataFrame:
     takes the cause of the fixes on both sides where they agree; this looks at
     one later fix, as no feature does.
     """
-    p = points.withColumn("label_cause", F.coalesce("label_cause", F.lit("plausible")))
-    m = members(p, timing)
-    agg = m.groupBy(TRACK, "k").agg(
-        F.count("*").alias("n"),
-        F.array(*[F.count_if(F.col("label_cause") == c) for c in ANOMALOUS]).alias("counts"),
-        F.max(F.when(F.col("label_event_id").isNotNull(), F.struct("t_us", "seq", "label_onset_t", "label_event_id"))).alias("event"),
-    )
+    p = points.withColumn("label_cause", F.coalesce("label_cause", F.lit("plausible"))).withColumn("k", first_k(timing))
     fix = F.struct("t_us", "seq", "label_cause", "label_onset_t", "label_event_id")
-    both = p.select(TRACK, "t_us", F.lit(None).cast("long").alias("k"), fix.alias("fix")).unionByName(grid(p, timing).select(TRACK, F.col("end_us").alias("t_us"), "k"), allowMissingColumns=True)
-    w = Window.partitionBy(TRACK).orderBy("t_us")
-    sides = both.withColumns({"before": F.max("fix").over(w.rangeBetween(Window.unboundedPreceding, 0)), "after": F.min("fix").over(w.rangeBetween(1, Window.unboundedFollowing))}).filter("k IS NOT NULL")
-    out = sides.select(TRACK, "k", "before", "after").join(agg, [TRACK, "k"], "left")
+    told = F.when(F.col("label_event_id").isNotNull(), F.struct("t_us", "seq", "label_onset_t", "label_event_id"))
+    b = p.groupBy(TRACK, "k").agg(F.count("*").alias("n"), *[F.count_if(F.col("label_cause") == c).alias(f"n_{c}") for c in ANOMALOUS], F.max(told).alias("event"), F.min(fix).alias("first"), F.max(fix).alias("last"))
+    order = Window.partitionBy(TRACK).orderBy("k")
+    held, up_to = order.rowsBetween(-(timing.strides - 1), 0), order.rowsBetween(Window.unboundedPreceding, 0)
+    # what comes next is what came last in the opposite order: that frame grows by a row at a time
+    behind = Window.partitionBy(TRACK).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    out = filled(b, timing).select(
+        TRACK,
+        "k",
+        F.sum("n").over(held).alias("n"),
+        F.array(*[F.sum(f"n_{c}").over(held) for c in ANOMALOUS]).alias("counts"),
+        F.max("event").over(held).alias("event"),
+        F.max("last").over(up_to).alias("before"),
+        F.last("first", ignorenulls=True).over(behind).alias("after"),
+    )
     empty = F.col("n").isNull()
     agree = empty & (F.col("before.label_cause") == F.col("after.label_cause")) & (F.col("before.label_cause") != "plausible")
     agree = F.coalesce(agree, F.lit(False))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,13 +122,13 @@ def dwell(positions: DataFrame) -> DataFrame:
     resets it.
     """
     rows = positions.repartition(TRACK).sortWithinPartitions(TRACK, "t_us", "seq")
-    columns, limit = positions.columns, params.DWELL_MOVE_M**2
+    limit = params.DWELL_MOVE_M**2
 
     def run(batches):
         track, anchor = None, None
         for b in batches:
             out = []
-            for t, us, x, y, ok in zip(b[TRACK], b["t_us"], b["x"], b["y"], b["ok"], strict=True):
+            for t, us, x, y, ok in zip(*(b.column(c).to_pylist() for c in (TRACK, "t_us", "x", "y", "ok")), strict=True):
                 if t != track:
                     track, anchor = t, None
                 if not ok:
@@ -137,10 +138,11 @@ def dwell(positions: DataFrame) -> DataFrame:
                 if anchor is None or (x - anchor[0]) ** 2 + (y - anchor[1]) ** 2 > limit:
                     anchor = (x, y, us)
                 out.append((us - anchor[2]) / 1e6)
-            yield b.assign(dwell_s=out).astype({"dwell_s": "float64"})[[*columns, "dwell_s"]]
+            yield b.append_column("dwell_s", pa.array(out, pa.float64()))
 
+    # the other columns pass as the Arrow buffers they are
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in positions.schema)
-    return rows.mapInPandas(run, f"{schema}, dwell_s double")
+    return rows.mapInArrow(run, f"{schema}, dwell_s double")
 
 
 def approach(positions: DataFrame, runways: DataFrame) -> DataFrame:

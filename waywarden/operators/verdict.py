@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,23 +28,24 @@ def smooth(df: DataFrame, raw: str = "integrity_raw", out: str = "integrity", tr
     score, whatever a track's length.
     """
     sorted_rows = df.repartition(track).sortWithinPartitions(track, order)
-    columns = df.columns
 
     def run(batches):
         last_track, last = None, None
         for b in batches:
             values = []
-            for t, r, i in zip(b[track], b[raw], b[init] if init else [None] * len(b), strict=True):
+            start = b.column(init).to_pylist() if init else [None] * len(b)
+            for t, r, i in zip(b.column(track).to_pylist(), b.column(raw).to_pylist(), start, strict=True):
                 if t != last_track:
                     last_track, last = t, None if i is None or i != i else i
                 if r is not None and r == r:
                     a = params.EMA_DOWN if last is not None and r < last else params.EMA_UP
                     last = r if last is None else a * r + (1 - a) * last
                 values.append(last)
-            yield b.assign(**{out: pd.array(values, dtype="float64") if values else pd.Series(dtype="float64")})[[*columns, out]]
+            yield b.append_column(out, pa.array(values, pa.float64()))
 
+    # the other columns pass as the Arrow buffers they are
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return sorted_rows.mapInPandas(run, f"{schema}, `{out}` double")
+    return sorted_rows.mapInArrow(run, f"{schema}, `{out}` double")
 
 
 def latch(value: Column, below: float, above: float, track: str, order: str, start: Column | None = None) -> Column:
@@ -154,23 +155,39 @@ def action_text(code: Column, columns: list[str]) -> Column:
 # ---------------------------------------------------------------- evidence
 
 
-def sentences(features: list[str], columns: list[str], weight, thresholds: dict | None = None) -> Column:
-    """The features' sentences with a weight above 0, heaviest first, registry order on ties; those that cannot be filled are left out."""
-    items = []
-    for i, name in enumerate(features):
+def sentences(features: list[str], columns: list[str], weight, thresholds: dict | None = None, most: int = params.MAX_EVIDENCE) -> Column:
+    """The sentences of the `most` features of the largest weight above 0, registry order on ties; those that cannot be filled are left out.
+
+    Features are ranked by weight and place alone; only what is kept is put into words.
+    """
+    kept, ranks = [], []
+    for name in features:
         f = registry.FEATURES[name]
-        if not f.template or name not in columns or any(x != "v" and x not in columns for x in f.fields):
-            continue
-        text = fill(f.template, {"v": F.col(name)} | {x: F.col(x) for x in f.fields if x != "v"})
-        limit = F.lit(f.tau if f.scored else None).cast("double")
-        for domain, pair in ((thresholds or {}).get(name) or {}).items():
-            limit = F.when(F.col("aux_domain") == domain, F.lit(float(pair[0]))).otherwise(limit)
-        w = weight(name)
-        items.append(F.when((w > 0) & text.isNotNull(), F.struct((-w).alias("w"), F.lit(i).alias("i"), F.lit(name).alias("feature"), F.lit(f.dimension).alias("dimension"), text.alias("text"), F.col(name).cast("double").alias("value"), limit.alias("limit"), F.lit(f.unit).alias("unit"))))
-    if not items:
+        if f.template and name in columns and all(x == "v" or x in columns for x in f.fields):
+            full = F.col(name).isNotNull() if not f.fields else F.lit(True)
+            for x in f.fields:
+                full = full & F.col(name if x == "v" else x).isNotNull()
+            w = weight(name)
+            ranks.append(F.when((w > 0) & full, F.struct((-w).alias("w"), F.lit(len(kept)).alias("i"))))
+            kept.append(f)
+    if not kept:
         return F.array().cast("array<struct<feature:string,dimension:string,text:string,value:double,limit:double,unit:string>>")
-    ranked = F.array_sort(F.filter(F.array(*items), lambda x: x.isNotNull()))
-    return F.transform(ranked, lambda x: F.struct(x["feature"], x["dimension"], x["text"], x["value"], x["limit"], x["unit"]))
+
+    def limit(f) -> Column:
+        out = F.lit(f.tau if f.scored else None).cast("double")
+        for domain, pair in ((thresholds or {}).get(f.name) or {}).items():
+            out = F.when(F.col("aux_domain") == domain, F.lit(float(pair[0]))).otherwise(out)
+        return out
+
+    def one(x: Column) -> Column:
+        said = F.lit(None).cast("struct<feature:string,dimension:string,text:string,value:double,limit:double,unit:string>")
+        for i, f in reversed(list(enumerate(kept))):
+            text = fill(f.template, {"v": F.col(f.name)} | {y: F.col(y) for y in f.fields if y != "v"})
+            parts = F.struct(F.lit(f.name).alias("feature"), F.lit(f.dimension).alias("dimension"), text.alias("text"), F.col(f.name).cast("double").alias("value"), limit(f).alias("limit"), F.lit(f.unit).alias("unit"))
+            said = F.when(x["i"] == i, parts).otherwise(said)
+        return said
+
+    return F.transform(F.slice(F.array_sort(F.filter(F.array(*ranks), lambda x: x.isNotNull())), 1, most), one)
 
 
 def evidence(df: DataFrame, contribution=None, thresholds: dict | None = None) -> DataFrame:

@@ -1,13 +1,16 @@
 """Sliding windows, open on the left: window k of a track holds the fixes in (k*stride - window, k*stride].
 
 Windows run from the first to the last grid time of a track, empty ones too.
-A fix belongs to `strides` windows, so membership is an explode and an
-aggregation, not a range join; what looks back further than a window (last
-fix, baselines) is one frame over fixes and grid times together.
+Fixes are aggregated once into buckets of a stride; windows, baselines and the
+last fix are frames over a track's buckets, so a track's features take one
+shuffle and one pass whatever the window and the baseline are. Where a single
+aggregation of windows is asked for, members() explodes fixes instead.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,83 +57,6 @@ def latest(value: Column, by: str) -> Column:
     return F.max(at)["v"]
 
 
-def jitter(m: DataFrame, timing: Timing = Timing()) -> DataFrame:
-    """(track_id, k, jitter): RMS distance of a window's positions from a fit quadratic in time; null below 5 fixes.
-
-    Times are centred on their mean and positions on the window's first fix, so
-    that the moment sums keep their digits; the 3x3 system is solved in columns.
-    """
-    w = Window.partitionBy(TRACK, "k")
-    first = w.orderBy("t_us", "seq")
-    p = m.select(
-        TRACK,
-        "k",
-        ((F.col("t_us") - F.min("t_us").over(w)) / 1e6).alias("dt"),
-        "lat",
-        "lon",
-        F.first("lat").over(first).alias("lat0"),
-        F.first("lon").over(first).alias("lon0"),
-    )
-    p = p.withColumn("u", (F.col("dt") - F.avg("dt").over(w)) / float(timing.window_s))
-    s0 = f"pow(sin(radians(lat0)), 2)"
-    rn = f"({geo.A!r} / sqrt(1 - {geo.E2!r} * {s0}))"
-    p = p.withColumns({
-        "y": F.expr(f"radians(lat - lat0) * {rn} * {1 - geo.E2!r} / (1 - {geo.E2!r} * {s0})"),
-        "x": F.expr(f"radians({geo.wrap180('lon - lon0')}) * {rn} * cos(radians(lat0))"),
-    })
-    u = F.col("u")
-    sums = {f"s{i}": F.sum(F.pow(u, i)) for i in range(5)} | {f"{v}{i}": F.sum(F.col(v) * F.pow(u, i)) for v in "xy" for i in range(3)} | {"xx": F.sum(F.col("x") * F.col("x")), "yy": F.sum(F.col("y") * F.col("y"))}
-    g = p.groupBy(TRACK, "k").agg(*[v.alias(k) for k, v in sums.items()])
-    det = "(s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2))"
-    inverse = [["s2 * s4 - s3 * s3", "s2 * s3 - s1 * s4", "s1 * s3 - s2 * s2"], ["s2 * s3 - s1 * s4", "s0 * s4 - s2 * s2", "s1 * s2 - s0 * s3"], ["s1 * s3 - s2 * s2", "s1 * s2 - s0 * s3", "s0 * s2 - s1 * s1"]]
-    fitted = " + ".join(f"({inverse[i][j]}) * ({v}{i} * {v}{j})" for v in "xy" for i in range(3) for j in range(3))
-    good = f"s0 >= {params.MIN_JITTER_POINTS} AND abs({det}) > 1e-12 * pow(greatest(s0, 1.0), 3)"
-    return g.select(TRACK, "k", F.expr(f"CASE WHEN {good} THEN sqrt(greatest(0.0, xx + yy - ({fitted}) / {det}) / s0) END").alias("jitter"))
-
-
-LOOK_BACK = ("t_us", "lat", "lon", "alt_baro_m", "alt_geom_m", "gs_mps", "track_deg", "ground", "kin_checks", "limit", "asset_id", "domain", "asset_class")
-
-
-def look_back(fixes: DataFrame, timing: Timing = Timing()) -> DataFrame:
-    """(track_id, k, last, base): the last fix at or before each grid time, and the medians of the trailing baseline.
-
-    Fixes and grid times stand in one order per track; the baseline is the
-    range (end - window - baseline, end - window].
-    """
-    keep = [c for c in LOOK_BACK if c != "t_us"]
-    own = F.struct("t_us", "seq", *keep)
-    f = fixes.select(TRACK, "t_us", F.lit(None).cast("long").alias("k"), own.alias("fix"), "dt_prev", "nacp", "nic", "alt_div", "callsign")
-    g = grid(fixes, timing).select(TRACK, F.col("end_us").alias("t_us"), "k")
-    both = f.unionByName(g, allowMissingColumns=True)
-    order = Window.partitionBy(TRACK).orderBy("t_us")
-    up_to = order.rangeBetween(Window.unboundedPreceding, 0)
-    back = order.rangeBetween(-timing.us("window") - timing.us("baseline") + 1, -timing.us("window"))
-    dts = F.array_sort(F.collect_list(F.when(F.col("fix").isNotNull(), F.struct("fix.t_us", "fix.seq", "dt_prev"))).over(back))
-    out = both.withColumns({
-        "last": F.max("fix").over(up_to),
-        "said": F.max(F.when(F.col("callsign").isNotNull(), F.struct("fix.t_us", "fix.seq", "callsign"))).over(up_to),
-        "base_t": F.min("fix.t_us").over(back),
-        "base_dts": dts,
-        "base_nacp": F.percentile("nacp", 0.5).over(back),
-        "base_nic": F.percentile("nic", 0.5).over(back),
-        "base_div": F.percentile("alt_div", 0.5).over(back),
-    }).filter("k IS NOT NULL")
-    old = F.col("t_us") - timing.us("window") - F.col("base_t") >= timing.us("history")
-    # the first baseline fix's interval reaches back beyond the baseline
-    later = F.array_sort(F.filter(F.transform(F.slice("base_dts", 2, F.size("base_dts")), lambda x: x["dt_prev"]), lambda v: v.isNotNull()))
-    n = F.size("_later")
-    middle = F.when(n > 0, (F.get("_later", F.floor((n - 1) / 2).cast("int")) + F.get("_later", F.floor(n / 2).cast("int"))) / 2)
-    out = out.withColumn("_later", F.when(F.size("base_dts") > 1, later))
-    return out.select(
-        TRACK,
-        "k",
-        "last",
-        F.col("said.callsign").alias("last_callsign"),
-        *[F.when(old, F.col(c)).alias(c) for c in ("base_nacp", "base_nic", "base_div")],
-        F.when(old, middle).alias("base_dt"),
-    )
-
-
 MEANS = {"kin_speed_resid_mean": "resid", "kin_course_resid_mean": "course_resid", "tmp_frozen_frac": "frozen", "sig_degraded_frac": "degraded"}
 MAXIMA = {
     "kin_speed_resid_max": "resid",
@@ -148,66 +74,200 @@ MAXIMA = {
     "tmp_frozen_run_s": "frozen_s",
     "gap": "dt_prev",
 }
+#: What medians are taken of: (name, column), kept as lists in a bucket.
+LISTS = {"dts": "dt_prev", "nacps": "nacp", "nics": "nic", "divs": "alt_div"}
+LAST = ("lat", "lon", "alt_baro_m", "alt_geom_m", "gs_mps", "track_deg", "ground", "kin_checks", "limit", "asset_id", "domain", "asset_class")
+
 
+def buckets(fixes: DataFrame, timing: Timing = Timing()) -> DataFrame:
+    """(track_id, k) with the partial values of the fixes in ((k - 1) * stride, k * stride], for buckets that hold any.
 
-def window_level(fixes: DataFrame, timing: Timing = Timing()) -> DataFrame:
-    """Kinetic, temporal and signal features and the context columns of every window of every track."""
-    m = members(fixes, timing)
-    agg = m.groupBy(TRACK, "k").agg(
-        *[F.max(c).alias(f) for f, c in MAXIMA.items()],
-        *[F.avg(c).alias(f) for f, c in MEANS.items()],
+    Every window and every baseline is a whole number of buckets, so all that is
+    known of windows follows from these rows. Moments of positions are in
+    degrees from the track's first fix and of times from the bucket's end.
+    """
+    w = Window.partitionBy(TRACK)
+    f = fixes.withColumn("k", first_k(timing)).withColumn("_at", F.min(F.struct("t_us", "seq", "lat", "lon")).over(w))
+    u = (F.col("t_us") - F.col("k") * timing.us("stride")) / float(timing.us("window"))
+    f = f.withColumns({"_u": u, "_y": F.col("lat") - F.col("_at.lat"), "_x": F.expr(geo.wrap180("lon - _at.lon"))})
+    stamp = [F.col("t_us"), F.col("seq")]
+    sums = {f"s{i}": F.sum(F.pow("_u", F.lit(i))) for i in range(5)} | {f"{v}{i}": F.sum(F.col(f"_{v}") * F.pow("_u", F.lit(i))) for v in "xy" for i in range(3)} | {f"{v}{v}": F.sum(F.col(f"_{v}") * F.col(f"_{v}")) for v in "xy"}
+    return f.groupBy(TRACK, "k").agg(
+        *[F.max(c).alias(c) for c in sorted(set(MAXIMA.values()))],
+        *[F.sum(c).alias(f"sum_{c}") for c in MEANS.values()],
+        *[F.count(c).alias(f"n_{c}") for c in MEANS.values()],
+        *[F.collect_list(c).alias(name) for name, c in LISTS.items()],
         F.count("*").alias("n"),
-        F.percentile("dt_prev", 0.5).alias("dt"),
         F.sum("dup").alias("dups"),
         F.sum("nonmono").alias("nonmonos"),
-        F.percentile("nacp", 0.5).alias("sig_nacp_median"),
-        F.min("nacp").alias("sig_nacp_min"),
-        F.percentile("nic", 0.5).alias("sig_nic_median"),
-        F.min("sil").alias("sig_sil_min"),
+        F.min("nacp").alias("nacp_min"),
+        F.min("sil").alias("sil_min"),
         F.min("alt_div").alias("div_min"),
         F.max("alt_div").alias("div_max"),
-        latest(F.struct("v_imp", "v_rep"), "resid").alias("at_resid"),
-        latest(F.col("limit"), "speed_ratio").alias("at_speed"),
+        _best(F.struct("v_imp", "v_rep"), "resid").alias("at_resid"),
+        _best(F.col("limit"), "speed_ratio").alias("at_speed"),
+        F.max(F.struct(*stamp, *LAST)).alias("last"),
+        F.max(F.when(F.col("callsign").isNotNull(), F.struct(*stamp, "callsign"))).alias("said"),
+        F.min(F.struct(*stamp, "lat", "dt_prev")).alias("first"),
+        *[v.alias(f"m_{c}") for c, v in sums.items()],
     )
-    w = with_grid(agg, fixes, timing).join(jitter(m, timing), [TRACK, "k"], "left").join(look_back(fixes, timing), [TRACK, "k"])
+
+
+def _best(value: Column, by: str) -> Column:
+    return F.max(F.when(F.col(by).isNotNull(), F.struct(F.col(by), F.col("t_us"), F.col("seq"), value.alias("v"))))
+
+
+def filled(b: DataFrame, timing: Timing = Timing(), until_us: int | None = None) -> DataFrame:
+    """Buckets with a row for each grid time from a track's first fix to its last, or to until_us, but not longer than the gap."""
+    upto = F.lead("k").over(Window.partitionBy(TRACK).orderBy("k")) - 1
+    last = F.col("k")
+    if until_us is not None:
+        last = F.greatest(last, F.least(F.lit(until_us // timing.us("stride")), last + timing.us("gap") // timing.us("stride") + 1))
+    g = b.withColumn("_k", F.coalesce(upto, last)).withColumn("_at", F.explode(F.sequence("k", F.col("_k"))))
+    own = F.col("_at") == F.col("k")
+    return g.select(TRACK, *[F.when(own, F.col(c)).alias(c) for c in b.columns if c not in (TRACK, "k")], F.col("_at").alias("k"))
+
+
+def _median(values: Column) -> Column:
+    """Of a sorted list."""
+    n = F.size(values)
+    return F.when(n > 0, (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2)
+
+
+def _median_but(values: Column, one: Column) -> Column:
+    """Of a sorted list without one of its values; of all where that value is null."""
+    n = F.size(values) - F.when(one.isNull(), 0).otherwise(1)
+    at = F.when(one.isNull(), F.size(values)).otherwise(F.array_position(values, one) - 1)
+    pick = lambda i: F.get(values, (i + F.when(i < at, 0).otherwise(1)).cast("int"))
+    return F.when(n > 0, (pick(F.floor((n - 1) / 2)) + pick(F.floor(n / 2))) / 2)
+
+
+def _jitter(timing: Timing, order) -> Column:
+    """RMS distance of a window's positions from a fit quadratic in time; null below 5 fixes.
+
+    The buckets' moments are shifted to the window's end and added; the residual
+    does not depend on where positions count from, so degrees from the track's
+    first fix do, scaled to metres at the window's first fix. The 3x3 system is
+    solved in columns.
+    """
+    names = [f"m_s{i}" for i in range(5)] + [f"m_{v}{i}" for v in "xy" for i in range(3)] + ["m_xx", "m_yy"]
+    held = F.struct(*names)
+    total = dict.fromkeys((n[2:] for n in names), F.lit(0.0))
+    for j in range(timing.strides):
+        one = (held if j == 0 else F.lag(held, j).over(order))
+        shift = -j / timing.strides
+        for kind, most in (("s", 4), ("x", 2), ("y", 2)):
+            for p in range(most + 1):
+                for q in range(p + 1):
+                    factor = math.comb(p, q) * shift ** (p - q)
+                    if factor:
+                        total[f"{kind}{p}"] = total[f"{kind}{p}"] + factor * F.coalesce(one[f"m_{kind}{q}"], F.lit(0.0))
+        for v in ("xx", "yy"):
+            total[v] = total[v] + F.coalesce(one[f"m_{v}"], F.lit(0.0))
+    return F.struct(*[v.alias(c) for c, v in total.items()])
+
+
+def _residual() -> Column:
+    """From jm, the moments of a window, and first, its first fix."""
+    m = lambda c: f"jm.{c}"
+    s = [m(f"s{i}") for i in range(5)]
+    det = f"({s[0]} * ({s[2]} * {s[4]} - {s[3]} * {s[3]}) - {s[1]} * ({s[1]} * {s[4]} - {s[2]} * {s[3]}) + {s[2]} * ({s[1]} * {s[3]} - {s[2]} * {s[2]}))"
+    inverse = [
+        [f"{s[2]} * {s[4]} - {s[3]} * {s[3]}", f"{s[2]} * {s[3]} - {s[1]} * {s[4]}", f"{s[1]} * {s[3]} - {s[2]} * {s[2]}"],
+        [f"{s[2]} * {s[3]} - {s[1]} * {s[4]}", f"{s[0]} * {s[4]} - {s[2]} * {s[2]}", f"{s[1]} * {s[2]} - {s[0]} * {s[3]}"],
+        [f"{s[1]} * {s[3]} - {s[2]} * {s[2]}", f"{s[1]} * {s[2]} - {s[0]} * {s[3]}", f"{s[0]} * {s[2]} - {s[1]} * {s[1]}"],
+    ]
+    rest = {v: f"({m(v + v)} - (" + " + ".join(f"({inverse[i][j]}) * ({m(f'{v}{i}')} * {m(f'{v}{j}')})" for i in range(3) for j in range(3)) + f") / {det})" for v in "xy"}
+    s2 = "pow(sin(radians(head.lat)), 2)"
+    prime = f"({geo.A!r} / sqrt(1 - {geo.E2!r} * {s2}))"
+    east, north = f"(radians(1) * {prime} * cos(radians(head.lat)))", f"(radians(1) * {prime} * {1 - geo.E2!r} / (1 - {geo.E2!r} * {s2}))"
+    good = f"{s[0]} >= {params.MIN_JITTER_POINTS} AND abs({det}) > 1e-12 * pow(greatest({s[0]}, 1.0D), 3)"
+    return F.expr(f"CASE WHEN {good} THEN sqrt(greatest(0.0D, {rest['x']} * {east} * {east} + {rest['y']} * {north} * {north}) / {s[0]}) END")
+
+
+def window_level(fixes: DataFrame, timing: Timing = Timing(), until_us: int | None = None) -> DataFrame:
+    """Kinetic, temporal and signal features and the context columns of every window of every track.
+
+    One pass over the buckets in order of time: frames of `strides` buckets are
+    the windows, the frame before them the baseline, all buckets so far give the
+    last fix. What a query does not ask for is pruned from the frames and from
+    the buckets. With until_us silent tracks get windows up to that time, though
+    not beyond the gap.
+    """
+    order = Window.partitionBy(TRACK).orderBy("k")
+    held, up_to = order.rowsBetween(-(timing.strides - 1), 0), order.rowsBetween(Window.unboundedPreceding, 0)
+    span = timing.us("baseline") // timing.us("stride")
+    base = order.rowsBetween(-(timing.strides + span - 1), -timing.strides)
+    merged = lambda c, w: F.array_sort(F.flatten(F.collect_list(c).over(w)))
     c = F.col
-    stale = (c("end_us") - c("last.t_us")) / 1e6
-    envelope = lambda name: F.when(c("last.kin_checks"), c(name))
+    w = filled(buckets(fixes, timing), timing, until_us).withColumns({
+        **{f: F.max(x).over(held) for f, x in MAXIMA.items()},
+        **{f: F.try_divide(F.sum(f"sum_{x}").over(held), F.sum(f"n_{x}").over(held)) for f, x in MEANS.items()},
+        **{f"w_{x}": F.sum(x).over(held) for x in ("n", "dups", "nonmonos")},
+        **{f"w_{x}": merged(x, held) for x in ("dts", "nacps", "nics")},
+        **{f"b_{x}": merged(x, base) for x in LISTS},
+        "sig_nacp_min": F.min("nacp_min").over(held),
+        "sig_sil_min": F.min("sil_min").over(held),
+        "w_div_min": F.min("div_min").over(held),
+        "w_div_max": F.max("div_max").over(held),
+        "w_resid": F.max("at_resid").over(held),
+        "w_speed": F.max("at_speed").over(held),
+        "w_last": F.max("last").over(up_to),
+        "w_said": F.max("said").over(up_to),
+        "b_first": F.min("first").over(base),
+        "head": F.min("first").over(held),
+        "jm": _jitter(timing, order),
+    })
+    end_us = c("k") * timing.us("stride")
+    old = F.coalesce(end_us - timing.us("window") - c("b_first.t_us") >= timing.us("history"), F.lit(False))
+    w = w.withColumns({
+        "stale": (end_us - c("w_last.t_us")) / 1e6,
+        "dt": _median(c("w_dts")),
+        "sig_nacp_median": _median(c("w_nacps")),
+        "sig_nic_median": _median(c("w_nics")),
+        "base_nacp": F.when(old, _median(c("b_nacps"))),
+        "base_nic": F.when(old, _median(c("b_nics"))),
+        "base_div": F.when(old, _median(c("b_divs"))),
+        # the first baseline fix's interval reaches back beyond the baseline
+        "base_dt": F.when(old, _median_but(c("b_dts"), c("b_first.dt_prev"))),
+    })
+    envelope = lambda name: F.when(c("w_last.kin_checks"), c(name))
+    drop = lambda a, b: F.when((c(a) - c(b)).isNotNull(), F.greatest(c(a) - c(b), F.lit(0.0)))
     out = w.withColumns({
-        "t_end": c("end_us") / 1e6,
-        "t_start": (c("end_us") - timing.us("window")) / 1e6,
+        "t_end": end_us / 1e6,
+        "t_start": (end_us - timing.us("window")) / 1e6,
         "kin_accel_imp_ratio_max": F.lit(None).cast("double"),
-        "kin_pos_jitter_m": c("jitter"),
-        "tmp_n_points": F.coalesce("n", F.lit(0)).cast("double"),
-        "tmp_gap_max_s": F.greatest(c("gap"), stale),
-        "tmp_staleness_s": stale,
+        "kin_pos_jitter_m": _residual(),
+        "tmp_n_points": F.coalesce("w_n", F.lit(0)).cast("double"),
+        "tmp_gap_max_s": F.greatest(c("gap"), c("stale")),
+        "tmp_staleness_s": c("stale"),
         "tmp_dt_dev_ratio": F.when(c("base_dt") > 0, F.abs(c("dt") - c("base_dt")) / c("base_dt")),
-        "tmp_dup_count": F.coalesce("dups", F.lit(0)).cast("double"),
-        "tmp_nonmono_count": F.coalesce("nonmonos", F.lit(0)).cast("double"),
-        "sig_nacp_drop": F.when((c("base_nacp") - c("sig_nacp_median")).isNotNull(), F.greatest(c("base_nacp") - c("sig_nacp_median"), F.lit(0.0))),
-        "sig_nic_drop": F.when((c("base_nic") - c("sig_nic_median")).isNotNull(), F.greatest(c("base_nic") - c("sig_nic_median"), F.lit(0.0))),
+        "tmp_dup_count": F.coalesce("w_dups", F.lit(0)).cast("double"),
+        "tmp_nonmono_count": F.coalesce("w_nonmonos", F.lit(0)).cast("double"),
+        "sig_nacp_drop": drop("base_nacp", "sig_nacp_median"),
+        "sig_nic_drop": drop("base_nic", "sig_nic_median"),
         "sig_degraded_majority": (c("sig_degraded_frac") > 0.5).cast("double"),
         # the largest distance from a value is at one of the ends
-        "sig_alt_div_dev_max_m": F.when(c("base_div").isNotNull() & c("div_min").isNotNull(), F.greatest(F.abs(c("div_max") - c("base_div")), F.abs(c("div_min") - c("base_div")))),
+        "sig_alt_div_dev_max_m": F.when(c("base_div").isNotNull() & c("w_div_min").isNotNull(), F.greatest(F.abs(c("w_div_max") - c("base_div")), F.abs(c("w_div_min") - c("base_div")))),
         **{f: envelope(f) for f in registry.ENVELOPE_RATIOS if f in MAXIMA},
-        "aux_asset_id": c("last.asset_id"),
-        "aux_domain": c("last.domain"),
-        "aux_asset_class": c("last.asset_class"),
-        "aux_callsign": c("last_callsign"),
-        "aux_lat": c("last.lat"),
-        "aux_lon": c("last.lon"),
-        "aux_alt_m": F.coalesce("last.alt_baro_m", "last.alt_geom_m"),
-        "aux_gs_mps": c("last.gs_mps"),
-        "aux_track_deg": c("last.track_deg"),
-        "aux_airborne": ~c("last.ground"),
-        "aux_speed_implied_mps": c("at_resid.v_imp"),
-        "aux_speed_reported_mps": c("at_resid.v_rep"),
-        "aux_class_max_speed_mps": F.coalesce("at_speed", "last.limit"),
+        "aux_asset_id": c("w_last.asset_id"),
+        "aux_domain": c("w_last.domain"),
+        "aux_asset_class": c("w_last.asset_class"),
+        "aux_callsign": c("w_said.callsign"),
+        "aux_lat": c("w_last.lat"),
+        "aux_lon": c("w_last.lon"),
+        "aux_alt_m": F.coalesce("w_last.alt_baro_m", "w_last.alt_geom_m"),
+        "aux_gs_mps": c("w_last.gs_mps"),
+        "aux_track_deg": c("w_last.track_deg"),
+        "aux_airborne": ~c("w_last.ground"),
+        "aux_speed_implied_mps": c("w_resid.v.v_imp"),
+        "aux_speed_reported_mps": c("w_resid.v.v_rep"),
+        "aux_class_max_speed_mps": F.coalesce("w_speed.v", "w_last.limit"),
     })
     features = registry.names("kinetic", "temporal", "signal")
     return out.select(TRACK, "k", "t_start", "t_end", *features, *[a for a in registry.AUX if a in out.columns])
 
 
-def window_features(points: DataFrame, timing: Timing = Timing()) -> DataFrame:
+def window_features(points: DataFrame, timing: Timing = Timing(), until_us: int | None = None) -> DataFrame:
     """points to features, without the map's."""
-    return window_level(fix_level(points, timing), timing)
+    return window_level(fix_level(points, timing), timing, until_us)

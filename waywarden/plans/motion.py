@@ -200,33 +200,33 @@ def window_residuals(spark, d):
     return all_windows(spark, d).select("track_id", "k", *r6("kin_speed_resid_max", "kin_speed_resid_mean", "tmp_n_points", "tmp_staleness_s", "tmp_gap_max_s"))
 
 
-@query("argmax_aux", f"{ALL} SELECT track_id, k, round(arg_max(v_imp, struct_pack(a := resid, b := t_us, c := seq)), 6) AS aux_speed_implied_mps, round(arg_max(v_rep, struct_pack(a := resid, b := t_us, c := seq)), 6) AS aux_speed_reported_mps FROM h WHERE resid IS NOT NULL GROUP BY ALL")
+@query("argmax_aux", f"{ALL}, m AS (SELECT track_id, k, round(arg_max(v_imp, struct_pack(a := resid, b := t_us, c := seq)), 6) AS aux_speed_implied_mps, round(arg_max(v_rep, struct_pack(a := resid, b := t_us, c := seq)), 6) AS aux_speed_reported_mps FROM h WHERE resid IS NOT NULL GROUP BY ALL) SELECT * FROM grid LEFT JOIN m USING (track_id, k)")
 def argmax_aux(spark, d):
-    return all_windows(spark, d).filter("aux_speed_implied_mps IS NOT NULL").select("track_id", "k", *r6("aux_speed_implied_mps", "aux_speed_reported_mps"))
+    return all_windows(spark, d).select("track_id", "k", *r6("aux_speed_implied_mps", "aux_speed_reported_mps"))
 
 
 BASE = f"""bs AS (SELECT g.track_id, g.k, r.* EXCLUDE (track_id), row_number() OVER (PARTITION BY g.track_id, g.k ORDER BY r.t_us, r.seq) AS nth FROM grid g JOIN res r ON r.track_id = g.track_id AND r.t_us > g.k * {S} - {W} - {B} AND r.t_us <= g.k * {S} - {W}),
 bm AS (SELECT track_id, k, min(t_us) AS t0, median(nacp) AS nacp0, median(alt_div) AS div0, median(dt_prev) FILTER (nth > 1) AS dt0 FROM bs GROUP BY ALL HAVING {S} * k - {W} - min(t_us) >= {H})"""
 
 
-@query("trailing_median", f"{ALL}, {BASE}, m AS (SELECT track_id, k, median(nacp) AS med FROM h GROUP BY ALL) SELECT track_id, k, greatest(nacp0 - med, 0) AS sig_nacp_drop FROM m JOIN bm USING (track_id, k) WHERE nacp0 - med IS NOT NULL")
+@query("trailing_median", f"{ALL}, {BASE}, m AS (SELECT track_id, k, median(nacp) AS med FROM h GROUP BY ALL) SELECT track_id, k, CASE WHEN nacp0 - med IS NOT NULL THEN greatest(nacp0 - med, 0) END AS sig_nacp_drop FROM grid LEFT JOIN m USING (track_id, k) LEFT JOIN bm USING (track_id, k)")
 def trailing_median(spark, d):
-    return all_windows(spark, d).filter("sig_nacp_drop IS NOT NULL").select("track_id", "k", "sig_nacp_drop")
+    return all_windows(spark, d).select("track_id", "k", "sig_nacp_drop")
 
 
-@query("dt_dev_ratio", f"{ALL}, {BASE}, m AS (SELECT track_id, k, median(dt_prev) AS med FROM h GROUP BY ALL) SELECT track_id, k, round(abs(med - dt0) / dt0, 6) AS tmp_dt_dev_ratio FROM m JOIN bm USING (track_id, k) WHERE dt0 > 0 AND med IS NOT NULL")
+@query("dt_dev_ratio", f"{ALL}, {BASE}, m AS (SELECT track_id, k, median(dt_prev) AS med FROM h GROUP BY ALL) SELECT track_id, k, CASE WHEN dt0 > 0 THEN round(abs(med - dt0) / dt0, 6) END AS tmp_dt_dev_ratio FROM grid LEFT JOIN m USING (track_id, k) LEFT JOIN bm USING (track_id, k)")
 def dt_dev_ratio(spark, d):
-    return all_windows(spark, d).filter("tmp_dt_dev_ratio IS NOT NULL").select("track_id", "k", *r6("tmp_dt_dev_ratio"))
+    return all_windows(spark, d).select("track_id", "k", *r6("tmp_dt_dev_ratio"))
 
 
-@query("altitude_deviation", f"{ALL}, {BASE} SELECT track_id, k, max(abs(alt_div - div0)) AS sig_alt_div_dev_max_m FROM h JOIN bm USING (track_id, k) GROUP BY ALL HAVING max(abs(alt_div - div0)) IS NOT NULL")
+@query("altitude_deviation", f"{ALL}, {BASE}, m AS (SELECT track_id, k, max(abs(alt_div - div0)) AS sig_alt_div_dev_max_m FROM h JOIN bm USING (track_id, k) GROUP BY ALL) SELECT * FROM grid LEFT JOIN m USING (track_id, k)")
 def altitude_deviation(spark, d):
-    return all_windows(spark, d).filter("sig_alt_div_dev_max_m IS NOT NULL").select("track_id", "k", "sig_alt_div_dev_max_m")
+    return all_windows(spark, d).select("track_id", "k", "sig_alt_div_dev_max_m")
 
 
-@query("degraded_majority", f"WITH {PTS}, {GRID}, e AS (SELECT *, coalesce(max(CASE WHEN nacp >= 8 THEN 1 ELSE 0 END) OVER ({SO_FAR}), 0) = 1 AS eligible FROM pts), h AS (SELECT g.k, e.* FROM grid g JOIN e ON e.track_id = g.track_id AND e.t_us > g.k * {S} - {W} AND e.t_us <= g.k * {S}) SELECT track_id, k, round(avg(CAST(nacp < 8 AS DOUBLE)), 6) AS sig_degraded_frac, CAST(avg(CAST(nacp < 8 AS DOUBLE)) > 0.5 AS DOUBLE) AS sig_degraded_majority FROM h WHERE eligible AND nacp IS NOT NULL GROUP BY ALL")
+@query("degraded_majority", f"WITH {PTS}, {GRID}, e AS (SELECT *, coalesce(max(CASE WHEN nacp >= 8 THEN 1 ELSE 0 END) OVER ({SO_FAR}), 0) = 1 AS eligible FROM pts), h AS (SELECT g.k, e.* FROM grid g JOIN e ON e.track_id = g.track_id AND e.t_us > g.k * {S} - {W} AND e.t_us <= g.k * {S}), m AS (SELECT track_id, k, round(avg(CAST(nacp < 8 AS DOUBLE)), 6) AS sig_degraded_frac, CAST(avg(CAST(nacp < 8 AS DOUBLE)) > 0.5 AS DOUBLE) AS sig_degraded_majority FROM h WHERE eligible AND nacp IS NOT NULL GROUP BY ALL) SELECT * FROM grid LEFT JOIN m USING (track_id, k)")
 def degraded_majority(spark, d):
-    return all_windows(spark, d).filter("sig_degraded_frac IS NOT NULL").select("track_id", "k", *r6("sig_degraded_frac"), "sig_degraded_majority")
+    return all_windows(spark, d).select("track_id", "k", *r6("sig_degraded_frac"), "sig_degraded_majority")
 
 
 def _wide(spark, d):
@@ -242,10 +242,10 @@ s AS (SELECT track_id, k, count(*) AS n, sum(u) AS s1, sum(u*u) AS s2, sum(u*u*u
 dd AS (SELECT *, n*(s2*s4-s3*s3) - s1*(s1*s4-s2*s3) + s2*(s1*s3-s2*s2) AS det FROM s),
 co AS (SELECT *, (x0*(s2*s4-s3*s3) - s1*(x1*s4-x2*s3) + s2*(x1*s3-x2*s2))/det AS a0, (n*(x1*s4-x2*s3) - x0*(s1*s4-s2*s3) + s2*(s1*x2-s2*x1))/det AS a1, (n*(s2*x2-s3*x1) - s1*(s1*x2-s2*x1) + x0*(s1*s3-s2*s2))/det AS a2,
  (y0*(s2*s4-s3*s3) - s1*(y1*s4-y2*s3) + s2*(y1*s3-y2*s2))/det AS b0, (n*(y1*s4-y2*s3) - y0*(s1*s4-s2*s3) + s2*(s1*y2-s2*y1))/det AS b1, (n*(s2*y2-s3*y1) - s1*(s1*y2-s2*y1) + y0*(s1*s3-s2*s2))/det AS b2 FROM dd WHERE abs(det) > 1e-12 * pow(n, 3))
-SELECT track_id, k, round(sqrt(greatest(0, q - a0*x0 - a1*x1 - a2*x2 - b0*y0 - b1*y1 - b2*y2) / n), 3) AS jitter FROM co""")
+SELECT track_id, k, round(sqrt(greatest(0, q - a0*x0 - a1*x1 - a2*x2 - b0*y0 - b1*y1 - b2*y2) / n), 3) AS jitter FROM grid LEFT JOIN co USING (track_id, k)""")
 def jitter_fit(spark, d):
     p = _wide(spark, d)
-    return windows.jitter(windows.members(p, TIMING), TIMING).filter("jitter IS NOT NULL").select("track_id", "k", F.round("jitter", 3).alias("jitter"))
+    return windows.window_features(p, TIMING).select("track_id", "k", F.round("kin_pos_jitter_m", 3).alias("jitter"))
 
 
 LABELLED = "CASE seq % 9 WHEN 0 THEN 'degraded' WHEN 1 THEN 'technical_error' WHEN 2 THEN 'possible_spoofing' ELSE 'plausible' END"
