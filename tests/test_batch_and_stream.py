@@ -57,6 +57,64 @@ def test_online_equals_batch(spark, batch_verdicts, tmp_path):
     assert engine.verdicts().count() == len(live)
 
 
+def still(n=6, length=400, quiet=(), bad=()):
+    """Near-still tracks side by side; quiet: track to the second after which it says nothing; bad: track to spans of low accuracy."""
+    out = []
+    for i in range(n):
+        p = track(n=length, speed=0.0, name=f"test:q{i}:0", lat=41.80 + 0.00002 * i)
+        for a, b in dict(bad).get(i, ()):
+            p.loc[(p.seq >= a) & (p.seq < b), "nacp"] = 3.0
+        out.append(p[p.seq <= dict(quiet).get(i, length)])
+    return pd.concat(out, ignore_index=True)
+
+
+def same_verdicts(live, want):
+    keys = ["track_id", "t_end"]
+    both = want.merge(live, on=keys, suffixes=("", "_live"), how="outer", indicator=True)
+    assert (both._merge == "both").all(), both._merge.value_counts()
+    assert np.allclose(both.integrity, both.integrity_live)
+    for c in ("trust_state", "normality_state", "cause", "action_code", "area_alert_id"):
+        assert (both[c].fillna("") == both[f"{c}_live"].fillna("")).all(), c
+    return both
+
+
+def test_online_keeps_silent_tracks_and_alert_ids(spark, tmp_path):
+    """Two tracks fall silent, an alert lasts over several micro-batches, and all is as in the batch."""
+    p = still(6, 240, quiet=((4, 60), (5, 100)), bad=((0, ((40, 200),)), (1, ((45, 190),)), (2, ((50, 230),)), (3, ((50, 180),))))
+    engine = Engine(spark, str(tmp_path / "engine"))
+    cuts = [0, 70, 120, 165, 240]
+    for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        engine.ingest(frame(spark, p[(p.seq >= a) & (p.seq < b)]), n)
+    clock = (T0 + 239) // 5 * 5
+    want = batch.verdicts(batch.features(frame(spark, p), Timing(), until_us=clock * 1_000_000)).toPandas()
+    want = want[want.t_end <= clock]
+    both = same_verdicts(engine.verdicts().toPandas(), want)
+    quiet = both[both.track_id == "test:q4:0"]
+    assert quiet.t_end.max() == clock and (quiet[quiet.t_end > T0 + 120].confidence < 0.5).all()
+    ids = both.area_alert_id.dropna().unique()
+    assert len(ids) == 1 and both[both.area_alert_id.notna()].t_end.agg(["min", "max"]).diff().iloc[-1] > 150
+    # nothing of old batches stays but what is served
+    left = {q.name: sorted(x.name for x in q.iterdir() if x.is_dir()) for q in (tmp_path / "engine").iterdir()}
+    assert left["buffer"] == ["batch=2", "batch=3"] and not any(left.get(t) for t in ("features", "joined", "gostate"))
+    assert engine.alerts().count() > 0 and engine.risk_zones().columns == ["feature"]
+
+
+def test_catch_up_loses_nothing(spark, tmp_path):
+    """A long silence of the whole stream is caught up in several goes, and every grid time has its verdicts."""
+    long = Timing(gap_s=20_000)
+    p = still(2, 200)
+    p = p[(p.seq < 60) | (p.seq >= 190)].copy()
+    late = p.seq >= 190
+    p.loc[late, "t_us"] += 10_000 * 1_000_000
+    p.loc[late, "t"] += 10_000
+    engine = Engine(spark, str(tmp_path / "engine"), long, keep_s=20_000.0)
+    engine.ingest(frame(spark, p[~late]), 0)
+    engine.ingest(frame(spark, p[late]), 1)
+    live = engine.verdicts().toPandas()
+    per = live.groupby("track_id").t_end.agg(["count", "nunique", "min", "max"])
+    assert (per["count"] == per["nunique"]).all() and (per["count"] == (per["max"] - per["min"]) / 5 + 1).all() and per["count"].min() > 2000
+
+
 def test_stream_of_files(spark, tmp_path):
     from tests.helpers import POINT
 

@@ -232,13 +232,14 @@ def _named(held: int, stride: float):
                 shown.append([area, alert, k, k + held, list(cells)])
             for a in ended - taken:
                 live.pop(a, None)
-        return pd.DataFrame(shown, columns=["area", "area_alert_id", "k", "until", "cells"])
+        last = set(live.values())
+        return pd.DataFrame([(*x, i in last) for i, x in enumerate(shown)], columns=["area", "area_alert_id", "k", "until", "cells", "last"])
 
     return run
 
 
 def alert_parts(counts: DataFrame, profile: Fleet = APRON, before: DataFrame | None = None, by_history: bool = True) -> DataFrame:
-    """(area, area_alert_id, k, until, cells): each connected part of flagged cells, the alert it belongs to, and the time it is shown to.
+    """(area, area_alert_id, k, until, cells, last): each connected part of flagged cells, the alert it belongs to, the time it is shown to, and whether its alert may go on from it.
 
     Only flagged cells, few beside all, come here. Parts of different times that
     share a cell and are not too far apart make up a history; naming folds in
@@ -263,20 +264,24 @@ def alert_parts(counts: DataFrame, profile: Fleet = APRON, before: DataFrame | N
         p = p.join(joined, p["part"] == joined["id"], "left").withColumn("history", F.coalesce("component", "part"))
         group = ["area", "history"]
     out = p.select(*group, "k", "area_alert_id", "n", "cells").groupBy(*group)
-    return out.applyInPandas(_named(held, profile.timing.stride_s), "area string, area_alert_id string, k long, until long, cells array<string>")
+    return out.applyInPandas(_named(held, profile.timing.stride_s), "area string, area_alert_id string, k long, until long, cells array<string>, last boolean")
 
 
-def area_alerts(counts: DataFrame, profile: Fleet = APRON, before: DataFrame | None = None, by_history: bool = True) -> DataFrame:
+def shown_alerts(alert_parts_: DataFrame, counts: DataFrame) -> DataFrame:
     """(area, area_alert_id, k, cells, share, n_tracks, n_degraded, flagged): one row for each alert at each grid time it lasts."""
-    shown = alert_parts(counts, profile, before, by_history)
     at = F.explode(F.sequence("k", F.col("until") - 1))
-    alerts = shown.filter("until > k").select("area", "area_alert_id", "cells", F.col("k").alias("_k"), at.alias("k")).withColumn("flagged", F.col("k") == F.col("_k")).drop("_k")
+    alerts = alert_parts_.filter("until > k").select("area", "area_alert_id", "cells", F.col("k").alias("_k"), at.alias("k")).withColumn("flagged", F.col("k") == F.col("_k")).drop("_k")
     each = alerts.withColumn("cell", F.explode("cells")).select("area", "area_alert_id", "k", "cell")
     sums = each.join(counts.select("area", "cell", "k", "n_tracks", "n_degraded"), ["area", "cell", "k"], "left").groupBy("area", "area_alert_id", "k").agg(F.coalesce(F.sum("n_tracks"), F.lit(0)).alias("n_tracks"), F.coalesce(F.sum("n_degraded"), F.lit(0)).alias("n_degraded"))
     out = alerts.join(sums, ["area", "area_alert_id", "k"])
     return out.withColumn("share", F.coalesce(F.try_divide("n_degraded", "n_tracks"), F.lit(0.0)))
 
 
+def area_alerts(counts: DataFrame, profile: Fleet = APRON, before: DataFrame | None = None, by_history: bool = True) -> DataFrame:
+    """The alerts of flagged cells at each grid time, see shown_alerts()."""
+    return shown_alerts(alert_parts(counts, profile, before, by_history), counts)
+
+
 def alert_members(windows: DataFrame, alerts: DataFrame, profile: Fleet = APRON) -> DataFrame:
     """(track_id, k, area_alert_id): windows that sit in an alert's cells at their time, the smallest id where several."""
     own = presence(windows, profile).filter("own").select("area", TRACK, "k", "cell")

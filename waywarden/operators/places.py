@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waywarden import params
+from waywarden import params, registry
 from waywarden.functions import geo
-from waywarden.operators.fixes import TRACK
+from waywarden.operators.fixes import TRACK, so_far
 
 TILE_M = 250.0
 TAXI = ("taxiway", "apron", "stand", "holding_point")
@@ -198,25 +198,49 @@ def to_metric(lat: float, lon: float) -> tuple[float, float]:
 
 
 def taxi_surface(positions: DataFrame, zones: DataFrame) -> DataFrame:
-    """(track_id, seq) of positions within 50 m of a taxi surface and farther than that from every runway."""
+    """(track_id, seq) of positions (x, y) within 50 m of a taxi surface and farther than that from every runway."""
     near = near_polygons(positions.select(TRACK, "seq", "x", "y"), zones.filter(F.col("zone_type").isin(*TAXI, "runway")), params.ZONE_BUFFER_M)
     g = near.groupBy(TRACK, "seq").agg(F.bool_or(F.col("zone_type") == "runway").alias("runway"), F.bool_or(F.col("zone_type") != "runway").alias("taxi"))
     return g.filter("taxi AND NOT runway").select(TRACK, "seq")
 
 
+def with_taxi(points: DataFrame, zones: DataFrame) -> DataFrame:
+    """points with taxi_surface: where an aircraft on the ground is bound to its class's limit for taxiing."""
+    rolling = metric(points.filter((F.col("domain") == "aircraft") & F.col("on_ground")).select(TRACK, "seq", "lat", "lon"))
+    on = taxi_surface(rolling, zones).withColumn("taxi_surface", F.lit(True))
+    return points.join(on, [TRACK, "seq"], "left").withColumn("taxi_surface", F.coalesce("taxi_surface", F.lit(False)))
+
+
+def elevation_grid(buildings: DataFrame, cell: float = 10.0, reach: float = 150.0) -> DataFrame:
+    """(i, j, elevation_deg): building_elevation() at the middle of each cell of a grid that has a building within reach.
+
+    Each building gives the cells around it, so the table grows with the
+    buildings and not with the positions that look it up.
+    """
+    xs, ys = (F.transform("ring", lambda p, v=v: p[v]) for v in "xy")
+    span = lambda v: F.sequence(F.floor((F.array_min(v) - reach) / cell), F.floor((F.array_max(v) + reach) / cell))
+    at = buildings.select("height_m", "ring", F.explode(span(xs)).alias("i"), span(ys).alias("_j")).withColumn("j", F.explode("_j"))
+    d = geo.to_ring_m((F.col("i") + 0.5) * cell, (F.col("j") + 0.5) * cell, F.col("ring"))
+    near = at.withColumn("d", d).filter(F.col("d") <= reach)
+    return near.groupBy("i", "j").agg(F.max(F.degrees(F.atan2("height_m", F.greatest("d", F.lit(1.0))))).alias("elevation_deg"))
+
+
 def building_elevation(positions: DataFrame, buildings: DataFrame, key: list[str], reach: float = 150.0) -> DataFrame:
     """key and elevation_deg: the steepest angle to a building's top within reach, from at least 1 m away."""
     near = near_polygons(positions.select(*key, "x", "y"), buildings, reach)
     return near.groupBy(*key).agg(F.max(F.degrees(F.atan2("height_m", F.greatest("dist", F.lit(1.0))))).alias("elevation_deg"))
 
 
-def identity_rules(fixes: DataFrame, types: DataFrame, envelopes: DataFrame) -> DataFrame:
-    """fixes with rule_airline (an airline callsign on a light or unknown declared type) and rule_fast (faster than the declared class can fly)."""
-    w = Window.partitionBy(TRACK).orderBy("t_us", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    f = fixes.withColumn("_sign", F.last("callsign", ignorenulls=True).over(w))
-    t = types.select(F.upper("typecode").alias("_type"), F.col("size_class").alias("_known"))
+def identity_rules(fixes: DataFrame, types: DataFrame) -> DataFrame:
+    """fixes with rule_airline (an airline callsign on a light or unknown declared type) and rule_fast (faster than the declared class can fly).
+
+    types: typecode, size_class, a row a typecode. Null where no type is declared.
+    """
+    t = types.select(F.upper(F.trim("typecode")).alias("_type"), F.col("size_class").alias("_known"))
+    limits = registry.envelopes(fixes.sparkSession).select(F.col("asset_class").alias("_class"), F.col("air_max").alias("_max"))
+    f = fixes.withColumn("_sign", F.last("callsign", ignorenulls=True).over(so_far()))
     f = f.join(t, F.upper(F.trim("typecode_raw")) == F.col("_type"), "left").withColumn("_class", F.when(F.col("typecode_raw").isNotNull(), F.coalesce("_known", F.lit("other"))))
-    f = f.join(envelopes.select(F.col("asset_class").alias("_class"), F.col("air_max").alias("_max")), "_class", "left")
+    f = f.join(F.broadcast(limits), "_class", "left")  # 14 rows
     declared = (F.col("domain") == "aircraft") & F.col("_class").isNotNull()
     airline = F.coalesce("_sign", F.lit("")).rlike("^[A-Z]{3}[0-9]")
     return f.withColumns({
@@ -225,16 +249,18 @@ def identity_rules(fixes: DataFrame, types: DataFrame, envelopes: DataFrame) ->
     }).drop("_sign", "_type", "_known", "_class", "_max")
 
 
-def map_fixes(fixes: DataFrame, layers: dict[str, DataFrame], boundary: Column | None = None) -> DataFrame:
+def map_fixes(fixes: DataFrame, layers: dict[str, DataFrame]) -> DataFrame:
     """fixes with the map's per-fix quantities, null where the map does not apply.
 
-    layers has zones, access, and optionally buildings, routes, runways, types.
-    boundary tells from x and y whether a position is inside the airport.
+    layers has zones, access, and optionally buildings, routes, runways, types,
+    and boundary, rings that hold the airport; without it nothing is outside.
     """
     box = lambda b: F.col("lat").between(b[0], b[2]) & F.col("lon").between(b[1], b[3])
     p = metric(fixes).withColumn("_ground", F.col("ground") & box(params.AIRPORT_BOX)).withColumn("_air", ~F.col("ground") & (F.col("domain") == "aircraft") & box(params.APPROACH_BOX))
     ground = p.filter("_ground")
     key = [TRACK, "seq"]
+    if "types" in layers:
+        p = identity_rules(p, layers["types"])
     out = dwell(p.withColumn("ok", F.col("_ground")).drop("j", "jj")).drop("ok")
     out = out.join(ground_zones(ground, layers["zones"], layers["access"]), key, "left")
     if "buildings" in layers:
@@ -242,7 +268,10 @@ def map_fixes(fixes: DataFrame, layers: dict[str, DataFrame], boundary: Column |
         out = out.join(inside, key, "left").withColumn("in_building", F.when(F.col("_ground"), F.coalesce("_in", F.lit(0.0)))).drop("_in")
     if "routes" in layers:
         out = out.join(nearest_edge(ground, layers["routes"], key), key, "left")
-    outside = ~boundary if boundary is not None else F.lit(False)
+    outside = F.lit(False)
+    if "boundary" in layers:
+        within = near_polygons(ground.select(*key, "x", "y"), layers["boundary"], tile=1_000.0).select(*key).distinct().withColumn("_within", F.lit(True))
+        out, outside = out.join(within, key, "left"), F.col("_within").isNull()
     g = F.col("_ground")
     out = out.withColumns({
         "outside": F.when(g, outside.cast("double")),
@@ -274,13 +303,14 @@ MAP_MAXIMA = {"spa_route_dist_max_m": "route_m", "spa_zone_crit_max": "crit", "c
 
 
 def map_windows(mapped: DataFrame, timing) -> DataFrame:
-    """(track_id, k) with the spatial and contextual features and the zone behind the criticality."""
+    """(track_id, k) with the spatial and contextual features and the zone behind the criticality, of windows that hold a fix."""
     from waywarden.operators.windows import latest, members
 
     has = lambda c: F.col(c) if c in mapped.columns else F.lit(None).cast("double")
     zone = F.when(F.col("_air"), F.struct(F.concat(F.lit("approach_"), "end").alias("zone_id"), F.concat(F.lit("final "), "end").alias("zone_name"), F.when(F.col("end").isNotNull(), "approach").alias("zone_type"), F.lit(None).cast("double").alias("speed_limit_mps"))) if "end" in mapped.columns else F.lit(None)
     zone = F.coalesce(zone, F.struct("zone_id", "zone_name", "zone_type", F.col("speed_limit_mps").cast("double").alias("speed_limit_mps")))
-    g = members(mapped.withColumn("_zone", zone), timing).groupBy(TRACK, "k").agg(
+    # windows beyond a track's last are dropped by the join on the other features
+    g = members(mapped.withColumn("_zone", zone), timing, last=False).groupBy(TRACK, "k").agg(
         *[F.avg(has(c)).alias(f) for f, c in MAP_MEANS.items()],
         *[F.max(has(c)).alias(f) for f, c in MAP_MAXIMA.items()],
         latest(F.col("_zone"), "crit").alias("z"),

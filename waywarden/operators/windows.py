@@ -118,11 +118,12 @@ def _best(value: Column, by: str) -> Column:
 
 
 def filled(b: DataFrame, timing: Timing = Timing(), until_us: int | None = None) -> DataFrame:
-    """Buckets with a row for each grid time from a track's first fix to its last, or to until_us, but not longer than the gap."""
+    """Buckets with a row for each grid time from a track's first fix to its last, or to until_us while its last fix is not older than the gap."""
     upto = F.lead("k").over(Window.partitionBy(TRACK).orderBy("k")) - 1
     last = F.col("k")
     if until_us is not None:
-        last = F.greatest(last, F.least(F.lit(until_us // timing.us("stride")), last + timing.us("gap") // timing.us("stride") + 1))
+        active = F.floor((F.col("last.t_us") + timing.us("gap")) / timing.us("stride")).cast("long")
+        last = F.greatest(last, F.least(F.lit(until_us // timing.us("stride")).cast("long"), active))
     g = b.withColumn("_k", F.coalesce(upto, last)).withColumn("_at", F.explode(F.sequence("k", F.col("_k"))))
     own = F.col("_at") == F.col("k")
     return g.select(TRACK, *[F.when(own, F.col(c)).alias(c) for c in b.columns if c not in (TRACK, "k")], F.col("_at").alias("k"))
@@ -142,33 +143,31 @@ def _median_but(values: Column, one: Column) -> Column:
     return F.when(n > 0, (pick(F.floor((n - 1) / 2)) + pick(F.floor(n / 2))) / 2)
 
 
-def _jitter(timing: Timing, order) -> Column:
-    """RMS distance of a window's positions from a fit quadratic in time; null below 5 fixes.
+MOMENTS = [f"s{i}" for i in range(5)] + [f"{v}{i}" for v in "xy" for i in range(3)] + ["xx", "yy"]
 
-    The buckets' moments are shifted to the window's end and added; the residual
+
+def _jitter(timing: Timing) -> Column:
+    """The moments of a window as a struct, from those of its buckets, m0 (its own) to the one strides - 1 before.
+
+    RMS distance of a window's positions from a fit quadratic in time: the
+    buckets' moments are shifted to the window's end and added; the residual
     does not depend on where positions count from, so degrees from the track's
     first fix do, scaled to metres at the window's first fix. The 3x3 system is
     solved in columns.
     """
-    names = [f"m_s{i}" for i in range(5)] + [f"m_{v}{i}" for v in "xy" for i in range(3)] + ["m_xx", "m_yy"]
-    held = F.struct(*names)
-    total = dict.fromkeys((n[2:] for n in names), F.lit(0.0))
+    total: dict[str, list[str]] = {c: [] for c in MOMENTS}
     for j in range(timing.strides):
-        one = (held if j == 0 else F.lag(held, j).over(order))
-        shift = -j / timing.strides
-        for kind, most in (("s", 4), ("x", 2), ("y", 2)):
-            for p in range(most + 1):
-                for q in range(p + 1):
-                    factor = math.comb(p, q) * shift ** (p - q)
-                    if factor:
-                        total[f"{kind}{p}"] = total[f"{kind}{p}"] + factor * F.coalesce(one[f"m_{kind}{q}"], F.lit(0.0))
-        for v in ("xx", "yy"):
-            total[v] = total[v] + F.coalesce(one[f"m_{v}"], F.lit(0.0))
-    return F.struct(*[v.alias(c) for c, v in total.items()])
+        for c in MOMENTS:
+            power = int(c[1]) if c[1].isdigit() else 0
+            for q in range(power + 1):
+                factor = math.comb(power, q) * (-j / timing.strides) ** (power - q)
+                if factor:
+                    total[c].append(f"{factor!r}D * coalesce(m{j}.m_{c[0]}{q if c[1].isdigit() else c[1]}, 0.0D)")
+    return F.expr("named_struct(" + ", ".join(f"'{c}', {' + '.join(terms)}" for c, terms in total.items()) + ")")
 
 
 def _residual() -> Column:
-    """From jm, the moments of a window, and first, its first fix."""
+    """Jitter in metres from jm, the moments of a window, and head, its first fix; null below 5 fixes."""
     m = lambda c: f"jm.{c}"
     s = [m(f"s{i}") for i in range(5)]
     det = f"({s[0]} * ({s[2]} * {s[4]} - {s[3]} * {s[3]}) - {s[1]} * ({s[1]} * {s[4]} - {s[2]} * {s[3]}) + {s[2]} * ({s[1]} * {s[3]} - {s[2]} * {s[2]}))"
@@ -216,8 +215,8 @@ def window_level(fixes: DataFrame, timing: Timing = Timing(), until_us: int | No
         "w_said": F.max("said").over(up_to),
         "b_first": F.min("first").over(base),
         "head": F.min("first").over(held),
-        "jm": _jitter(timing, order),
-    })
+        **{f"m{j}": F.lag(F.struct(*[f"m_{c}" for c in MOMENTS]), j).over(order) if j else F.struct(*[f"m_{c}" for c in MOMENTS]) for j in range(timing.strides)},
+    }).withColumn("jm", _jitter(timing))
     end_us = c("k") * timing.us("stride")
     old = F.coalesce(end_us - timing.us("window") - c("b_first.t_us") >= timing.us("history"), F.lit(False))
     w = w.withColumns({

@@ -17,6 +17,7 @@ from waywarden.operators.fixes import TRACK, fix_level
 from waywarden.operators.models import Linear
 from waywarden.operators.windows import window_level
 from waywarden.params import APRON, Fleet, Timing
+from waywarden.tables import written
 
 
 @dataclass
@@ -54,10 +55,10 @@ class Bundle:
         return self.second.contribution if self.second else None
 
 
-def features(points: DataFrame, timing: Timing = Timing(), layers: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Windows with all features that the layers allow; the others are null."""
-    fixes = fix_level(points, timing)
-    out = window_level(fixes, timing)
+def features(points: DataFrame, timing: Timing = Timing(), layers: dict[str, DataFrame] | None = None, until_us: int | None = None) -> DataFrame:
+    """Windows with all features that the layers allow; the others are null. With until_us silent tracks have windows up to then, see filled()."""
+    fixes = fix_level(places.with_taxi(points, layers["zones"]) if layers else points, timing)
+    out = window_level(fixes, timing, until_us)
     if layers:
         mapped = places.map_fixes(fixes, layers)
         out = out.join(places.map_windows(mapped, timing), [TRACK, "k"], "left")
@@ -74,12 +75,20 @@ def degraded(feats: DataFrame, bundle: Bundle) -> DataFrame:
     return v.select(*cols, (low | majority).alias("degraded"))
 
 
-def fleet_tables(feats: DataFrame, bundle: Bundle, profile: Fleet = APRON, baseline: DataFrame | None = None) -> dict[str, DataFrame]:
-    """cells, features, alerts and members of the fleet layer."""
+def fleet_tables(feats: DataFrame, bundle: Bundle, profile: Fleet = APRON, baseline: DataFrame | None = None, span: tuple[int, int] | None = None, before: DataFrame | None = None) -> dict[str, DataFrame]:
+    """cells, features, parts, alerts and members of the fleet layer.
+
+    For a stream: span has the first and last grid time to judge, feats may reach
+    back further, and presence ahead; before has the parts of alerts that may go on.
+    """
     w = degraded(feats, bundle)
     counts = fleet.cell_counts(fleet.presence(w, profile), profile, baseline)
-    alerts = fleet.area_alerts(counts, profile)
-    return {"cells": counts, "features": fleet.fleet_features(w, profile, baseline), "alerts": alerts, "members": fleet.alert_members(w, alerts, profile)}
+    if span:
+        counts = counts.filter(F.col("k").between(*span))
+    parts = fleet.alert_parts(counts, profile, before, by_history=span is None)
+    parts = parts if span else written(parts, "alertparts")
+    alerts = fleet.shown_alerts(parts, counts)
+    return {"cells": counts, "features": fleet.fleet_features(w, profile, baseline), "parts": parts, "alerts": alerts, "members": fleet.alert_members(w, alerts, profile)}
 
 
 def verdicts(feats: DataFrame, bundle: Bundle = Bundle(), profile: Fleet = APRON, baseline: DataFrame | None = None, init: DataFrame | None = None, tables: dict[str, DataFrame] | None = None) -> DataFrame:
