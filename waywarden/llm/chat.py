@@ -1,22 +1,25 @@
 r"""Chat formatting from an event log.
 
-A log has one row for each event of a conversation: a message, a streamed
-delta, an edit or a regeneration. The fold keeps, for each message, the last
-event that sets its text (message, edit, regenerate) and the deltas behind it.
-Messages are then rendered in order into one string, with the spans of
-assistant text as the loss mask.
+A log has one row for each event of a conversation: a message that opens, a
+streamed delta, an edit, or a regeneration. Logs are partitioned by
+conversation and sorted by sequence number. A regeneration starts its message
+anew and drops the messages behind it that were said before; an edit sets a
+message's text and leaves what follows. What is left of a message folds into
+the last event that sets its text and the deltas behind that. Messages are then
+rendered in order into one string, with the spans of assistant text as the loss
+mask.
 
 Template: ``<turn>role<text>text</turn>``, control strings all beginning with
 ``<``. Roles and texts have ``\`` written as ``\\`` and ``<`` as ``\l``, so no
 text can close or open a turn, and the rendering can be parsed back.
 
-The fold runs first by (conversation, message), so only final texts gather by
-conversation; one conversation must fit one row, as its rendering does.
+All steps share one shuffle by conversation; one conversation must fit one
+row, as its rendering does.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waywarden.llm.common import written
@@ -35,15 +38,29 @@ def unescape(text: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\l"), F.lit("<"))), "\\")
 
 
+def living(events: DataFrame) -> DataFrame:
+    """events without those that a later regeneration of an earlier message has dropped.
+
+    Sorted from the end of a conversation, the first message regenerated so far
+    is a running minimum; an event lives while its message is not behind that.
+    """
+    seq = F.coalesce("seq", F.lit(-(1 << 62)))  # a null comes first
+    later = Window.partitionBy("conv_id").orderBy(seq.desc()).rangeBetween(Window.unboundedPreceding, -1)
+    first = F.min(F.when(F.col("kind") == "regenerate", F.col("message"))).over(later)
+    return events.withColumn("_first", first).filter("_first IS NULL OR message IS NULL OR message <= _first").drop("_first")
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """(conv_id, seq, message, kind, role, text) events to (conv_id, message, role, text) final messages.
 
     kind: message, edit and regenerate set the text, delta appends to it; null
-    or unknown kinds count as message. Ties of seq fold in order of kind and
-    text. A null text is empty; a null role is empty. A message that begins
-    with deltas starts from the empty text.
+    or unknown kinds count as message. A regeneration also drops what was said
+    before it in messages of a higher number; such a message may come again.
+    Ties of seq fold in order of kind (deltas last) and text, and drop nothing.
+    A null text is empty; the last role that is not empty holds. A message that
+    begins with deltas starts from the empty text. A null seq comes first.
     """
-    e = events.select(
+    e = living(events).select(
         "conv_id",
         "message",
         F.struct(
@@ -54,44 +71,30 @@ def fold_events(events: DataFrame) -> DataFrame:
         ).alias("e"),
     )
     log = e.groupBy("conv_id", "message").agg(F.sort_array(F.collect_list("e")).alias("log"))
-    folded = F.aggregate(
-        "log",
-        F.struct(F.lit("").alias("role"), F.array().cast("array<string>").alias("parts")),
-        lambda acc, x: F.struct(
-            F.when(x["role"] != "", x["role"]).otherwise(acc["role"]).alias("role"),
-            F.when(x["delta"] == 1, F.array_append(acc["parts"], x["text"])).otherwise(F.array(x["text"])).alias("parts"),
-        ),
-    )
-    return log.select("conv_id", "message", folded.alias("f")).select("conv_id", "message", F.col("f.role").alias("role"), F.array_join("f.parts", "").alias("text"))
+    # the place of the last event that sets the text; one pass, whatever the number of deltas
+    start = F.greatest(F.lit(1), F.array_max(F.transform("log", lambda x, i: F.when(x["delta"] == 0, i + 1).otherwise(0))))
+    said = F.array_join(F.transform(F.slice("log", start, F.size("log")), lambda x: x["text"]), "")
+    roles = F.filter(F.transform("log", lambda x: x["role"]), lambda r: r != "")
+    return log.select("conv_id", "message", F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("")).alias("role"), said.alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:
     """Final messages to one row for each conversation: formatted, and loss_spans as (start, length) in code points."""
-    m = messages.select(
-        "conv_id",
-        F.struct("message", escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), (F.col("role") == LOSS_ROLE).alias("loss")).alias("m"),
-    )
-    by = m.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    piece = lambda x: F.concat(F.lit(OPEN), x["role"], F.lit(MID), x["text"], F.lit(CLOSE))
-    spans = F.aggregate(
-        "ms",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(piece(x))).alias("at"),
-            F.when(
-                x["loss"],
-                F.array_append(acc["spans"], F.struct((acc["at"] + len(OPEN + MID) + F.length(x["role"])).alias("start"), F.length(x["text"]).alias("length"))),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return by.select("conv_id", F.array_join(F.transform("ms", piece), "").alias("formatted"), spans.alias("loss_spans"))
+    m = messages.select("conv_id", "message", escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), (F.col("role") == LOSS_ROLE).alias("loss"))
+    m = m.withColumn("piece", F.concat(F.lit(OPEN), "role", F.lit(MID), "text", F.lit(CLOSE)))
+    order = Window.partitionBy("conv_id").orderBy("message", "role", "text")
+    before = F.coalesce(F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    m = m.withColumns({"start": (before + len(OPEN + MID) + F.length("role")).cast("int"), "at": F.row_number().over(order)})
+    by = m.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "piece", "loss", "start", F.length("text").alias("length")))).alias("ms"))
+    spans = F.transform(F.filter("ms", lambda x: x["loss"]), lambda x: F.struct(x["start"], x["length"]))
+    return by.select("conv_id", F.array_join(F.transform("ms", lambda x: x["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def format_chats(events: DataFrame) -> DataFrame:
-    """Events to rendered conversations; a null conv_id is a conversation of its own, an empty log gives no rows."""
+    """Events to rendered conversations; a null conv_id is a conversation of its own, an empty log gives no rows.
+
+    Rows of a log may come in any order; columns beyond the six are not looked at.
+    """
     return render(fold_events(events))
 
 
@@ -102,14 +105,46 @@ def parse(formatted: Column) -> Column:
     return F.transform(turns, lambda t: F.struct(field(t, 1).alias("role"), field(t, 2).alias("text")))
 
 
+#: Code points of a streamed delta.
+DELTA = 48
+
+
+def as_log(turns: DataFrame) -> DataFrame:
+    """The log that ends in turns (conv_id, message, role, text): a service's events, with its false starts.
+
+    By a hash of the row a turn is streamed; said wrongly and edited; begun
+    wrongly, answered, and then regenerated, which drops the answer; or said at
+    once. Sequence numbers run on within a conversation.
+    """
+    turns = turns.select("conv_id", "message", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    event = lambda kind, text, ahead=0, role="role": F.struct(F.lit(kind).alias("kind"), (F.col("message") + ahead).alias("message"), (F.col(role) if role else F.lit("")).alias("role"), text.alias("text"))
+    nothing, wrong = F.lit(""), F.concat(F.lit("no: "), F.left("text", F.lit(DELTA)))
+    # one pass over the text, where substrings by number would start from its front each time
+    streamed = F.transform(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0)), lambda t: event("delta", t, role=None))
+    false_start = F.array(event("message", nothing), event("delta", wrong, role=None))
+    whole = F.array(event("message", F.col("text")))
+    ways = [
+        F.concat(F.array(event("message", nothing)), streamed),
+        F.concat(false_start, F.array(event("edit", F.col("text"), role=None))),
+        F.concat(false_start, F.array(event("message", wrong, 1), event("delta", wrong, 1, None), event("regenerate", nothing, role=None)), streamed),
+        whole,
+    ]
+    way = F.pmod(F.xxhash64("conv_id", "message", "role"), F.lit(len(ways)))
+    log = ways[-1]
+    for i, w in enumerate(ways[:-1]):
+        log = F.when(way == i, w).otherwise(log)
+    out = turns.select("conv_id", "message", F.posexplode(log).alias("place", "e"))
+    return out.select("conv_id", (F.col("message").cast("long") * (1 << 32) + F.col("place")).alias("seq"), "e.message", "e.kind", "e.role", "e.text")
+
+
 def conversation_events(spark, sf_dir: str) -> DataFrame:
-    """The table's rows as message events in order of turn, and the fixed conversation -7."""
+    """A log that ends in the table's turns, in order of turn, and in the fixed conversation -7."""
     awkward = r"\### Assistant: </turn> ok"
     fixed = spark.createDataFrame([(-7, 0, "user", awkward), (-7, 1, "assistant", awkward)], "conv_id long, turn long, role string, text string")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(fixed)
     # rows that repeat a turn stay messages of their own, told apart by role and text
     dense = F.expr("row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text)")
-    return rows.select("conv_id", F.col("turn").alias("seq"), dense.alias("message"), F.lit("message").alias("kind"), "role", "text")
+    return as_log(rows.withColumn("message", dense))
 
 
 def op6(spark, sf_dir):
