@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from waywarden.llm import chat, hmm, media, mixing, near_dup, packing, pii, quality, sharding, token_files
 
 
@@ -18,7 +17,6 @@ def queries():
         "op8_bayes_near_dup": near_dup.op8,
         "op9_online_packing": packing.op9,
         "op10_webp_media": media.op10,
-        "pipeline": corpus_pipeline.run,
     }
 
 
