@@ -47,6 +47,36 @@ def test_family_that_no_single_leader_joins(spark):
     assert got == brute([(i if i != 4 else None, t) for i, t in enumerate(rows)], rule)
 
 
+@pytest.mark.parametrize("rule", [near_dup.Rule(3, 85), near_dup.Rule()])
+def test_recall_of_pairs_at_the_threshold(spark, rule):
+    """Pairs that barely reach the limit are all found by bands and pruning; those barely below are not linked."""
+    rng, rows, linked = random.Random(11), [], []
+    while len(linked) < 400:
+        one = words(rng, 150, 10**6)
+        two = list(one)
+        for i in rng.sample(range(150), rng.randrange(2, 8)):
+            two[i] = f"y{rng.randrange(10**6)}"
+        a, b = (near_dup.shingles(" ".join(x), rule.words) for x in (one, two))
+        similar = 100 * len(a & b) / len(a | b)
+        if rule.percent - 6 <= similar <= rule.percent + 4:
+            rows += [" ".join(one), " ".join(two)]
+            linked.append(similar >= rule.percent)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), rule).collect()}
+    assert 50 < sum(linked) < 350 and [got[2 * i + 1] == 2 * i for i in range(400)] == linked
+
+
+def test_hot_buckets_are_spread(spark, monkeypatch):
+    """With salts for buckets of three and more, tiles of a few documents and of a few shingles, the result is the same."""
+    rng = random.Random(6)
+    base = words(rng, 160, 10**6)
+    rows = [" ".join(near(rng, base, rng.choice([0.0, 0.02, 0.04, 0.06]))) for _ in range(90)]
+    rule = near_dup.Rule(3, 85)
+    for name, value in (("HOT", 2), ("TILE", 7), ("TILE_SHINGLES", 900), ("LEADER_ROUNDS", 1)):
+        monkeypatch.setattr(near_dup, name, value)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(table(spark, rows), rule).collect()}
+    assert got == brute([(i if i != 4 else None, t) for i, t in enumerate(rows)], rule)
+
+
 def test_keep_first(spark):
     rows = ["a b c d e f g", "A B c d e f g", None, "other text of its own kind", "x y"]
     df = table(spark, rows, extra=True)

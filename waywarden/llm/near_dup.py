@@ -25,10 +25,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waywarden.llm.common import documents, written
+from waywarden.llm.common import discard, documents, written
 from waywarden.operators.graph import components
 
 ROWS = 5
@@ -36,8 +36,11 @@ BATCH = 20
 MISS = 1e-6
 #: Rounds of leaders before the rest is finished; each takes another leader.
 LEADER_ROUNDS = 3
-#: Documents on each side of a tile of the finish.
-TILE = 256
+#: Documents, and their shingles, on each side of a tile of the finish.
+TILE, TILE_SHINGLES = 256, 400_000
+#: A bucket with more members is spread over SALTS tasks.
+HOT, SALTS = 256, 16
+BUCKET = ["bucket", "salt"]
 WORD_MEMORY = 400_000
 
 
@@ -212,10 +215,19 @@ def link(pairs: DataFrame, signed: DataFrame, texts: DataFrame, rule: Rule) -> D
     return written(both.mapInArrow(_verify(rule), "a long, b long"), "links")
 
 
+def _by_bucket(members: DataFrame, *values) -> DataFrame:
+    """An aggregate of each bucket, once for each of its salts: it joins members on bucket and salt.
+
+    Members of a large bucket are spread over several salts, so the bucket's rows never meet in one task.
+    """
+    by = members.groupBy("bucket").agg(*values, F.max("salts").alias("salts"))
+    return by.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+
 def _open(members: DataFrame) -> DataFrame:
     """Members of the buckets that hold several components."""
-    split = members.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("bucket")
-    return members.join(split, "bucket")
+    split = _by_bucket(members, F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("bucket", "salt")
+    return members.join(split, BUCKET)
 
 
 def _spread(rule: Rule):
@@ -233,21 +245,24 @@ def _spread(rule: Rule):
 
 
 def reachable(members: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """members (bucket, id, n, c) that can have a link to another component, with s, the shingles they share with any.
+    """members (bucket, salt, salts, id, n, c) that can have a link to another component, with s, the shingles they share with any.
 
     What a document has in common with one of another component is at most s,
     so with the smallest set of its bucket as partner it has an upper bound of
     similarity; below the limit it has no link there. Near copies that each
-    have enough of their own leave in this way without being compared.
+    have enough of their own leave in this way without being compared. Which
+    shingles several components have is an aggregation that combines before it
+    moves; the join back on a frequent shingle's rows can be split.
     """
     ids = members.select("id", "c").distinct()
-    rows = texts.join(ids, texts["doc_id"] == ids["id"]).select("id", "c", "text").mapInArrow(_spread(rule), "id long, c long, h long")
-    of = Window.partitionBy("h")
-    common = rows.withColumns({"c0": F.min("c").over(of), "c1": F.max("c").over(of)}).filter("c0 <> c1")
-    counts = common.groupBy("id").agg(F.count("*").alias("s"))
-    least = members.groupBy("bucket").agg(F.min("n").alias("least"))
+    rows = written(texts.join(ids, texts["doc_id"] == ids["id"]).select("id", "c", "text").mapInArrow(_spread(rule), "id long, c long, h long"), "shingles")
+    several = rows.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("h")
+    counts = rows.join(several, "h", "left_semi").groupBy("id").agg(F.count("*").alias("s"))
+    least = _by_bucket(members, F.min("n").alias("least"))
     bound = f"100 * s >= {rule.percent} * (n + least - s) AND 100 * s >= {rule.percent} * n"
-    return members.join(counts, "id").join(least, "bucket").filter(bound).select("bucket", "id", "n", "c", "s")
+    out = written(members.join(counts, "id").join(least, BUCKET).filter(bound).select(*BUCKET, "salts", "id", "n", "c", "s"), "reachable")
+    discard(rows)
+    return out
 
 
 def _tile(rule: Rule):
@@ -257,6 +272,9 @@ def _tile(rule: Rule):
         rows = table.sort_by([("outside", "descending"), ("id", "ascending")])
         ids, n, c, s = (rows[x].to_numpy() for x in ("id", "n", "c", "s"))
         outside = rows["outside"].to_numpy(zero_copy_only=False)
+        # a pair of two outside meets in the one tile of their blocks, never in those with the largest component
+        kind, i, j = (rows[x][0].as_py() for x in ("kind", "i", "j"))
+        block = rows["block"].to_numpy()
         sigs = np.frombuffer(b"".join(rows["sig"].to_pylist()), "<u4").reshape(len(ids), -1)
         texts, sets = rows["text"], {}
         of = {x: x for x in c.tolist()}  # components of this tile that have met
@@ -272,25 +290,30 @@ def _tile(rule: Rule):
             return sets[i]
 
         found_a, found_b = [], []
-        for i in np.flatnonzero(outside).tolist():
-            low = np.minimum(s, s[i])
-            at = (c != c[i]) & (100 * np.minimum(n, n[i]) >= rule.percent * np.maximum(n, n[i])) & (100 * low >= rule.percent * (n + n[i] - low))
-            at[:i] &= ~outside[:i]  # a pair of two outside comes once
+        for x in np.flatnonzero(outside if kind == "in" or i == j else outside & (block == i)).tolist():
+            low = np.minimum(s, s[x])
+            at = (c != c[x]) & (100 * np.minimum(n, n[x]) >= rule.percent * np.maximum(n, n[x])) & (100 * low >= rule.percent * (n + n[x] - low))
+            if kind == "in":
+                at &= ~outside
+            elif i == j:
+                at[: x + 1] = False  # a pair comes once
+            else:
+                at &= block == j
             alive, matches = np.flatnonzero(at), 0
             for k, most in enumerate(least):
                 part = slice(k * BATCH, (k + 1) * BATCH)
-                matches = matches + (sigs[alive, part] == sigs[i, part]).sum(axis=1)
+                matches = matches + (sigs[alive, part] == sigs[x, part]).sum(axis=1)
                 stay = matches >= most
                 alive, matches = alive[stay], matches[stay]
-            for j in alive.tolist():
-                if root(c[i]) == root(c[j]):
+            for y in alive.tolist():
+                if root(c[x]) == root(c[y]):
                     continue
-                one, two = shingle_set(i), shingle_set(j)
+                one, two = shingle_set(x), shingle_set(y)
                 common = len(one & two)
                 if 100 * common >= rule.percent * (len(one) + len(two) - common):
-                    of[root(c[i])] = root(c[j])
-                    found_a.append(min(ids[i], ids[j]))
-                    found_b.append(max(ids[i], ids[j]))
+                    of[root(c[x])] = root(c[y])
+                    found_a.append(min(ids[x], ids[y]))
+                    found_b.append(max(ids[x], ids[y]))
         return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
     return run
@@ -301,16 +324,17 @@ def finish(members: DataFrame, reps: DataFrame, texts: DataFrame, rule: Rule) ->
 
     Buckets that share documents form groups. In each group the documents
     outside its largest component meet all others, in tiles of TILE by TILE:
-    what moves is documents, once for each tile of theirs, never pairs. Inside
-    a tile the posterior prunes and the full sets decide.
+    what moves is documents, once for each tile of theirs, never pairs. Groups
+    of long texts have more tiles, so a tile is bounded in shingles as well.
+    Inside a tile the posterior prunes and the full sets decide.
     """
-    star = members.join(members.groupBy("bucket").agg(F.min("id").alias("l")), "bucket").select(F.col("id").alias("a"), F.col("l").alias("b"))
+    star = members.join(_by_bucket(members, F.min("id").alias("l")), BUCKET).select(F.col("id").alias("a"), F.col("l").alias("b"))
     groups = components(star).withColumnRenamed("component", "g")
     m = members.select("id", "n", "c", "s").distinct().join(groups, "id")
-    sizes = m.groupBy("g", "c").agg(F.count("*").alias("k"))
-    info = sizes.groupBy("g").agg(F.max(F.struct("k", "c")).alias("x"), F.sum("k").alias("all"))
-    tiles = lambda k: F.greatest(F.lit(1), F.ceil(k / TILE)).cast("int")
-    info = info.select("g", F.col("x.c").alias("top"), tiles(F.col("x.k")).alias("inner"), tiles(F.col("all") - F.col("x.k")).alias("outer"))
+    sizes = m.groupBy("g", "c").agg(F.count("*").alias("k"), F.sum("n").alias("v"))
+    info = sizes.groupBy("g").agg(F.max(F.struct("k", "c", "v")).alias("x"), F.sum("k").alias("all"), F.sum("v").alias("volume"))
+    tiles = lambda k, v: F.greatest(F.lit(1), F.ceil(k / TILE), F.ceil(v / TILE_SHINGLES)).cast("int")
+    info = info.select("g", F.col("x.c").alias("top"), tiles(F.col("x.k"), F.col("x.v")).alias("inner"), tiles(F.col("all") - F.col("x.k"), F.col("volume") - F.col("x.v")).alias("outer"))
     m = m.join(info, "g").withColumn("outside", F.col("c") != F.col("top"))
     m = m.withColumn("at", F.pmod(F.xxhash64("id"), F.when(F.col("outside"), F.col("outer")).otherwise(F.col("inner"))).cast("int"))
     key = lambda i, kind, j: F.struct(i.alias("i"), F.lit(kind).alias("kind"), j.alias("j"))
@@ -319,8 +343,8 @@ def finish(members: DataFrame, reps: DataFrame, texts: DataFrame, rule: Rule) ->
     of_top = F.transform(upto("outer"), lambda i: key(i, "in", F.col("at")))
     m = m.join(reps.select(F.col("doc_id").alias("id"), "sig"), "id").join(texts.withColumnRenamed("doc_id", "id"), "id")
     dealt = m.withColumn("tile", F.explode(F.when(F.col("outside"), of_outside).otherwise(of_top)))
-    dealt = dealt.select("g", "tile", "id", F.col("n").cast("long").alias("n"), "c", "s", "outside", "sig", "text")
-    return written(dealt.groupBy("g", "tile").applyInArrow(_tile(rule), "a long, b long"), "links")
+    dealt = dealt.select("g", "tile.i", "tile.kind", "tile.j", "id", F.col("n").cast("long").alias("n"), "c", "s", "outside", F.col("at").alias("block"), "sig", "text")
+    return written(dealt.groupBy("g", "i", "kind", "j").applyInArrow(_tile(rule), "a long, b long"), "links")
 
 
 def near_duplicates(df: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -343,8 +367,9 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule()) -> DataFrame:
     width = 8 * ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(rule.bands - 1)), lambda i: F.xxhash64(i, F.substring(hexed, i * width + 1, F.lit(width))))
     rows = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("n"), F.explode(bands).alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
-    members = written(rows.join(shared, "bucket"), "members")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    held = rows.join(shared, "bucket").withColumn("salts", F.when(F.col("members") > HOT, SALTS).otherwise(1)).drop("members")
+    members = written(held.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")), "members")
 
     # whole texts move once, for members only; what comes after joins with these
     ids = members.select("id").distinct()
@@ -361,7 +386,8 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule()) -> DataFrame:
             now = _open(now)
             if turn == 1:
                 # components only grow, so what is shared with others can only fall: the bound holds for all later turns
-                now = _open(reachable(written(now, "open"), texts, rule))
+                first = written(now, "open")
+                now = _open(reachable(first, texts, rule))
             now = written(now, "open")
             left = now.drop("c")
             if now.isEmpty():
@@ -374,12 +400,12 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule()) -> DataFrame:
         # another leader each turn: the smallest id first, then the smallest of a hash
         rank = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
         shared = F.lit(None).cast("long") if turn == 0 else F.col("s")
-        leaders = now.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), F.col("id").alias("l"), F.col("n").alias("ln"), F.col("c").alias("lc"), shared.alias("ls"))).alias("x"))
-        other = leaders.select("bucket", "x.l", "x.ln", "x.lc", "x.ls")
+        leaders = _by_bucket(now, F.min(F.struct(rank.alias("rank"), F.col("id").alias("l"), F.col("n").alias("ln"), F.col("c").alias("lc"), shared.alias("ls"))).alias("x"))
+        other = leaders.select(*BUCKET, "x.l", "x.ln", "x.lc", "x.ls")
         fits = f"c <> lc AND 100 * least(n, ln) >= {rule.percent} * greatest(n, ln)"
         if turn:
             fits += f" AND 100 * least(s, ls) >= {rule.percent} * (n + ln - least(s, ls))"
-        pairs = now.join(other, "bucket").filter(fits).select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")).distinct()
+        pairs = now.join(other, BUCKET).filter(fits).select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
