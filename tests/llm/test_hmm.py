@@ -45,7 +45,26 @@ def test_base_counts_and_likelihood(scored):
 
 def test_training_raises_the_likelihood(scored):
     trace = scored[2]
-    assert len(trace) == hmm.STEPS and all(b > a - 1e-9 for a, b in zip(trace, trace[1:], strict=False))
+    gains = np.diff(trace)
+    assert 2 <= len(trace) <= hmm.STEPS and (gains > -1e-9).all()
+    # it goes on while it pays, and no longer
+    assert (gains[:-1] >= hmm.GAIN).all() and (len(trace) == hmm.STEPS or gains[-1] < hmm.GAIN)
+
+
+def test_classes_grow_with_the_vocabulary():
+    sizes = [hmm.class_numbers(v) for v in (0, 10**4, 10**6, 10**8, 10**10)]
+    assert sizes[0] == (hmm.OWN, hmm.SHARED) and all(a[0] <= b[0] and a[1] <= b[1] for a, b in zip(sizes, sizes[1:], strict=False))
+    assert sizes[3][0] > 30 * hmm.OWN and sizes[4][0] * hmm.STATES * 8 < 1 << 26
+
+
+def test_latent_states_beat_word_counts_on_held_out_text(spark):
+    """Texts in one of four subjects each: states learn them, word counts alone can not."""
+    rng = np.random.default_rng(4)
+    rows = [" ".join(f"s{i % 4}w{w}" if rng.random() < 0.7 else f"c{w}" for w in rng.zipf(1.4, 120) % 300) for i in range(400)]
+    out, model, trace = hmm.score(table(spark, rows), steps=8)
+    held = out.filter("held_out").toPandas()
+    assert len(held) > 30 and (held.score - held.base_score).sum() / held.n_tokens.sum() > 0.02
+    assert (held.score > held.base_score).mean() > 0.9
 
 
 def test_model_is_a_distribution(scored):

@@ -1,11 +1,11 @@
 """Hidden Markov language model over words, trained with Baum-Welch.
 
-Words are emitted through classes: the OWN most frequent words have classes of
-their own, the others share SHARED classes by a checksum of the word, and
-within a class a word's probability is its corpus count plus one over the
-class total, with one more place for words never seen. States emit classes,
-so the tables that every task needs have a fixed size, while the counts they
-are combined with cover the whole vocabulary and grow with the corpus.
+Words are emitted through classes: the most frequent words have classes of
+their own, the others share classes by a checksum of the word, and within a
+class a word's probability is its corpus count plus one over the class total,
+with one more place for words never seen. How many classes there are grows with
+the square root of the vocabulary, so the table that every task needs stays
+small, while the counts it is combined with cover the whole vocabulary.
 
 1. Texts are tokenised once, in blocks of documents: a block has its own list
    of words and its tokens as numbers into it. Blocks are written.
@@ -23,6 +23,7 @@ likelihood (up to rounding).
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -35,9 +36,13 @@ from pyspark.sql import functions as F
 from waywarden.llm.common import arrow_rows, documents, written
 
 STATES = 4
-STEPS = 4
-OWN = 4096
-SHARED = 1024
+#: Baum-Welch ends when a step adds less than GAIN nats a token, and after STEPS at the latest.
+STEPS, GAIN = 6, 0.01
+#: Words with a class of their own and classes that the others share: at least so many, and in proportion to the square root of the vocabulary.
+OWN, OWN_GROWTH = 4096, 16
+SHARED, SHARED_GROWTH = 1024, 4
+#: Places of a model's parameters that are summed in one row.
+CHUNK = 1 << 13
 SEGMENT = 64
 PART = 1 << 18
 BLOCK_BYTES = 8 << 20
@@ -126,13 +131,19 @@ class Model:
     emit: np.ndarray
 
     def classes(self, words: list[bytes]) -> np.ndarray:
-        own, first = self.own, len(self.own)
-        return np.fromiter((own[w] if w in own else first + zlib.crc32(w) % SHARED for w in words), np.int64, len(words))
+        own, first, shared = self.own, len(self.own), len(self.emit) - len(self.own)
+        return np.fromiter((own[w] if w in own else first + zlib.crc32(w) % shared for w in words), np.int64, len(words))
+
+
+def class_numbers(vocabulary: int) -> tuple[int, int]:
+    """(words with a class of their own, shared classes) for a vocabulary: both grow with it, as a model that every task holds can."""
+    root = math.isqrt(vocabulary)
+    return max(OWN, OWN_GROWTH * root), max(SHARED, SHARED_GROWTH * root)
 
 
 def first_model(own: list[bytes], class_counts: np.ndarray, states: int = STATES) -> Model:
     """States that rarely change and emit classes by frequency, each bent its own way: a fixed start for training."""
-    c = len(own) + SHARED
+    c = len(class_counts)
     bend = np.array([[zlib.crc32(f"{k}:{i}".encode()) / 2**32 for k in range(states)] for i in range(c)])
     emit = (class_counts[:, None] + SMOOTH) * (0.5 + bend)
     move = np.full((states, states), 0.1 / max(1, states - 1))
@@ -225,13 +236,12 @@ class _Segments:
             alpha *= emitted[-1]
             alpha /= alpha.sum(axis=0)
             alphas.append(alpha)
-        beta = behind
+        beta, gammas = behind, []
         for t in range(len(alphas) - 1, -1, -1):
-            a, cls = self.alive[t], self.steps[t]
+            a = self.alive[t]
             gamma = alphas[t] * beta[:, :a]
             gamma /= gamma.sum(axis=0)
-            for j in range(k):
-                emits[:, j] += np.bincount(cls, weights=gamma[j], minlength=len(emits))
+            gammas.append(gamma)
             out = emitted[t] * beta[:, :a]
             back = m.move @ out
             prior, flow, meet = (alphas[t - 1][:, :a] if t else before), out, back
@@ -241,6 +251,9 @@ class _Segments:
             moves += (prior / (prior * meet).sum(axis=0)) @ flow.T * m.move
             back /= back.max(axis=0)
             beta[:, :a] = back
+        cls, gamma = np.concatenate(self.steps[::-1]), np.concatenate(gammas, axis=1)
+        for j in range(k):
+            emits[:, j] += np.bincount(cls, weights=gamma[j], minlength=len(emits))
         return float(total.sum())
 
 
@@ -278,28 +291,51 @@ def _expect(model: Model):
                         seen += len(mine)
         if seen:
             flat = np.concatenate([[likelihood, seen], counts[0], counts[1].ravel(), counts[2].ravel()])
-            used = np.flatnonzero(flat)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(flat[used])], names=["at", "value"])
+            chunks = [(at // CHUNK, TaskContext.get().partitionId(), flat[at : at + CHUNK].tobytes()) for at in range(0, len(flat), CHUNK)]
+            yield pa.RecordBatch.from_pylist([dict(zip(("chunk", "part", "sums"), x, strict=True)) for x in chunks], schema=SUMS)
 
     return run
 
 
-def baum_welch(blocks: DataFrame, model: Model, steps: int = STEPS) -> tuple[Model, list[float]]:
-    """The model after some steps, and the log likelihood per token before each.
+SUMS = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("sums", pa.binary())])
 
-    Partial counts are summed by place in a fixed order of partitions' values,
-    and what comes to the driver is one row for each parameter.
+
+def _add(batches):
+    """The chunks of a partition, which has all rows of its chunks in order of parts, each added up."""
+    chunk, total = None, None
+    for b in batches:
+        for n, sums in zip(b.column("chunk").to_pylist(), b.column("sums").to_pylist(), strict=True):
+            values = np.frombuffer(sums)
+            if n != chunk:
+                if chunk is not None:
+                    yield pa.RecordBatch.from_pylist([{"chunk": chunk, "sums": total.tobytes()}], schema=pa.schema([SUMS.field(0), SUMS.field(2)]))
+                chunk, total = n, np.zeros(len(values))
+            total = total + values
+    if chunk is not None:
+        yield pa.RecordBatch.from_pylist([{"chunk": chunk, "sums": total.tobytes()}], schema=pa.schema([SUMS.field(0), SUMS.field(2)]))
+
+
+def baum_welch(blocks: DataFrame, model: Model, steps: int = STEPS, gain: float = GAIN) -> tuple[Model, list[float]]:
+    """The model after as many steps as pay, and the log likelihood per token before each.
+
+    Each partition adds up its blocks' expected counts; chunks of these are
+    added across partitions in order of their numbers, one row at a time, and
+    what comes to the driver is one number for each parameter.
     """
     c, k = model.emit.shape
     trace = []
     for _ in range(steps):
-        part = blocks.select("words", "low", "high", "lengths", "held_out").mapInArrow(_expect(model), "at long, value double")
-        sums = part.groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,10)")).cast("double").alias("value")).toPandas()
+        part = blocks.select("words", "low", "high", "lengths", "held_out").mapInArrow(_expect(model), "chunk long, part long, sums binary")
+        sums = part.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(_add, "chunk long, sums binary").collect()
         flat = np.zeros(2 + k + k * k + c * k)
-        flat[sums["at"].to_numpy()] = sums["value"].to_numpy()
+        for r in sums:
+            values = np.frombuffer(bytes(r["sums"]))
+            flat[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(values)] = values
         if not flat[1]:
             break
         trace.append(flat[0] / flat[1])
+        if len(trace) > 1 and trace[-1] - trace[-2] < gain:
+            break  # the model that was just looked at stays
         start = flat[2 : 2 + k] + SMOOTH
         move = flat[2 + k : 2 + k + k * k].reshape(k, k) + SMOOTH
         # what a state emits is smoothed towards what the corpus emits, so each class can be emitted
@@ -360,14 +396,15 @@ def score(df: DataFrame, states: int = STATES, steps: int = STEPS) -> tuple[Data
     counted = written(spread.groupBy("word").agg(F.sum("c").alias("c")).filter("c > 0"), "counts")
     size = counted.agg(F.sum("c").alias("n"), F.count("*").alias("v")).head()
     total, distinct = size["n"] or 0, size["v"]
-    # OWN rows at most come to the driver, then one row for each shared class
-    frequent = {bytes(r["word"]): r["c"] for r in counted.orderBy(F.desc("c"), "word").limit(OWN).collect()}
+    # a row for each class comes to the driver: the square root of the vocabulary, times a number
+    most, n_shared = class_numbers(distinct)
+    frequent = {bytes(r["word"]): r["c"] for r in counted.orderBy(F.desc("c"), "word").limit(most).collect()}
     own = sorted(frequent)
-    places = F.broadcast(spark.createDataFrame([(bytearray(w), i) for i, w in enumerate(own)], "word binary, place int"))
-    shared = (len(own) + F.crc32("word") % SHARED).cast("int")
-    vocab = counted.join(places, "word", "left").select("word", "c", F.coalesce("place", shared).alias("cls"))
+    places = spark.createDataFrame([(bytearray(w), i) for i, w in enumerate(own)], "word binary, place int")
+    shared = (len(own) + F.crc32("word") % n_shared).cast("int")
+    vocab = written(counted.join(places, "word", "left").select("word", "c", F.coalesce("place", shared).alias("cls")), "vocabulary")
     per = vocab.filter(F.col("cls") >= len(own)).groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
-    class_count, class_words = np.zeros(len(own) + SHARED), np.zeros(len(own) + SHARED)
+    class_count, class_words = np.zeros(len(own) + n_shared), np.zeros(len(own) + n_shared)
     for r in per:
         class_count[r["cls"]], class_words[r["cls"]] = r["c"], r["n"]
     counts = class_count.copy()
