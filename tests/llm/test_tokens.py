@@ -50,6 +50,44 @@ def test_files_round_trip(spark):
     assert real == at
 
 
+def test_any_sequence_is_a_division_away(spark):
+    """Batches of 256 sequences and a last short one: all looks give what a walk through the stream gives."""
+    rows = [" ".join(f"word{i} {j}" for j in range(700)) for i in range(220)] + ["short", None]
+    folder = new_path(spark, "t")
+    token_files.write_files(table(spark, rows).coalesce(1), folder, length=64).collect()
+    f, = Path(folder).glob("part-??????.arrow")
+    fs, name = token_files.open_fs(str(f))
+    s = token_files.Sequences(fs, name)
+    walked = [(b["ids"][i].values.to_numpy(), b["mask"][i].values.to_numpy(zero_copy_only=False)) for b in pa.ipc.open_stream(pa.memory_map(str(f))) for i in range(len(b))]
+    assert len(walked) > 3 * token_files.PER_BATCH and s.per == token_files.PER_BATCH
+    for i in [0, 1, 255, 256, 511, len(walked) - 1, *np.random.default_rng(1).integers(0, len(walked), 50).tolist()]:
+        ids, mask = s[i]
+        assert (ids == walked[i][0]).all() and (mask == walked[i][1]).all()
+    # a view of the mapped file, not a copy
+    assert not s[300][0].flags.owndata and not s[300][0].flags.writeable
+    whole = np.concatenate([w[0] for w in walked])
+    for start, n in ((0, 5), (64 * 256 - 3, 9), (1000, 40_000), (len(whole) - 2, 2)):
+        assert (s.ids(start, n) == whole[start : start + n]).all()
+    for bad in (len(walked), -1, 10**9):
+        with pytest.raises(IndexError):
+            s[bad]
+
+
+def test_entry_gives_checksums_of_the_ids(spark, tmp_path):
+    rows = texts()
+    df = table(spark, [*rows, *rows[:2]])
+    repeated = df.unionByName(df.filter("doc_id = 3"))
+    repeated.write.parquet(f"{tmp_path}/documents.parquet")
+    ids = reference(token_files.FILE, [*rows, *rows[:2]], 0)
+    want, at = [], 0
+    for i in sorted([*range(len(ids)), 3], key=lambda i: (i != 4, i)):
+        raw = np.array(ids[i], "<u4").tobytes()
+        want.append((None if i == 4 else i, at, len(ids[i]), zlib.crc32(raw)))
+        at += len(ids[i])
+    got = [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.op4(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=lambda r: r[1]) == want
+
+
 def test_no_rows_give_no_files(spark):
     folder = new_path(spark, "t")
     assert token_files.read_files(token_files.write_files(table(spark, []), folder), folder).count() == 0

@@ -123,34 +123,73 @@ def write_files(df: DataFrame, folder: str, file: str | None = None, length: int
     return manifest.withColumn("base", F.expr("coalesce(sum(n_tokens) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
 
 
+class Sequences:
+    """A written stream file as an array of equal-length sequences: any of them is one division and one look away.
+
+    All batches but the last hold the same number of sequences and take the
+    same number of bytes, so batch b stands at first + b * step. A local file is
+    mapped and ids are views of it, no copy is made; of a remote one only the
+    batch that is asked for is read.
+    """
+
+    def __init__(self, fs: pafs.FileSystem, path: str):
+        self.file = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
+        self.size, self.held = self.file.size(), (-1, None, None)
+        self.schema = pa.ipc.read_schema(pa.ipc.read_message(self.file))
+        self.length, self.first = self.schema.field("ids").type.list_size, self.file.tell()
+        self.step, self.per = 0, 1
+        try:
+            batch = pa.ipc.read_record_batch(pa.ipc.read_message(self.file), self.schema)
+        except EOFError:  # no sequence was written
+            return
+        self.step, self.per = self.file.tell() - self.first, batch.num_rows
+
+    def batch(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and masks of a batch, one sequence a row."""
+        if self.held[0] != b:
+            at = self.first + b * self.step
+            if b < 0 or not self.step or at >= self.size:
+                raise IndexError(f"no batch {b}")
+            self.file.seek(at)
+            batch = pa.ipc.read_record_batch(pa.ipc.read_message(pa.py_buffer(self.file.read_buffer(min(self.step, self.size - at)))), self.schema)
+            ids, mask = (batch[c].flatten() for c in ("ids", "mask"))
+            self.held = (b, ids.to_numpy().reshape(-1, self.length), mask)
+        return self.held[1], self.held[2]
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and the mask of sequence i."""
+        ids, mask = self.batch(i // self.per)
+        row = i % self.per
+        if row >= len(ids):
+            raise IndexError(f"no sequence {i}")
+        return ids[row], mask.slice(row * self.length, self.length).to_numpy(zero_copy_only=False)
+
+    def ids(self, start: int, n: int) -> np.ndarray:
+        """n ids from place start on: a view where one batch has them all."""
+        parts, per = [], self.per * self.length
+        while n:
+            ids = self.batch(start // per)[0].reshape(-1)[start % per : start % per + n]
+            if not len(ids):
+                raise IndexError(f"no id {start}")
+            parts.append(ids)
+            start, n = start + len(ids), n - len(ids)
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
 def _read(folder: str, digest: bool):
     def run(batches):
         fs, base = open_fs(folder)
         local = isinstance(fs, pafs.LocalFileSystem)
 
-        def stream(name):
-            return pa.ipc.open_stream(pa.memory_map(name) if local else fs.open_input_stream(name))
-
         for b in batches:
             for name, first in zip(b.column("name").to_pylist(), b.column("base").to_pylist(), strict=True):
-                held, held_from = [], 0  # id arrays of batches, the place of the first of them
-                source = iter(stream(f"{base}/{name}.arrow"))
-                for places in stream(f"{base}/{name}.index.arrow"):
+                sequences_ = Sequences(fs, f"{base}/{name}.arrow")
+                index = f"{base}/{name}.index.arrow"
+                for places in pa.ipc.open_stream(pa.memory_map(index) if local else fs.open_input_stream(index)):
                     out = []
-                    for start, n in zip(places["start"].to_numpy(), places["n_tokens"].to_numpy(), strict=True):
-                        while held and held_from + len(held[0]) <= start:
-                            held_from += len(held.pop(0))
-                        while held_from + sum(map(len, held)) < start + n:
-                            batch = next(source)
-                            ids = batch["ids"].flatten().to_numpy()
-                            mask = batch["mask"].flatten()
-                            held.append(ids if mask.true_count == len(ids) else ids[: mask.true_count])
-                        parts, at = [], held_from
-                        for ids in held:
-                            parts.append(ids[max(0, start - at) : max(0, start + n - at)])
-                            at += len(ids)
-                        ids = np.concatenate(parts).astype("<u4") if len(parts) > 1 else parts[0].astype("<u4")
-                        out.append(zlib.crc32(ids.tobytes()) if digest else ids.tobytes())
+                    for start, n in zip(places["start"].to_pylist(), places["n_tokens"].to_pylist(), strict=True):
+                        ids = sequences_.ids(start, n).astype("<u4").tobytes()
+                        out.append(zlib.crc32(ids) if digest else ids)
                     yield pa.RecordBatch.from_arrays(
                         [places["doc_id"], pa.array(places["start"].to_numpy() + first), places["n_tokens"], pa.array(out, pa.int64() if digest else pa.binary())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"],
