@@ -1,8 +1,7 @@
 """Mixing sources to target weights by entropy balancing.
 
 Targets share the total size by weight, no source above `most` times its own
-size (the excess goes to the others; the fixed point is the water level at
-which capped and uncapped sources add up, found with running sums).
+size (the excess goes to the others, round by round, until none is above).
 
 Rates are the ones closest to 1 in relative entropy that meet each source's
 target: w = min(most, exp(lambda * size / mean size)). lambda solves the convex
@@ -22,7 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waywarden.llm.common import documents, n_words, written
+from waywarden.llm.common import discard, documents, n_words, written
+from waywarden.llm.sharding import row_numbers
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -33,20 +33,29 @@ SEED = 97
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(source, source_size, n, target) from (source, size, n) counts; one row a source, by code point, null last."""
-    by = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
-    ranked = by.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.expr("row_number() OVER (ORDER BY source NULLS LAST)") - 1) % len(weights) + 1))
-    cap = ranked.withColumn("cap", F.col("source_size") * most).withColumn("level", F.col("cap") / F.col("weight"))
-    order = Window.orderBy("level", F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    behind = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    water = cap.withColumn("theta", (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(behind))
-    water = water.withColumn("free", F.col("theta") <= F.col("level"))
-    level = F.min(F.when(F.col("free"), F.struct("level", "theta"))).over(everything)["theta"]
-    return water.withColumn("target", F.when(F.col("free") & (F.col("cap") > 0), F.least(level * F.col("weight"), F.col("cap"))).otherwise(F.col("cap")).cast("double")).select(
-        "source", "source_size", "n_docs", "least", "target"
-    )
+    """(source, source_size, n_docs, least, target) from (source, size, n) counts; one row a source, by code point, null last.
+
+    Sources get their numbers, and so their weights, from a range partitioning.
+    Then each round gives the sources that are not yet capped their share of
+    what is left, and caps those that are above; a round is two sums, and there
+    are few, as the share of the others only rises.
+    """
+    by = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"), F.sum("n").alias("n_docs"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
+    ranked, _ = row_numbers(by.withColumn("_null", F.col("source").isNull().cast("int")), "_null", ["source"])
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("row") % len(weights) + 1).cast("int"))
+    held = written(ranked.select("source", "source_size", "n_docs", "least", weight.cast("long").alias("weight"), (F.col("source_size") * most).alias("cap")), "sources")
+    total = held.agg(F.sum("source_size")).head()[0] or 0
+    share = 0.0
+    while True:
+        over = F.col("cap") < F.lit(share) * F.col("weight")
+        now = held.agg(F.sum(F.when(over, F.col("cap"))).alias("capped"), F.sum(F.when(~over, F.col("weight"))).alias("weight")).head()
+        new = (total - (now["capped"] or 0)) / now["weight"] if now["weight"] else math.inf
+        if not new > share:
+            break
+        share = new
+    # where all are capped, or have no size, the share has no bound
+    free = F.least(F.lit(share) * F.col("weight"), F.col("cap").cast("double")) if math.isfinite(share) else F.col("cap").cast("double")
+    return held.select("source", "source_size", "n_docs", "least", free.alias("target"))
 
 
 def _rate(most: int) -> Column:
@@ -81,13 +90,16 @@ def solve(sizes: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
         now = now.withColumn("lo", F.when(off <= 0, F.col("lam")).otherwise(F.col("lo"))).withColumn("hi", F.when(off >= 0, F.col("lam")).otherwise(F.col("hi")))
         step = F.col("lam") - off / F.when(F.col("dg") > 0, F.col("dg"))
         inside = (step > F.col("lo")) & (step < F.col("hi"))
-        close = F.coalesce(F.abs(off) <= TOLERANCE * F.col("target"), F.lit(True))
+        # as near as the sums' digits tell, or a bracket that has no number inside
+        narrow = F.col("hi") - F.col("lo") <= 1e-15 * F.greatest(F.lit(1.0), F.abs("lam"))
+        close = F.coalesce((F.abs(off) <= TOLERANCE * F.col("target") + 1e-6) | narrow, F.lit(True))
         now = now.withColumn("lam", F.when(close, F.col("lam")).when(inside, step).otherwise((F.col("lo") + F.col("hi")) / 2))
         now = now.withColumn("close", close)
-        state = written(now.select(*fixed, "lo", "hi", "lam", "close"), "mix")
+        before, state = state, written(now.select(*fixed, "lo", "hi", "lam", "close"), "mix")
+        discard(before)
         if not state.filter("NOT close").head(1):
-            break
-    return state.select(*fixed, "lam")
+            return state.select(*fixed, "lam")
+    raise RuntimeError(f"the dual is not solved after {STEPS} steps: {state.filter('NOT close').limit(3).collect()}")
 
 
 def _unit(*columns: str) -> Column:

@@ -20,6 +20,8 @@ from waywarden.llm.common import CRC_SQL, documents, written
 #: Modulus of the round function: its products stay below 2**63.
 P = 2**31 - 1
 ROUNDS = 6
+#: Steps that every walk may take; longer ones make a list of the steps that are possible.
+WALK = 8
 
 
 def round_keys(seed: int, rounds: int = ROUNDS) -> list[tuple[int, int, int]]:
@@ -69,7 +71,11 @@ def permuted(row: Column, n: int, seed: int) -> Column:
     steps = a * b - n
     if steps == 0:
         return first
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, lambda v, _: F.when(v < n, v).otherwise(feistel(v, a, b, seed)))
+    on = lambda v, _: F.when(v < n, v).otherwise(feistel(v, a, b, seed))
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(min(steps, WALK))), first, on)
+    if steps > WALK:
+        # a row is outside again with odds of about 1 in sqrt(n): next to none comes here
+        walk = F.aggregate(F.array(walk), F.lit(0).cast("long"), lambda _, v: F.when(v < n, v).otherwise(F.aggregate(F.sequence(F.lit(WALK + 1), F.lit(steps)), v, on)))
     return F.when(first < n, first).otherwise(walk)
 
 
