@@ -56,6 +56,37 @@ def test_checksums_and_context(spark):
     assert [s[0] for s in got[2]] == ["ssn"] and not got[3] and got[4][0][3] == 1.0
 
 
+def test_context_on_both_sides_and_as_words(spark):
+    got = found(spark, ["ssn 123-45-6789, 987-65-4321", "123-45-6789 is my ssn", "assn 123-45-6789", "a description 10.0.0.1", "my IP: 10.0.0.1", "mailbox a@b.cd", "contact: a@b.cd " + "x" * 60 + " c@d.ef", "123-45-6789" + " " * 60 + "ssn"])
+    assert [s[:3] for s in got[0]] == [("ssn", 4, 15), ("ssn", 17, 28)] and [s[0] for s in got[1]] == ["ssn"] and not got[2] and not got[7]
+    assert got[3][0][3] == 0.6 and got[4][0][3] == 0.8 and got[5][0][3] == 0.8 and [s[3] for s in got[6]] == [1.0, 0.8]
+
+
+def test_account_numbers_before_capital_words(spark):
+    rows = ["IBAN AT611904300234573201 HELP ME", "AT61 1904 3002 3457 3201 HELP", "GB82 WEST 1234 5698 7654 32 AB", "DE89 3704 0044 0532 0130 00 DE89 3704 0044 0532 0130 00"]
+    got = found(spark, rows)
+    assert [rows[0][s[1] : s[2]] for s in got[0] if s[0] == "iban"] == ["AT611904300234573201"]
+    assert [rows[1][s[1] : s[2]] for s in got[1] if s[0] == "iban"] == ["AT61 1904 3002 3457 3201"]
+    assert [rows[2][s[1] : s[2]] for s in got[2] if s[0] == "iban"] == ["GB82 WEST 1234 5698 7654 32"] and got[3]
+
+
+def test_a_text_with_very_many_matches(spark):
+    n = 30_000
+    got = found(spark, ["".join(f"u{i}@b.cd " for i in range(n)), "x " * 200_000 + "a@b.cd"])
+    assert len(got[0]) == n and got[0][-1][2] == sum(len(f"u{i}@b.cd ") for i in range(n)) - 1 and got[1][0][1] == 400_000
+
+
+def test_entry_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [*TRICKY, None, "ssn 123-45-6789, 987-65-4321 x", "AT61 1904 3002 3457 3201 HELP", "mailbox a@b.cd or contact c@d.ef", "call +1 555 123 45 67, fax +1 555 123 45 68"]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.sql(pii.ORACLE)
+    assert sorted(pii.op2(spark, str(tmp_path)).select(*want.columns).collect()) == sorted(want.fetchall())
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(1, "a@b.cd, b@c.de!"), (2, None), (3, "none"), (4, "+1 555 123 45 67 and 4539148803436467")], "doc_id long, text string")
     assert [r["text"] for r in pii.redact(df).orderBy("doc_id").collect()] == ["[email], [email]!", None, "none", "[phone] and [card]"]
