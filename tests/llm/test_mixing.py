@@ -4,23 +4,11 @@ import numpy as np
 import pytest
 
 from tests.llm.data import table, texts
+from tests.llm.plain import mixed, water
 from waywarden.llm import mixing
 from waywarden.llm.common import n_words
 
 
-def water(sizes, weights, most):
-    """Targets by resharing the excess until none is above."""
-    capped, total = {}, sum(sizes.values())
-    while True:
-        free = [s for s in sizes if s not in capped]
-        left = total - sum(capped.values())
-        target = {s: left * weights[s] / sum(weights[x] for x in free) for s in free} if free else {}
-        over = [s for s in free if target[s] > most * sizes[s] + 1e-9]
-        if not over:
-            return capped | target
-        capped |= {s: most * sizes[s] for s in over}
-
-
 @pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, "c": 100}, {"a": 1, "b": 50, "c": 1000, None: 3}, {"a": 0, "b": 5}, {"b": 7}])
 def test_targets(spark, sizes):
     rows = [(s, 1, n) for s, n in sizes.items()]
@@ -40,8 +28,6 @@ def test_an_unsolved_dual_raises(spark, monkeypatch):
 
 def test_entry_equals_a_plain_mix(spark, tmp_path):
     """Targets, tilted rates, thresholds and moved roundings, one document at a time."""
-    from collections import defaultdict
-
     from tests.llm.data import SCHEMA
 
     rng = np.random.default_rng(8)
@@ -49,41 +35,7 @@ def test_entry_equals_a_plain_mix(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     us = {r["doc_id"]: r["u"] for r in docs.select("doc_id", mixing._unit("doc_id", "text").alias("u")).collect()}
-    by = defaultdict(list)
-    for i, t, _, source, _ in rows:
-        by[source].append((i, len((t or "").split()), us[i]))
-    order = sorted(by, key=lambda s: (s is None, s or ""))
-    size = {s: sum(n for _, n, _ in by[s]) for s in by}
-    target = water(size, {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(order)}, mixing.MOST)
-    taken = {}
-    for s, docs_of in by.items():
-        mean = size[s] / len(docs_of)
-        lo, hi = -200.0, 200.0
-        for _ in range(200):  # the tilt by halving
-            lam = (lo + hi) / 2
-            mass = sum(n * min(mixing.MOST, math.exp(min(50.0, lam * n / mean))) for _, n, _ in docs_of)
-            lo, hi = (lam, hi) if mass < target[s] else (lo, lam)
-        full = target[s] >= mixing.MOST * size[s]
-        bins = defaultdict(lambda: [0, 0, 0])
-        held = []
-        for i, n, u in docs_of:
-            rate = mixing.MOST if full else min(mixing.MOST, math.exp(min(50.0, lam * n / mean)))
-            copies = math.floor(rate + u)
-            at = math.floor((rate + u - copies) * mixing.BINS)
-            held.append((i, n, copies, at))
-            for k, v in enumerate((copies * n, n if copies < mixing.MOST else 0, n if copies > 0 else 0)):
-                bins[at][k] += v
-        miss = target[s] - sum(b[0] for b in bins.values())
-        up, down, more, less = mixing.BINS, -1, 0, 0
-        for at in sorted(bins, reverse=True):
-            more += bins[at][1]
-            up = min(up, at) if more - bins[at][1] / 2 <= miss else up
-        for at in sorted(bins):
-            less += bins[at][2]
-            down = max(down, at) if less - bins[at][2] / 2 <= -miss else down
-        for i, n, copies, at in held:
-            copies += 1 if at >= up and copies < mixing.MOST else -1 if at <= down and copies > 0 else 0
-            taken[i] = copies * n
+    taken, target, by = mixed([(i, t, source) for i, t, _, source, _ in rows], us)
     got = {r["doc_id"]: r for r in mixing.op5(spark, str(tmp_path)).collect()}
     assert len(got) == len(rows)
     # a fraction on the very edge of a bin may fall on its other side

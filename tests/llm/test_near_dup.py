@@ -3,29 +3,11 @@ import random
 import pytest
 
 from tests.llm.data import near, table, texts, words
+from tests.llm.plain import classes as brute
 from waywarden.llm import near_dup
 from waywarden.operators.graph import components
 
 
-def brute(rows, rule):
-    sets = {i: near_dup.shingles(t, rule.words) for i, t in rows if i is not None}
-    of = {i: i for i in sets}
-
-    def root(x):
-        while of[x] != x:
-            x = of[x]
-        return x
-
-    ids = sorted(sets)
-    for k, i in enumerate(ids):
-        for j in ids[k + 1 :]:
-            common = len(sets[i] & sets[j])
-            if common and 100 * common >= rule.percent * (len(sets[i]) + len(sets[j]) - common):
-                a, b = sorted((root(i), root(j)))
-                of[b] = a
-    return {i: (len(sets[i]), root(i)) for i in sets}
-
-
 @pytest.mark.parametrize("rule", [near_dup.Rule(3, 85), near_dup.Rule()])
 def test_matches_brute_force(spark, rule):
     df = table(spark, extra=True)
