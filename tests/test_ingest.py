@@ -105,7 +105,18 @@ def test_geofences_and_graph(spark, tmp_path):
     ring = [[12.24, 41.80], [12.25, 41.80], [12.25, 41.81], [12.24, 41.81], [12.24, 41.80]]
     fc = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"zone_id": "z", "zone_class": "apron", "allowed_groups": "b, a", "speed_limit_kmh": "36"}, "geometry": {"type": "Polygon", "coordinates": [ring]}}]}
     (tmp_path / "g.json").write_text(json.dumps(fc))
-    z = readers.geofences(spark, str(tmp_path / "g.json")).head()
+    twice = {"type": "Feature", "properties": {"zone_id": "y", "zone_class": "taxi_corridor", "allowed_groups": "all"}, "geometry": {"type": "Polygon", "coordinates": [[ring[0], ring[0], *ring[1:4]]]}}
+    thin = {"type": "Feature", "properties": {"zone_id": "x", "zone_class": "apron"}, "geometry": {"type": "Polygon", "coordinates": [[ring[0], ring[1], ring[1]]]}}
+    edge = {"type": "Feature", "properties": {"zone_class": "aerodrome_boundary"}, "geometry": {"type": "Polygon", "coordinates": [ring]}}
+    (tmp_path / "h.json").write_text(json.dumps(fc | {"features": fc["features"] + [twice, thin, edge]}))
+    found, boundary = readers.geofences(spark, str(tmp_path / "h.json"), ["tug", "bus"])
+    got = {r["zone_id"]: r for r in found.collect()}
+    assert set(got) == {"z", "y"} and got["y"]["allowed_groups"] == ["bus", "tug"] and len(got["y"]["ring"]) == 5 and boundary.count() == 1
+    assert abs(got["y"]["area"] - got["z"]["area"]) < 1
+    (tmp_path / "i.json").write_text(json.dumps(fc | {"features": [edge | {"properties": {"zone_class": "moat"}}]}))
+    with pytest.raises(ValueError, match="moat"):
+        readers.geofences(spark, str(tmp_path / "i.json"))
+    z = readers.geofences(spark, str(tmp_path / "g.json"))[0].head()
     assert z["allowed_groups"] == ["a", "b"] and abs(z["speed_limit_mps"] - 10) < 1e-9 and len(z["ring"]) == 5 and 900_000 < z["area"] < 940_000
     xml = """<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="d0" for="node" attr.name="lat"/><key id="d1" for="node" attr.name="lon"/><key id="d2" for="edge" attr.name="domain"/><graph>
     <node id="1"><data key="d0">41.80</data><data key="d1">12.24</data></node><node id="2"><data key="d0">41.80</data><data key="d1">12.25</data></node><node id="3"><data key="d0">41.81</data><data key="d1">12.25</data></node>
@@ -152,3 +163,49 @@ def test_model_round_trip(spark, tmp_path):
     m = Linear(["kin_speed_resid_max"], ["y"], {"kin_speed_resid_max": 1.0}, {"kin_speed_resid_max": 2.0}, [{"kin_speed_resid_max": 0.5}], [0.1], 1.5, [(0.0, 0.0), (1.0, 1.0)])
     sinks.save_model(spark, m, str(tmp_path / "m"))
     assert sinks.load_model(spark, str(tmp_path / "m")) == m
+
+
+def test_release_is_fetched_unpacked_and_gated(spark, tmp_path):
+    import io
+    import tarfile
+
+    from waywarden.sources import release
+
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w:gz") as tar:
+        for i in range(3):
+            data = b"x" * (i + 1) * 1000
+            info = tarfile.TarInfo(f"traces/{i}.json")
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    whole, failed = raw.getvalue(), []
+    cut = {"r.tar.aa": whole[:100], "r.tar.ab": whole[100:]}
+
+    def get(name):
+        if name == "r.tar.ab" and not failed:
+            failed.append(name)
+            raise OSError("lost")
+        return io.BytesIO(cut[name])
+
+    parts = release.fetch(sorted(cut), str(tmp_path), get)
+    assert release.unpack(parts, str(tmp_path)) == 3 and (tmp_path / "traces/2.json").stat().st_size == 3000 and failed
+    assert release.fetch(sorted(cut), str(tmp_path), lambda name: 1 / 0) == parts
+    with pytest.raises(release.GateError):
+        release.unpack(parts, str(tmp_path), spare=1e15)
+    df = spark.range(10)
+    assert release.row_gate(df, 10, 10) == 10
+    for bounds in ((11, None), (0, 9)):
+        with pytest.raises(release.GateError):
+            release.row_gate(df, *bounds)
+
+
+def test_order_is_restored(spark):
+    df = spark.createDataFrame([((i * 37) % 101, f"t{i % 5}") for i in range(101)], "v long, track_id string").coalesce(3)
+    want = [r["v"] for r in df.collect()]
+    back = segments.restored(segments.with_order(df).repartition(4, "track_id"))
+    assert [r["v"] for r in back.collect()] == want and back.columns == df.columns
+
+
+def test_runways_fall_back_by_designators():
+    rows = [("16R/34L", 1)]
+    assert readers.runways_or(rows, [("34L/16R", 2), ("7/25", 3), ("", 4), ("07/25", 5)]) == [("16R/34L", 1), ("7/25", 3), ("07/25", 5)]

@@ -203,24 +203,42 @@ def overspeed_limits(s: DataFrame) -> DataFrame:
     return out.withColumn("threshold_mps", F.when(F.col("speed_limit_mps").isNotNull(), F.greatest(F.col("speed_limit_mps") * (1 + params.OVERSPEED_TOL), F.col("bulk")))).drop("bulk")
 
 
-def proximity(s: DataFrame, taxiing: str = "aircraft_taxi") -> DataFrame:
-    """(track_id, seq, prox_m, other_id): the nearest moving aircraft of a vehicle's second.
+def proximity(s: DataFrame, taxiing: str = "aircraft_taxi", within: float = params.PROXIMITY_M) -> DataFrame:
+    """(track_id, seq, prox_m, other_id): the nearest moving aircraft of a vehicle's second, if it is within some metres.
 
-    The join is on the second; a second holds the assets of an airport, so it is small.
+    The join is on the second and a tile: an aircraft is sent to each tile that
+    its surroundings touch, at most four, a vehicle to its own.
     """
-    sec = F.floor(F.col("t_us") / params.US)
-    air = s.filter((F.col("asset_kind") == taxiing) & (F.col("v5") >= params.MOVING_MPS) & ~F.col("position_wrong")).select(sec.alias("sec"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("asset_id").alias("other_id"))
-    veh = s.filter((F.col("domain") == "vehicle") & ~F.col("asset_kind").isin(*params.PROXIMITY_EXEMPT)).select(TRACK, "seq", "lat", "lon", sec.alias("sec"))
-    d = veh.join(air, "sec").withColumn("d", F.expr(geo.distance_m("lat", "lon", "lat2", "lon2")))
+    sec, tile, reach = F.floor(F.col("t_us") / params.US), 5 * within, 1.01 * within + 0.5  # the grid's metres are not quite metres
+    at = lambda v: F.floor(v / tile).cast("long")
+    air = metric(s.filter((F.col("asset_kind") == taxiing) & (F.col("v5") >= params.MOVING_MPS) & ~F.col("position_wrong")).select(sec.alias("sec"), "lat", "lon", F.col("asset_id").alias("other_id")))
+    for v in "xy":
+        air = air.withColumn(f"t{v}", F.explode(F.sequence(at(F.col(v) - reach), at(F.col(v) + reach))))
+    air = air.select("sec", "tx", "ty", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "other_id")
+    veh = metric(s.filter((F.col("domain") == "vehicle") & ~F.col("asset_kind").isin(*params.PROXIMITY_EXEMPT)).select(TRACK, "seq", "lat", "lon", sec.alias("sec")))
+    veh = veh.withColumns({f"t{v}": F.coalesce(at(F.col(v)), F.lit(-(1 << 40))) for v in "xy"})
+    d = veh.join(air, ["sec", "tx", "ty"]).withColumn("d", F.expr(geo.distance_m("lat", "lon", "lat2", "lon2"))).filter(F.col("d") <= within)
     return d.groupBy(TRACK, "seq").agg(F.min(F.struct("d", "other_id")).alias("n")).select(TRACK, "seq", F.col("n.d").alias("prox_m"), F.col("n.other_id").alias("other_id"))
 
 
+def _stopping(s: DataFrame, below: float) -> DataFrame:
+    """s with _stop, the number of its run, and whether a row is its track's first or last."""
+    stop = F.coalesce(F.col("v5") < below, F.lit(False))
+    w = Window.partitionBy(TRACK).orderBy("t_us", "seq")
+    return s.withColumns({"_run": run_id(stop, [TRACK]), "_stop": stop, "_first": F.lag("t_us").over(w).isNull(), "_last": F.lead("t_us").over(w).isNull()})
+
+
+def stop_runs(s: DataFrame, below: float = params.STOPPED_MPS) -> DataFrame:
+    """The samples of stops, with the stop's duration, rows, and whether it touches an end of its track."""
+    p = _stopping(s, below).filter("_stop")
+    of = p.groupBy(TRACK, "_run").agg(((F.max("t_us") - F.min("t_us")) / 1e6).alias("stop_s"), F.bool_or(F.col("_first") | F.col("_last")).alias("edge"), F.count("*").alias("n"))
+    return p.join(of, [TRACK, "_run"]).drop("_run", "_stop", "_first", "_last")
+
+
 def stops(s: DataFrame) -> DataFrame:
     """s with unexpected_stop: a stop longer than its zone allows, that is not the beginning or end of a track nor in a place to park."""
     c = F.col
-    s = s.withColumn("_run", run_id(c("v5") < params.STOPPED_MPS, [TRACK])).withColumn("_stop", F.coalesce(c("v5") < params.STOPPED_MPS, F.lit(False)))
-    w = Window.partitionBy(TRACK).orderBy("t_us", "seq")
-    s = s.withColumns({"_first": F.lag("t_us").over(w).isNull(), "_last": F.lead("t_us").over(w).isNull()})
+    s = _stopping(s, params.STOPPED_MPS)
     of = s.filter("_stop").groupBy(TRACK, "_run").agg(
         ((F.max("t_us") - F.min("t_us")) / 1e6).alias("stop_s"),
         F.mode(F.coalesce("zone_class", F.lit("")), True).alias("zc"),

@@ -17,15 +17,20 @@ from waywarden import params, registry
 # ---------------------------------------------------------------- splits
 
 
+def hashed(text: Column) -> Column:
+    """The first 24 bits of a text's MD5 as a number."""
+    return F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("long")
+
+
 def split_scenes(scenes: DataFrame, by: list[str], parts=params.SPLITS, seed: int = 42, scene: str = "scene_id") -> DataFrame:
     """scenes (one row each) with `part`: within each stratum, scenes in the order of a hash take the parts' shares.
 
-    The hash is reproducible on any cluster. Each stratum starts at an offset of
+    The hash is MD5, which any engine repeats. Each stratum starts at an offset of
     its own, so that small strata do not all give their first scene to one part.
     """
-    order = F.xxhash64(F.lit(seed), F.col(scene))
+    order = F.md5(F.concat(F.lit(f"{seed}|"), F.col(scene)))
     w = Window.partitionBy(*by)
-    shift = F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1000)) / 1000.0
+    shift = hashed(F.concat(F.lit(f"{seed}|"), F.concat_ws("|", *by))) / float(1 << 24)
     at = scenes.withColumn("_u", (F.row_number().over(w.orderBy(order, scene)) - 1 + shift) / F.count("*").over(w)).withColumn("_u", F.col("_u") - F.floor("_u"))
     part, edge = F.lit(parts[-1][0]), 1.0
     for name, share in reversed(parts[:-1]):
@@ -73,7 +78,7 @@ def check_splits(split: DataFrame, known: DataFrame, scene: str = "scene_id", ca
 
 def fold(scene: Column, folds: int = 5) -> Column:
     """The fold of a scene: all its rows share it."""
-    return F.pmod(F.xxhash64(scene), F.lit(folds)).cast("int")
+    return F.pmod(hashed(scene), F.lit(folds)).cast("int")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -217,7 +217,7 @@ def elevation_grid(buildings: DataFrame, cell: float = 10.0, reach: float = 150.
     Each building gives the cells around it, so the table grows with the
     buildings and not with the positions that look it up.
     """
-    xs, ys = (F.transform("ring", lambda p, v=v: p[v]) for v in "xy")
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     span = lambda v: F.sequence(F.floor((F.array_min(v) - reach) / cell), F.floor((F.array_max(v) + reach) / cell))
     at = buildings.select("height_m", "ring", F.explode(span(xs)).alias("i"), span(ys).alias("_j")).withColumn("j", F.explode("_j"))
     d = geo.to_ring_m((F.col("i") + 0.5) * cell, (F.col("j") + 0.5) * cell, F.col("ring"))
@@ -262,7 +262,8 @@ def map_fixes(fixes: DataFrame, layers: dict[str, DataFrame]) -> DataFrame:
     if "types" in layers:
         p = identity_rules(p, layers["types"])
     out = dwell(p.withColumn("ok", F.col("_ground")).drop("j", "jj")).drop("ok")
-    out = out.join(ground_zones(ground, layers["zones"], layers["access"]), key, "left")
+    # the zone's limit beside the class's
+    out = out.join(ground_zones(ground, layers["zones"], layers["access"]).withColumnRenamed("limit", "zone_limit"), key, "left")
     if "buildings" in layers:
         inside = near_polygons(ground.select(*key, "x", "y"), layers["buildings"]).select(*key).distinct().withColumn("_in", F.lit(1.0))
         out = out.join(inside, key, "left").withColumn("in_building", F.when(F.col("_ground"), F.coalesce("_in", F.lit(0.0)))).drop("_in")
@@ -276,7 +277,7 @@ def map_fixes(fixes: DataFrame, layers: dict[str, DataFrame]) -> DataFrame:
     out = out.withColumns({
         "outside": F.when(g, outside.cast("double")),
         "offzone": F.when(g & ~outside, (~F.coalesce("in_zone", F.lit(False))).cast("double")),
-        "zone_ratio": F.when(g, F.col("gs") / F.col("limit_mps" if "limit_mps" in out.columns else "limit")),
+        "zone_ratio": F.when(g, F.col("gs") / F.col("zone_limit")),
         "violation": F.when(g, F.coalesce("violation", F.lit(0.0))),
         "dwell_ratio": F.when(g, F.coalesce(F.try_divide("dwell_s", "max_dwell"), F.lit(0.0))),
         "crit": F.when(g, F.coalesce("crit", F.lit(0.0))),
@@ -314,7 +315,7 @@ def map_windows(mapped: DataFrame, timing) -> DataFrame:
         *[F.avg(has(c)).alias(f) for f, c in MAP_MEANS.items()],
         *[F.max(has(c)).alias(f) for f, c in MAP_MAXIMA.items()],
         latest(F.col("_zone"), "crit").alias("z"),
-        latest(F.col("limit"), "zone_ratio").alias("lim"),
+        latest(F.col("zone_limit"), "zone_ratio").alias("lim"),
     )
     return g.withColumns({
         "spa_off_airport": (F.col("outside_share") > 0.5).cast("double"),

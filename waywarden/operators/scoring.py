@@ -26,6 +26,21 @@ def fit_thresholds(clean: DataFrame, features: list[str] | None = None, quantile
     return out.select("name", "domain", F.when(F.col("n") >= least, F.greatest("t0", "q")).otherwise(F.col("t0")).alias("tau"), "scale", "n")
 
 
+def before_last_days(df: DataFrame, t: str = "t", days: int = 2) -> DataFrame:
+    """Rows of all but the last UTC days, which are held out."""
+    day = F.floor(F.col(t) / 86_400)
+    last = df.agg(F.max(day).alias("_last"))  # one row
+    return df.crossJoin(F.broadcast(last)).filter(day <= F.col("_last") - days).drop("_last")
+
+
+def clean_windows(windows: DataFrame, days: int = 2) -> DataFrame:
+    """Windows that limits are fitted on: with enough fixes, without a label or in transition to one, and not of the held-out days."""
+    w = windows.filter(F.col("tmp_n_points") >= params.MIN_POINTS)
+    if "label_cause" in w.columns:
+        w = w.filter((F.col("label_cause") == "plausible") & ~F.col("label_transition"))
+    return before_last_days(w, "t_end", days)
+
+
 def read_thresholds(spark, path: str) -> dict[str, dict[str, tuple[float, float]]]:
     """name → domain → (tau, scale) of a thresholds file: one row for each scored feature and domain."""
     out: dict[str, dict[str, tuple[float, float]]] = {}

@@ -144,3 +144,25 @@ def validate(points: DataFrame) -> DataFrame:
     if bad:
         raise SchemaError(f"rows that break the schema: {bad}")
     return points
+
+
+def stretches(df: DataFrame, by: list[str], key: list[str], order: tuple[str, ...] = ("t_us", "seq")) -> DataFrame:
+    """(by, key, t_start, t_end, n): the longest runs of rows, in order within `by`, that agree in all of key. Nulls agree with each other."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    now = F.struct(*key)
+    new = (~now.eqNullSafe(F.lag(now).over(w))).cast("long")
+    island = df.withColumn("_island", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy(*by, *key, "_island").agg(F.min("t_us").alias("t_start"), F.max("t_us").alias("t_end"), F.count("*").alias("n")).drop("_island")
+
+
+ORDER = "_order"
+
+
+def with_order(df: DataFrame) -> DataFrame:
+    """df with the place of each row as it was read: it grows within a partition and from one to the next."""
+    return df.withColumn(ORDER, F.monotonically_increasing_id())
+
+
+def restored(df: DataFrame) -> DataFrame:
+    """Rows of with_order() in the order they were read, without its column; a range partitioning, so no task sorts all."""
+    return df.orderBy(ORDER).drop(ORDER)

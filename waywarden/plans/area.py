@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from waywarden.functions import geo
 from waywarden.operators import fleet, halos, models, places
 from waywarden.params import Fleet, Timing
+from waywarden.plans import batch, motion
 from waywarden.plans.adaptor import PTS, TIMING, points
 
 QUERIES: dict = {}
@@ -59,6 +60,17 @@ def regional_majority(spark, d):
     return fleet.regional(points(spark, d), REGIONAL).select("cell", F.col("bin_start").cast("long").alias("bin_start"), "n_tracks", "n_degraded", F.round("share", 6).alias("share"), "level", "flagged")
 
 
+@query("top_cells", f"""WITH {PTS}, {XY}, {CELL} SELECT q || ':' || r AS cell, count(*) AS n FROM cl GROUP BY ALL ORDER BY n DESC, cell LIMIT 10""")
+def top_cells(spark, d):
+    """The ten cells with the most fixes: a report, so the limit is its point."""
+    return fleet.cells(points(spark, d), SIDE).groupBy("cell").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cell").limit(10)
+
+
+@query("cell_baseline", f"""WITH {PTS}, {{STATE}} SELECT q || ':' || r AS cell, round(avg(CAST(degraded AS DOUBLE)), 9) AS baseline FROM stt WHERE hr = k GROUP BY ALL""")
+def cell_baseline(spark, d):
+    return fleet.baseline_rates(seen(spark, d), APRON).select("cell", F.round("baseline", 9).alias("baseline"))
+
+
 def seen(spark, d):
     """One window for each track and hour with a fix: its last position and whether accuracy was low."""
     p = points(spark, d).withColumn("k", F.expr(f"CAST(ceil(t_us / {TIMING.us('stride')}.0D) AS BIGINT)"))
@@ -73,6 +85,9 @@ stt AS (SELECT track_id, unnest(generate_series(k, upto - 1)) AS hr, k, q, r, de
 cnt AS (SELECT hr, q, r, count(*) AS n, CAST(sum(CASE WHEN degraded THEN 1 ELSE 0 END) AS BIGINT) AS bad FROM stt GROUP BY ALL)"""
 
 
+ORACLES["cell_baseline"] = ORACLES["cell_baseline"].replace("{STATE}", STATE)
+
+
 @query("presence_carry", f"WITH {PTS}, {STATE} SELECT track_id, hr AS k, q || ':' || r AS cell, degraded, hr = k AS own FROM stt")
 def presence_carry(spark, d):
     return fleet.presence(seen(spark, d), APRON).select("track_id", "k", "cell", "degraded", "own")
@@ -297,6 +312,95 @@ def forecast_entry(spark, d):
     return halos.forecasts(rows, areas).select("track_id", "risk_zone_id", "eta_s")
 
 
+# ---------------------------------------------------------------- the map's features of windows
+
+BOUNDARY = [(X0 + 4200.0 + 4300.0 * c, Y0 + 4200.0 + 3600.0 * s_) for c, s_ in CORNERS]
+BOUNDARY = [*BOUNDARY, BOUNDARY[0]]
+TYPES = [("b738", "narrowbody"), ("C172", "light")]
+GRID_ = motion.GRID
+STEP, SPAN = TIMING.us("stride"), TIMING.us("window")
+
+
+def layers(spark):
+    boundary = spark.createDataFrame([(BOUNDARY,)], "ring array<struct<x:double,y:double>>")
+    types = spark.createDataFrame(TYPES, "typecode string, size_class string")
+    return {"zones": zones(spark), "access": access(spark), "buildings": buildings(spark), "routes": routes(spark), "runways": runways(spark), "boundary": boundary, "types": types}
+
+
+def mapped(spark, d):
+    return batch.features(points(spark, d), TIMING, layers(spark))
+
+
+def windows_of(fx: str, columns: str) -> str:
+    """Aggregates of fixes fx in each window of the grid; null where a window has none."""
+    return f"SELECT g.track_id, g.k, {columns} FROM grid g LEFT JOIN {fx} f ON f.track_id = g.track_id AND f.t_us > g.k * {STEP} - {SPAN} AND f.t_us <= g.k * {STEP} GROUP BY ALL"
+
+
+TAXI_KINDS = ", ".join(f"'{t}'" for t in places.TAXI)
+
+
+@query("taxi_mask", f"""WITH {PTS}, {XY}, {NEAR}, z AS (SELECT track_id, seq, bool_or(zone_type = 'runway') AS rw, bool_or(zone_type IN ({TAXI_KINDS})) AS tx FROM dz JOIN zn USING (zone_id) WHERE dist <= 50 GROUP BY ALL)
+SELECT p.track_id, p.seq, coalesce(domain = 'aircraft' AND on_ground AND tx AND NOT rw, false) AS taxi_surface FROM pts p LEFT JOIN z USING (track_id, seq)""")
+def taxi_mask(spark, d):
+    return places.with_taxi(points(spark, d), zones(spark)).select("track_id", "seq", "taxi_surface")
+
+
+GND = "gnd AS (SELECT *, domain = 'vehicle' OR coalesce(on_ground, false) AS ground FROM xy)"
+BSD = table("bsd", "x1, y1, x2, y2", [(*a, *b) for a, b in zip(BOUNDARY, BOUNDARY[1:], strict=False)])
+CROSS = "(y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1"
+GROUND_FIX = f"""{NEAR}, {ED}, {BLD}, {BSD}, {GND},
+inz AS (SELECT track_id, seq, max(criticality) AS crit, bool_or(dist <= 10) AS near FROM dz JOIN zn USING (zone_id) WHERE dist <= 50 GROUP BY ALL),
+inb AS (SELECT track_id, seq, bool_or(odd) AS inside FROM (SELECT track_id, seq, building_id, count(*) FILTER ({CROSS}) % 2 = 1 AS odd FROM xy, bd GROUP BY ALL) GROUP BY ALL),
+ina AS (SELECT track_id, seq, count(*) FILTER ({CROSS}) % 2 = 1 AS inside FROM xy, bsd GROUP BY ALL),
+rte AS (SELECT track_id, seq, min(sqrt(pow(x - (x1 + u * (x2 - x1)), 2) + pow(y - (y1 + u * (y2 - y1)), 2))) AS route_m FROM (SELECT p.track_id, p.seq, x, y, {T01} AS u, x1, y1, x2, y2 FROM xy p JOIN ed ON ed.domain = p.domain) GROUP BY ALL),
+gfx AS (SELECT gnd.track_id, gnd.seq, t_us, ground, CASE WHEN ground THEN route_m END AS route_m, CASE WHEN ground THEN CAST(inb.inside AS DOUBLE) END AS in_building, CASE WHEN ground THEN CAST(NOT ina.inside AS DOUBLE) END AS outside,
+ CASE WHEN ground AND ina.inside THEN CAST(NOT coalesce(near, false) AS DOUBLE) END AS offzone, CASE WHEN ground THEN coalesce(inz.crit, 0) END AS crit FROM gnd JOIN inb USING (track_id, seq) JOIN ina USING (track_id, seq) LEFT JOIN rte USING (track_id, seq) LEFT JOIN inz USING (track_id, seq))"""
+
+
+@query("ground_map_features", f"WITH {PTS}, {XY}, {GRID_}, {GROUND_FIX} " + windows_of("gfx", "round(max(route_m), 3) AS spa_route_dist_max_m, round(avg(route_m), 3) AS spa_route_dist_mean_m, round(avg(offzone), 6) AS spa_offzone_frac, round(avg(in_building), 6) AS spa_in_building_frac, CAST(avg(outside) > 0.5 AS DOUBLE) AS spa_off_airport"))
+def ground_map_features(spark, d):
+    three, six = ("spa_route_dist_max_m", "spa_route_dist_mean_m"), ("spa_offzone_frac", "spa_in_building_frac")
+    return mapped(spark, d).select("track_id", "k", *[F.round(c, 3).alias(c) for c in three], *[F.round(c, 6).alias(c) for c in six], "spa_off_airport")
+
+
+GS_ = "CASE WHEN track_deg IS NULL AND gs_mps > 3 THEN NULL ELSE gs_mps END"
+AXES = [(*places.to_metric(RUNWAYS[i][2], RUNWAYS[i][3]), *places.to_metric(RUNWAYS[i + 1][2], RUNWAYS[i + 1][3])) for i in (0, 2)]
+AXIS = "least(" + ", ".join(f"abs((x - {a!r}) * ({e!r} - {b!r}) - (y - {b!r}) * ({c!r} - {a!r})) / {math.hypot(c - a, e - b)!r}" for a, b, c, e in AXES) + ")"
+AIR_FIX = f"""{RW}, {GND}, air AS (SELECT *, {GS_} AS gs, coalesce(alt_geom_m, alt_baro_m) AS alt, asset_class <> 'helicopter' AS checks FROM gnd WHERE NOT ground AND domain = 'aircraft'),
+ends_ AS (SELECT track_id, seq, rend, gs, vrate_mps, alt, elev, checks, {geo.distance_m('lat', 'lon', 'tlat', 'tlon')} AS d, {geo.azimuth('lat', 'lon', 'tlat', 'tlon')} AS az, bearing, track_deg FROM air, rw),
+cand AS (SELECT *, abs({geo.wrap180('az - bearing')}) AS ang FROM ends_ WHERE abs({geo.wrap180('track_deg - bearing')}) <= 30),
+bst AS (SELECT track_id, seq, arg_min(cand, struct_pack(l := d * sin(radians(ang)), e := rend)) AS r FROM cand WHERE ang < 90 GROUP BY ALL),
+fnl AS (SELECT track_id, seq, r.rend AS rend, r.ang AS aside, abs(degrees(atan2(r.alt - r.elev, r.d)) - 3) AS glide, abs(-r.vrate_mps - r.gs * tan(radians(3))) / nullif(r.gs * tan(radians(3)), 0) AS descent FROM bst WHERE r.d <= 10000 AND NOT coalesce(r.alt - r.elev > tan(radians(6)) * r.d + 150, false)),
+afx AS (SELECT g.track_id, g.seq, g.t_us, CASE WHEN checks THEN aside END AS aside, CASE WHEN checks THEN glide END AS glide, CASE WHEN checks THEN descent END AS descent,
+ CASE WHEN checks AND alt IS NOT NULL THEN CAST(alt - 4 < 150 AND {AXIS} > 500 AS DOUBLE) END AS phase,
+ CASE WHEN g.domain = 'aircraft' AND g.on_ground IS NOT NULL THEN CAST((g.on_ground AND coalesce(g.alt_baro_m - 4 > 300, false)) OR (NOT g.on_ground AND g.asset_class <> 'helicopter' AND coalesce({GS_.replace("track_deg", "g.track_deg").replace("gs_mps", "g.gs_mps")} < 10, false)) AS DOUBLE) END AS conflict
+ FROM gnd g LEFT JOIN (SELECT track_id, seq, alt, checks FROM air) a USING (track_id, seq) LEFT JOIN fnl USING (track_id, seq))"""
+
+
+@query("air_map_features", f"WITH {PTS}, {XY}, {GRID_}, {AIR_FIX.replace('{AXIS}', AXIS)} " + windows_of("afx", "round(max(aside), 6) AS ctx_app_lateral_dev_deg, round(max(glide), 6) AS ctx_app_glide_dev_deg, round(avg(descent), 6) AS ctx_app_descent_dev_ratio, round(avg(phase), 6) AS ctx_phase_conflict_frac, round(avg(conflict), 6) AS ctx_ground_alt_conflict"))
+def air_map_features(spark, d):
+    names = ("ctx_app_lateral_dev_deg", "ctx_app_glide_dev_deg", "ctx_app_descent_dev_ratio", "ctx_phase_conflict_frac", "ctx_ground_alt_conflict")
+    return mapped(spark, d).select("track_id", "k", *[F.round(c, 6).alias(c) for c in names])
+
+
+IDENT = f"""sgn AS (SELECT *, last_value(callsign IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY t_us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sign, CASE typecode_raw WHEN 'B738' THEN 'narrowbody' WHEN 'C172' THEN 'light' ELSE CASE WHEN typecode_raw IS NOT NULL THEN 'other' END END AS cls, {GS_} AS gs FROM pts),
+idn AS (SELECT track_id, seq, t_us, CASE WHEN domain = 'aircraft' AND cls IS NOT NULL THEN CAST(regexp_matches(coalesce(sign, ''), '^[A-Z]{{3}}[0-9]') AND cls IN ('light', 'other') AS DOUBLE) END AS a,
+ CASE WHEN domain = 'aircraft' AND cls IS NOT NULL THEN CAST(coalesce(NOT coalesce(on_ground, false) AND gs > CASE cls WHEN 'light' THEN 100 ELSE 320 END, false) AS DOUBLE) END AS b FROM sgn)"""
+
+
+@query("identity_mismatch", f"WITH {PTS}, {GRID_}, {IDENT} " + windows_of("idn", "max(a) + max(b) AS ctx_identity_mismatch"))
+def identity_mismatch(spark, d):
+    return mapped(spark, d).select("track_id", "k", "ctx_identity_mismatch")
+
+
+@query("elevation_grid", f"""WITH {BLD}, cells AS (SELECT i, j, (i + 0.5) * 40 AS x, (j + 0.5) * 40 AS y FROM range({int(X0 // 40) - 10}, {int(X0 // 40) + 260}) a(i), range({int(Y0 // 40) - 10}, {int(Y0 // 40) + 160}) b(j)),
+sg AS (SELECT i, j, building_id, height, x, y, {CROSS} AS hit, {T01} AS u, x1, y1, x2, y2 FROM cells, bd),
+db AS (SELECT i, j, building_id, any_value(height) AS height, CASE WHEN count(*) FILTER (hit) % 2 = 1 THEN 0 ELSE min(sqrt(pow(x - (x1 + u * (x2 - x1)), 2) + pow(y - (y1 + u * (y2 - y1)), 2))) END AS dist FROM sg GROUP BY ALL)
+SELECT i, j, round(max(degrees(atan2(height, greatest(dist, 1)))), 6) AS elevation_deg FROM db WHERE dist <= 150 GROUP BY ALL""")
+def elevation_grid(spark, d):
+    return places.elevation_grid(buildings(spark), 40.0).select("i", "j", F.round("elevation_deg", 6).alias("elevation_deg"))
+
+
 # ---------------------------------------------------------------- metrics and membership
 
 
@@ -333,7 +437,9 @@ def precision_recall(spark, d):
     return models.precision_recall(judged(spark, d).withColumn("f", F.col("p") > 0.5), "f", "y", ["asset_class"]).select("asset_class", "tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-@query("split_assign", None)
+@query("split_assign", f"""WITH {PTS}, s AS (SELECT track_id AS scene_id, min(asset_class) AS stratum FROM pts GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('42|' || scene_id), scene_id) - 1 + CAST('0x' || substr(md5('42|' || stratum), 1, 6) AS BIGINT) / 16777216.0 AS u, count(*) OVER (PARTITION BY stratum) AS n FROM s)
+SELECT scene_id, stratum, CASE WHEN u / n - floor(u / n) < 0.6 THEN 'train' WHEN u / n - floor(u / n) < 0.8 THEN 'calib' ELSE 'test' END AS part FROM r""")
 def split_assign(spark, d):
     s = points(spark, d).groupBy(F.col("track_id").alias("scene_id")).agg(F.min("asset_class").alias("stratum"))
     return models.split_scenes(s, ["stratum"])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waywarden import params, registry
-from waywarden.operators import fleet, places, scoring, verdict
+from waywarden.operators import fleet, labels, places, scoring, verdict
 from waywarden.operators.fixes import TRACK, fix_level
 from waywarden.operators.models import Linear
 from waywarden.operators.windows import window_level
@@ -28,6 +28,8 @@ class Bundle:
     second: Linear | None = None
     causes: Linear | None = None
     thresholds: dict | None = None
+    baseline: DataFrame | None = None
+    judged: DataFrame | None = None
 
     def p_unsound(self, second: bool) -> Column:
         model = self.second if second else self.first
@@ -69,10 +71,8 @@ def features(points: DataFrame, timing: Timing = Timing(), layers: dict[str, Dat
 def degraded(feats: DataFrame, bundle: Bundle) -> DataFrame:
     """(track_id, k, aux_lat, aux_lon, degraded[, area]) of windows: integrity of the first pass below 55, or most readings low."""
     v = scoring.violations(feats, bundle.thresholds)
-    low = 100 * (1 - bundle.p_unsound(False)) < params.UNTRUSTED[1]
-    majority = F.coalesce(F.col("sig_degraded_majority") == 1, F.lit(False))
     cols = [TRACK, "k", "aux_lat", "aux_lon"] + (["area"] if "area" in feats.columns else [])
-    return v.select(*cols, (low | majority).alias("degraded"))
+    return v.select(*cols, flag_of(bundle.p_unsound(False)).alias("degraded"))
 
 
 def fleet_tables(feats: DataFrame, bundle: Bundle, profile: Fleet = APRON, baseline: DataFrame | None = None, span: tuple[int, int] | None = None, before: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -101,11 +101,21 @@ def verdicts(feats: DataFrame, bundle: Bundle = Bundle(), profile: Fleet = APRON
     return verdict.assemble(held, F.col("_p"), {c: F.col(f"_p_{c}") for c in probabilities}, bundle.thresholds, bundle.contribution(), init)
 
 
-def train(labelled: DataFrame, parts: DataFrame, scene: str = "scene_id") -> Bundle:
-    """Models from labelled windows with their fleet features, by scene: two integrity passes, calibrated, and causes.
+def labelled_windows(points: DataFrame, timing: Timing = Timing(), layers: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Features of labelled points with the windows' labels, their scene, and the naive baseline's score."""
+    of = points.groupBy(TRACK).agg(F.min("scene_id").alias("scene_id"))
+    f = features(points, timing, layers).join(labels.window_labels(points, timing), [TRACK, "k"])
+    return f.join(scoring.naive_score(points, timing), [TRACK, "k"]).join(of, TRACK)
 
-    The first pass scores the training scenes out of fold, so that what feeds
-    the second never saw its own scene.
+
+def train(labelled: DataFrame, parts: DataFrame, scene: str = "scene_id", profile: Fleet = APRON) -> Bundle:
+    """Models from labelled windows, by scene: two integrity passes, calibrated, and causes.
+
+    The first pass scores each training scene by a model that never saw its
+    fold; from these scores come the fleet features that the second pass is
+    trained on, against the cells' rates of clean training traffic. The scenes
+    for calibration are scored by the whole first model. Windows without
+    positions (aux_lat) keep the fleet features they came with.
     """
     from waywarden.operators import models
 
@@ -113,13 +123,52 @@ def train(labelled: DataFrame, parts: DataFrame, scene: str = "scene_id") -> Bun
     rows = rows.withColumns({"unsound": (~F.col("label_cause").isin(*params.SOUND)).cast("double"), "cause_no": F.array_position(F.array(*map(F.lit, params.CAUSES)), F.col("label_cause")) - 1})
     train_, calib = rows.filter("part = 'train'"), rows.filter("part = 'calib'")
     has = lambda names: [n for n in names if n in rows.columns]
-    first = models.fit_monotone(train_, has(registry.INPUTS_FIRST), "unsound")
+    inputs = has(registry.INPUTS_FIRST)
+    first = models.fit_monotone(train_, inputs, "unsound")
     first.steps = models.fit_isotonic(calib, first.probability(), "unsound")
-    second = models.fit_monotone(train_, has(registry.INPUTS_SECOND), "unsound")
+    baseline = None
+    if "aux_lat" in rows.columns:
+        seen = models.out_of_fold(train_, inputs, "unsound", scene).withColumn("_p", models.piecewise(F.col("p_oof"), first.steps))
+        scored = seen.drop("p_oof").unionByName(rows.filter("part <> 'train'").withColumn("_p", first.probability()))
+        scored = written(scored.drop(*registry.FLEET), "outoffold")
+        flags = scored.select(TRACK, "k", "aux_lat", "aux_lon", F.col(scene).alias("area"), "part", "label_cause", (flag_of(F.col("_p"))).alias("degraded"))
+        clean = flags.filter("part = 'train' AND label_cause = 'plausible'").drop("part", "label_cause")
+        baseline = written(fleet.baseline_rates(clean, profile), "baseline")
+        rows = written(scored.drop("_p").join(fleet.fleet_features(flags.drop("part", "label_cause"), profile, baseline), [TRACK, "k"], "left"), "second")
+        train_, calib = rows.filter("part = 'train'"), rows.filter("part = 'calib'")
+    second = models.fit_monotone(train_, has(registry.INPUTS_FIRST) + [f for f in registry.FLEET if f in rows.columns], "unsound")
     second.steps = models.fit_isotonic(calib, second.probability(), "unsound")
-    causes = models.fit_causes(train_, has(registry.INPUTS_CAUSE), "cause_no", list(params.CAUSES))
+    causes = models.fit_causes(train_, [f for f in registry.INPUTS_CAUSE if f in rows.columns and f not in EMPTY], "cause_no", list(params.CAUSES))
     causes.temperature = models.fit_temperature(calib, causes, "cause_no")
-    return Bundle(first, second, causes)
+    return Bundle(first, second, causes, baseline=baseline, judged=rows if baseline is not None else None)
+
+
+#: Features that are withheld, so that no model learns from them.
+EMPTY = ("kin_accel_imp_ratio_max",)
+
+
+def flag_of(p: Column) -> Column:
+    """Whether a window counts as degraded: integrity below the limit, or most readings low."""
+    return (100 * (1 - p) < params.UNTRUSTED[1]) | F.coalesce(F.col("sig_degraded_majority") == 1, F.lit(False))
+
+
+def card(bundle: Bundle, rows: DataFrame | None = None) -> dict:
+    """What the models are worth on test scenes, beside the naive baseline; rows have part, unsound, cause_no and the features."""
+    from waywarden.operators import models
+
+    rows = bundle.judged if rows is None else rows
+    test = rows.filter("part = 'test'").withColumns({"p1": bundle.first.probability(), "p2": bundle.second.probability(), "raw": 1 / (1 + F.exp(-bundle.second.logit())), **{f"_c_{c}": x for c, x in bundle.causes.probabilities().items()}})
+    guess = verdict.most_likely(params.CAUSES, lambda c: F.col(f"_c_{c}"))
+    test = written(test.withColumn("guess", guess).select("p1", "p2", "raw", "unsound", "guess", "label_cause", *(["baseline_score"] if "baseline_score" in rows.columns else [])), "judged")
+    out = {"parts": {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}, "inputs": {"first": bundle.first.inputs, "second": bundle.second.inputs, "causes": bundle.causes.inputs}}
+    for name, p in (("first", "p1"), ("second", "p2"), *([("naive", "baseline_score")] if "baseline_score" in test.columns else [])):
+        m = evaluate(test, "unsound", p)
+        out[name] = {"auroc": m["auroc"], "auprc": m["average_precision"], "ece": m["ece"]}
+    out["ece_before_calibration"] = models.ece(test, "raw", "unsound").head()[0]
+    out["macro_f1"] = models.macro_f1(test, "guess", "label_cause").head()[0]
+    out["confusion"] = {f"{r['label_cause']} as {r['guess']}": r["count"] for r in test.groupBy("label_cause", "guess").count().collect()}
+    out["temperature"] = bundle.causes.temperature
+    return out
 
 
 def evaluate(scored: DataFrame, label: str = "unsound", probability: str = "p") -> dict[str, float]:

@@ -154,32 +154,42 @@ def action_case(spark, d):
     return g.select("track_id", "seq", "action_code", verdict.action_text(F.col("action_code"), g.columns).alias("action_text"))
 
 
-# features with a sentence that the made columns can fill, in registry order, with how the sentence reads
+def half_up(x: str, digits: int) -> str:
+    """A number in words as Spark writes it: halves go up."""
+    return f"format('{{:.{digits}f}}', floor(({x}) * {10**digits} + 0.5) / {10.0**digits})"
+
+
+# every feature with a sentence that the made columns can fill, in registry order, with how the sentence reads
 READS = {
-    "kin_speed_resid_max": "'Position implies ' || format('{:.0f}', aux_speed_implied_mps) || ' m/s but the asset reports ' || format('{:.0f}', aux_speed_reported_mps) || ' m/s'",
-    "kin_accel_ratio_max": "'Acceleration is ' || format('{:.1f}', kin_accel_ratio_max) || 'x the maximum for a ' || aux_asset_class",
-    "tmp_gap_max_s": "'No position for ' || format('{:.0f}', tmp_gap_max_s) || ' s'",
-    "tmp_frozen_frac": "format('{:.0f}', tmp_frozen_frac * 100) || '% of positions are frozen while the asset reports movement'",
+    "kin_speed_resid_max": f"'Position implies ' || {half_up('aux_speed_implied_mps', 0)} || ' m/s but the asset reports ' || {half_up('aux_speed_reported_mps', 0)} || ' m/s'",
+    "kin_accel_ratio_max": f"'Acceleration is ' || {half_up('kin_accel_ratio_max', 1)} || 'x the maximum for a ' || aux_asset_class",
+    "tmp_gap_max_s": f"'No position for ' || {half_up('tmp_gap_max_s', 0)} || ' s'",
+    "tmp_frozen_frac": f"{half_up('tmp_frozen_frac * 100', 0)} || '% of positions are frozen while the asset reports movement'",
+    "spa_offzone_frac": f"{half_up('spa_offzone_frac * 100', 0)} || '% of positions are off every movement area'",
+    "ctx_ground_alt_conflict": f"'On-ground flag contradicts altitude or speed in ' || {half_up('ctx_ground_alt_conflict * 100', 0)} || '% of positions'",
 }
+ABOUT = {f: int(registry.FEATURES[f].dimension in ("spatial", "contextual")) for f in READS}
+# two about the data and one about behaviour where both are in doubt, else three of the one kind
+SAID = f"""{GIVEN}, v AS (SELECT *, {", ".join(f"{limit_sql(f)} AS v_{f}" for f in READS)} FROM qd),
+e AS ({" UNION ALL ".join(f"SELECT track_id, seq, trust, norm, {ABOUT[f]} AS about, {i} AS i, '{f}' AS feature, {x} AS text, CAST({f} AS DOUBLE) AS value, CAST({registry.FEATURES[f].tau} AS DOUBLE) AS tau, '{registry.FEATURES[f].unit}' AS unit, v_{f} AS w FROM v WHERE v_{f} > 0 AND {x} IS NOT NULL" for i, (f, x) in enumerate(READS.items()))}),
+r AS (SELECT *, row_number() OVER (PARTITION BY track_id, seq, about ORDER BY w DESC, i) AS rank FROM e),
+said AS (SELECT *, row_number() OVER (PARTITION BY track_id, seq ORDER BY about, rank) AS place FROM r
+ WHERE (about = 0 AND trust <> 'trusted' AND rank <= CASE WHEN norm = 'abnormal' THEN 2 ELSE 3 END) OR (about = 1 AND norm = 'abnormal' AND rank <= CASE WHEN trust <> 'trusted' THEN 1 ELSE 3 END))"""
+
 
+def said(spark, d):
+    return verdict.evidence(scoring.violations(given(spark, d)))
 
-@query("evidence_topk", f"""WITH {GIVEN}, v AS (SELECT *, {', '.join(f'{limit_sql(f)} AS v_{f}' for f in READS)} FROM qd),
-e AS ({" UNION ALL ".join(f"SELECT track_id, seq, {i} AS i, '{f}' AS feature, v_{f} AS w FROM v WHERE trust <> 'trusted' AND v_{f} > 0 AND {f} IS NOT NULL" for i, f in enumerate(READS))}),
-k AS (SELECT *, row_number() OVER (PARTITION BY track_id, seq ORDER BY w DESC, i) AS rank FROM e)
-SELECT track_id, seq, string_agg(feature, ',' ORDER BY rank) AS features, count(*) AS n FROM k WHERE rank <= 3 GROUP BY ALL""")
+
+@query("evidence_topk", f"WITH {SAID} SELECT track_id, seq, coalesce(string_agg(feature, ',' ORDER BY place), '') AS features, count(feature) AS n FROM qd LEFT JOIN said USING (track_id, seq) GROUP BY ALL")
 def evidence_topk(spark, d):
-    g = scoring.violations(given(spark, d)).withColumn("normality_state", F.lit("expected"))
-    e = verdict.evidence(g).filter("size(evidence) > 0")
-    return e.select("track_id", "seq", F.array_join("evidence.feature", ",").alias("features"), F.size("evidence").cast("long").alias("n"))
+    return said(spark, d).select("track_id", "seq", F.array_join("evidence.feature", ",").alias("features"), F.size("evidence").cast("long").alias("n"))
 
 
-@query("evidence_sentences", f"""WITH {GIVEN}, v AS (SELECT *, {', '.join(f'{limit_sql(f)} AS v_{f}' for f in READS)} FROM qd)
-SELECT track_id, seq, 'tmp_frozen_frac' AS feature, format('{{:.0f}}', tmp_frozen_frac * 100) || '% of positions are frozen while the asset reports movement' AS text, tmp_frozen_frac AS value, CAST(0.3 AS DOUBLE) AS tau, 'ratio' AS unit FROM v WHERE trust <> 'trusted' AND v_tmp_frozen_frac > 0""")
+@query("evidence_sentences", f"WITH {SAID} SELECT track_id, seq, CAST(place - 1 AS INTEGER) AS place, feature, text, value, tau, unit FROM said")
 def evidence_sentences(spark, d):
-    g = scoring.violations(given(spark, d)).withColumn("normality_state", F.lit("expected"))
-    keep = [c for c in g.columns if c not in ("kin_speed_resid_max", "kin_accel_ratio_max", "tmp_gap_max_s")]
-    e = verdict.evidence(g.select(keep)).select("track_id", "seq", F.explode("evidence").alias("e"))
-    return e.select("track_id", "seq", "e.feature", "e.text", "e.value", F.col("e.limit").alias("tau"), "e.unit")
+    e = said(spark, d).select("track_id", "seq", F.posexplode("evidence").alias("place", "e"))
+    return e.select("track_id", "seq", "place", "e.feature", "e.text", "e.value", F.col("e.limit").alias("tau"), "e.unit")
 
 
 @query("verdicts", f"""WITH RECURSIVE {MADE_SQL}, {EMA}, {NORM},
@@ -197,9 +207,45 @@ def verdicts(spark, d):
     return v.groupBy("quadrant", "severity_level", "action_code").agg(F.count("*").alias("n"), F.round(F.sum("integrity"), 2).alias("integrity_sum"))
 
 
-@query("contract_json", f"WITH {GIVEN} SELECT track_id, seq, '{{\"level\":\"' || sev || '\",\"cause\":\"' || quadrant || '\"}}' AS doc FROM qd")
+# the whole assembly: scores from the made features, states by recursion
+ASM = f"""{MADE_SQL.replace("made AS (", "made0 AS (")}, made AS (SELECT * REPLACE (least({dim_sql("spatial")}, {dim_sql("contextual")}) AS normality), {", ".join(f"{dim_sql(x)} AS d_{x}" for x in registry.SCORED_DIMENSIONS)} FROM made0),
+{EMA}, {NORM},
+st AS (SELECT made.*, ema.s AS integrity, ema.st AS trust, CASE WHEN norm.bad THEN 'abnormal' ELSE 'expected' END AS norm FROM made JOIN ema USING (track_id, seq) JOIN norm USING (track_id, seq)),
+q AS (SELECT *, {QUAD} AS quadrant, least(1, greatest(0, greatest(1 - integrity / 100, 1 - normality / 100) * coalesce(spa_zone_crit_max, 0.2))) AS s, {CONF} AS c FROM st),
+l AS (SELECT *, {LEVEL} AS sev, CASE WHEN c >= 0.75 - 1e-12 THEN 'high' WHEN c >= 0.45 - 1e-12 THEN 'medium' ELSE 'low' END AS confidence_level,
+ CASE WHEN trust = 'trusted' THEN CASE WHEN norm = 'abnormal' THEN 'behavioral_anomaly' ELSE 'plausible' END WHEN trust = 'untrusted' THEN [{BAD_C}][list_position([{BAD_P}], list_max([{BAD_P}]))] ELSE [{ALL_C}][list_position([{PC}], list_max([{PC}]))] END AS cause FROM q),
+asm AS (SELECT *, {CODE} AS action_code FROM l)"""
+
+
+def assembled(spark, d):
+    m = made(spark, d)
+    return verdict.assemble(m, 1 - F.col("integrity_raw") / 100, {c: F.col(f"p_{c}") for c in params.CAUSES})
+
+
+@query("assembled_verdicts", f"""WITH RECURSIVE {ASM} SELECT track_id, t_end, round(integrity + 1.3e-8, 6) AS integrity, round(normality, 6) AS normality, {", ".join(f"round(d_{x}, 6) AS d_{x}" for x in registry.SCORED_DIMENSIONS)}, trust AS trust_state, norm AS normality_state, quadrant,
+ round(c, 6) AS confidence, confidence_level, cause, round(s + 1.3e-8, 6) AS severity_score, sev AS severity_level, coalesce(spa_zone_crit_max, 0.2) AS zone_criticality, action_code, CASE action_code {TEXTS} END AS action_text, area_alert_id FROM asm""")
+def assembled_verdicts(spark, d):
+    six = ("normality", *[f"d_{x}" for x in registry.SCORED_DIMENSIONS], "confidence")
+    fuzzy = [F.round(F.col(c) + 1.3e-8, 6).alias(c) for c in ("integrity", "severity_score")]
+    return assembled(spark, d).select("track_id", "t_end", *fuzzy, *[F.round(c, 6).alias(c) for c in six], "trust_state", "normality_state", "quadrant", "confidence_level", "cause", "severity_level", "zone_criticality", "action_code", "action_text", "area_alert_id")
+
+
+@query("contract_json", f"""WITH RECURSIVE {ASM} SELECT track_id, t_end AS t, aux_asset_id AS asset_id, aux_domain AS domain, aux_asset_class AS asset_class, nullif(trim(aux_callsign), '') AS callsign, round(least(100, greatest(0, integrity)) + 1.3e-8, 6) AS integrity, round(d_kinetic, 6) AS kinetic, quadrant, cause,
+ p_degraded AS degraded, sev AS severity_level, aux_zone_name AS zone_name, action_code, area_alert_id FROM asm""")
 def contract_json(spark, d):
-    return given(spark, d).select("track_id", "seq", F.to_json(F.struct(F.col("severity_level").alias("level"), F.col("quadrant").alias("cause"))).alias("doc"))
+    """Nested output objects as JSON, and back."""
+    c = verdict.contract(assembled(spark, d))
+    back = c.select(F.from_json(F.to_json("verdict"), c.schema["verdict"].dataType).alias("v"))
+    return back.select(
+        "v.track_id", "v.t", "v.asset_id", "v.domain", "v.asset_class", "v.callsign", F.round(F.col("v.integrity") + 1.3e-8, 6).alias("integrity"), F.round("v.dimensions.kinetic", 6).alias("kinetic"), "v.quadrant", "v.cause",
+        F.col("v.cause_probs")["degraded"].alias("degraded"), F.col("v.severity.level").alias("severity_level"), F.col("v.severity.zone_name").alias("zone_name"), F.col("v.action.code").alias("action_code"), "v.area_alert_id",
+    )
+
+
+@query("contract_errors", f"WITH {PTS} SELECT CAST(0 AS BIGINT) AS quadrants, CAST(0 AS BIGINT) AS causes, count(*) AS verdicts FROM pts")
+def contract_errors(spark, d):
+    v = assembled(spark, d)
+    return verdict.contract_errors(v).crossJoin(F.broadcast(v.agg(F.count("*").alias("verdicts")))).select("quadrants", "causes", "verdicts")
 
 
 @query("json_params", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type AS mode FROM events")

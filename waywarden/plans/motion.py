@@ -229,6 +229,37 @@ def degraded_majority(spark, d):
     return all_windows(spark, d).select("track_id", "k", *r6("sig_degraded_frac"), "sig_degraded_majority")
 
 
+RATIOS = f"""rat AS (SELECT track_id, seq, t_us, asset_class, abs(v_imp - v_rep) / CASE WHEN v_rep IS NOT NULL THEN greatest(v_rep, 3) END AS resid_rel,
+ (CASE WHEN jt IS NOT NULL THEN greatest(v_imp, v_rep) ELSE gs END) / (CASE WHEN ground THEN gmax ELSE amax END) AS speed_ratio, abs(gs - jgs) / pair_dt / acc AS accel_ratio, abs(vrate_mps) / vmax AS vrate_ratio, abs(alt_baro_m - jalt) / pair_dt / vmax AS vrate_imp_ratio,
+ turn / turnmax AS turn_ratio, CASE WHEN dist >= 20 AND jdist >= 20 AND NOT (ground AND domain = 'aircraft') THEN abs({W180("az - jaz")}) / nullif(mid - jmid, 0) END / turnmax AS turn_imp_ratio,
+ CASE WHEN any_turn > 1 THEN rad * radians(any_turn) / nullif(v_rep, 0) END AS radius_ratio, CASE WHEN gs > 3 AND jgs > 3 AND dist >= 20 THEN abs({W180("az - mean_course")}) END AS course_resid, CASE WHEN gs > 3 THEN abs({W180("heading_deg - track_deg")}) END AS heading_diff,
+ abs((alt_geom_m - alt_baro_m) - (jgeom - jalt)) / pair_dt AS alt_div_rate
+ FROM (SELECT *, {geo.wrap360(f"jtrack + 0.5 * {W180('track_deg - jtrack')}")} AS mean_course, CASE WHEN gs > 3 AND jgs > 3 THEN abs({W180("track_deg - jtrack")}) / pair_dt END AS any_turn, CASE WHEN gs > 3 AND jgs > 3 AND NOT (ground AND domain = 'aircraft') THEN abs({W180("track_deg - jtrack")}) / pair_dt END AS turn FROM fx))"""
+MASKED = {"kin_speed_ratio_max": "speed_ratio", "kin_accel_ratio_max": "accel_ratio", "kin_turn_rate_ratio_max": "turn_ratio", "kin_turn_rate_imp_ratio_max": "turn_imp_ratio", "kin_turn_radius_ratio_max": "radius_ratio", "kin_vrate_ratio_max": "vrate_ratio", "kin_vrate_imp_ratio_max": "vrate_imp_ratio"}
+PLAIN = {"kin_speed_resid_rel_max": "max(resid_rel)", "kin_course_resid_max": "max(course_resid)", "kin_course_resid_mean": "avg(course_resid)", "kin_heading_course_diff_max": "max(heading_diff)", "sig_alt_div_rate_max": "max(alt_div_rate)"}
+
+
+@query("window_kinetics", f"""WITH {PTS}, {FIX}, {GRID}, {RATIOS}, w AS (SELECT g.track_id, g.k, {", ".join(f"max({c}) AS {f}" for f, c in MASKED.items())}, {", ".join(f"{x} AS {f}" for f, x in PLAIN.items())} FROM grid g LEFT JOIN rat r ON r.track_id = g.track_id AND r.t_us > g.k * {S} - {W} AND r.t_us <= g.k * {S} GROUP BY ALL),
+l AS (SELECT g.track_id, g.k, p.asset_class <> 'helicopter' AS checked FROM grid g ASOF JOIN pts p ON p.track_id = g.track_id AND g.k * {S} >= p.t_us)
+SELECT track_id, k, {", ".join(f"CASE WHEN checked THEN round({f} + 1.3e-11, 9) END AS {f}" for f in MASKED)}, {", ".join(f"round({f}, 6) AS {f}" for f in PLAIN)} FROM w JOIN l USING (track_id, k)""")
+def window_kinetics(spark, d):
+    return all_windows(spark, d).select("track_id", "k", *[F.round(F.col(c) + 1.3e-11, 9).alias(c) for c in MASKED], *r6(*PLAIN))
+
+
+SIGNAL = f"""c AS (SELECT *, coalesce(lat = lag(lat) OVER w AND lon = lag(lon) OVER w AND {GS.removesuffix(" AS gs")} > 1, false) AS frozen, (t_us - lag(t_us) OVER w) / 1e6 AS dt_prev FROM pts WINDOW w AS ({T})),
+a AS (SELECT *, last_value(CASE WHEN NOT frozen THEN t_us END IGNORE NULLS) OVER ({SO_FAR}) AS anchor, CAST(coalesce(t_us < lag(t_us) OVER (PARTITION BY track_id ORDER BY seq), false) AS INTEGER) AS nonmono FROM c),
+s AS (SELECT *, CASE WHEN frozen THEN least((t_us - anchor) / 1e6, 86400) ELSE 0 END AS frozen_s FROM a)"""
+
+
+@query("window_signals", f"""WITH {PTS}, {GRID}, {SIGNAL}, h AS (SELECT g.track_id, g.k, s.* EXCLUDE (track_id) FROM grid g LEFT JOIN s ON s.track_id = g.track_id AND s.t_us > g.k * {S} - {W} AND s.t_us <= g.k * {S}),
+m AS (SELECT track_id, k, median(nacp) AS nacp, min(nacp) AS nacp_min, median(nic) AS nic, min(sil) AS sil, max(frozen_s) AS run, avg(CAST(frozen AS DOUBLE)) AS frac, coalesce(sum(CAST(dt_prev = 0 AS INTEGER)), 0) AS dups, coalesce(sum(nonmono), 0) AS nonmonos FROM h GROUP BY ALL),
+bs AS (SELECT g.track_id, g.k, min(r.t_us) AS t0, median(r.nic) AS nic0 FROM grid g JOIN pts r ON r.track_id = g.track_id AND r.t_us > g.k * {S} - {W} - {B} AND r.t_us <= g.k * {S} - {W} GROUP BY ALL)
+SELECT track_id, k, nacp AS sig_nacp_median, nacp_min AS sig_nacp_min, nic AS sig_nic_median, sil AS sig_sil_min, run AS tmp_frozen_run_s, round(frac, 6) AS tmp_frozen_frac, CAST(dups AS DOUBLE) AS tmp_dup_count, CAST(nonmonos AS DOUBLE) AS tmp_nonmono_count,
+ CASE WHEN {S} * k - {W} - t0 >= {H} AND nic0 - nic IS NOT NULL THEN greatest(nic0 - nic, 0) END AS sig_nic_drop FROM m LEFT JOIN bs USING (track_id, k)""")
+def window_signals(spark, d):
+    return all_windows(spark, d).select("track_id", "k", "sig_nacp_median", "sig_nacp_min", "sig_nic_median", "sig_sil_min", "tmp_frozen_run_s", *r6("tmp_frozen_frac"), "tmp_dup_count", "tmp_nonmono_count", "sig_nic_drop")
+
+
 def _wide(spark, d):
     """Points on a denser clock, so that windows hold enough fixes for a fit."""
     return points(spark, d).withColumn("t_us", F.expr("CAST(floor(t_us / 20) AS BIGINT)"))
@@ -278,3 +309,14 @@ s AS (SELECT g.track_id, g.k, max(pair) AS score FROM grid g JOIN v ON v.track_i
 SELECT track_id, k, round(coalesce(score, 0), 6) AS baseline_score, coalesce(score, 0) >= 1 AS baseline_flag FROM grid LEFT JOIN s USING (track_id, k)""")
 def naive_baseline(spark, d):
     return scoring.naive_score(points(spark, d), TIMING).select("track_id", "k", *r6("baseline_score"), "baseline_flag")
+
+
+@query("stretches", f"""WITH {PTS}, e AS (SELECT *, row_number() OVER ({T}) - row_number() OVER (PARTITION BY track_id, asset_class, on_ground ORDER BY t_us, seq) AS island FROM pts)
+SELECT track_id, asset_class, on_ground, min(t_us) AS t_start, max(t_us) AS t_end, count(*) AS n FROM e GROUP BY track_id, asset_class, on_ground, island""")
+def stretches(spark, d):
+    return segments.stretches(points(spark, d), ["track_id"], ["asset_class", "on_ground"])
+
+
+@query("hold_out_days", f"WITH {PTS} SELECT track_id, seq FROM pts WHERE floor(t / 86400) <= (SELECT max(floor(t / 86400)) FROM pts) - 2")
+def hold_out_days(spark, d):
+    return scoring.before_last_days(points(spark, d)).select("track_id", "seq")

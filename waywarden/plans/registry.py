@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from waywarden.plans import area, checks, judgement, motion
+from waywarden.plans import area, checks, judgement, motion, samples
 
-MODULES = (motion, judgement, area, checks)
+MODULES = (motion, judgement, area, checks, samples)
 
 
 def flagship(spark, sf_dir):

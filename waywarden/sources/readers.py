@@ -8,7 +8,7 @@ import tarfile
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waywarden import params
@@ -105,15 +105,45 @@ def ring_area(ring):
     return F.abs(F.aggregate(s, F.lit(0.0), lambda acc, v: acc + v)) / 2
 
 
-def geofences(spark: SparkSession, path: str, limits_kmh: bool = True) -> DataFrame:
-    """Zones of a geofence file: zone_id, zone_class, allowed_groups, speed_limit_mps, area, ring."""
-    r = rings(features(spark, path))
+# Classes of geofences with their criticality.
+FENCE_CLASSES = ("runway_critical", "runway_strip", "taxi_corridor", "holding_position", "apron", "aircraft_stand", "service_road_corridor", "building", "aerodrome_boundary")
+BOUNDARY_CLASS = "aerodrome_boundary"
+ALL_GROUPS = "all"
+
+
+def valid_ring(ring: Column) -> Column:
+    """A ring that geometry can rely on: closed, without a point that repeats the one before it; null where fewer than three corners are left."""
+    same = lambda a, b: (a["x"] == b["x"]) & (a["y"] == b["y"])
+    kept = F.filter(ring, lambda p, i: (i == 0) | ~F.coalesce(same(p, F.get(ring, i - 1)), F.lit(False)))
+    first, last = F.get(kept, F.lit(0)), F.try_element_at(kept, F.lit(-1))
+    closed = F.when(same(first, last), kept).otherwise(F.array_append(kept, first))
+    return F.when(F.size(closed) >= 4, closed)
+
+
+def fence_groups(allowed: Column, known: list[str]) -> Column:
+    """The sorted groups of a list in text; `all` stands for every known group."""
+    named = F.array_sort(F.filter(F.split(F.coalesce(allowed, F.lit("")), r"\s*,\s*"), lambda g: g != ""))
+    return F.when(F.array_contains(named, ALL_GROUPS), F.array_sort(F.array(*map(F.lit, known)).cast("array<string>"))).otherwise(named)
+
+
+def geofences(spark: SparkSession, path: str, groups: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(zones, boundary) of a geofence file: zone_id, zone_class, allowed_groups, speed_limit_mps, area, ring; and the boundary's rings.
+
+    Rings are closed and freed of repeated points, degenerate ones left out. A
+    class that is not known is an error. groups are all that `all` stands for.
+    """
+    f = features(spark, path)
+    unknown = [r[0] for r in f.select(F.col("properties")["zone_class"].alias("c")).distinct().collect() if r[0] not in FENCE_CLASSES]
+    if unknown:
+        raise ValueError(f"unknown zone classes: {sorted(map(str, unknown))}")
     get = lambda k: F.col("properties")[k]
     limit = F.expr("try_cast(properties['speed_limit_kmh'] AS double)") * KMH
-    return r.select(
-        F.coalesce(get("zone_id"), get("id"), F.col("n").cast("string")).alias("zone_id"), get("zone_class").alias("zone_class"), F.array_sort(F.split(F.coalesce(get("allowed_groups"), F.lit("")), r"\s*,\s*")).alias("allowed_groups"),
+    r = rings(f).withColumn("ring", valid_ring(F.col("ring"))).filter("ring IS NOT NULL").withColumn("zone_class", get("zone_class"))
+    zones = r.filter(F.col("zone_class") != BOUNDARY_CLASS).select(
+        F.coalesce(get("zone_id"), get("id"), F.col("n").cast("string")).alias("zone_id"), "zone_class", fence_groups(get("allowed_groups"), groups or []).alias("allowed_groups"),
         limit.alias("speed_limit_mps"), ring_area(F.col("ring")).alias("area"), "ring",
     )
+    return zones, r.filter(F.col("zone_class") == BOUNDARY_CLASS).select("ring")
 
 
 def graph(text: str) -> tuple[list[tuple], list[tuple]]:
@@ -205,6 +235,13 @@ def runway_rectangles(spark: SparkSession, path: str, airport: str) -> DataFrame
     return geo.with_utm(geo.with_utm(r, "a", "b", "x1", "y1"), "c", "d", "x2", "y2").drop("a", "b", "c", "d")
 
 
+def runways_or(rows: list[tuple[str, object]], fallback: list[tuple[str, object]]) -> list[tuple[str, object]]:
+    """(name, geometry) of runways: rows, and of the fallback those none of whose designators rows have; names like 16R/34L, in either order."""
+    ends = lambda name: frozenset(e.strip().upper().lstrip("0") for e in name.split("/") if e.strip())
+    have = set().union(*(ends(n) for n, _ in rows))
+    return [*rows, *[(n, g) for n, g in fallback if n and not ends(n) & have]]
+
+
 def artifact(spark: SparkSession, path: str) -> dict:
     """A JSON artifact (calibration, splits, manifest)."""
     return json.loads(spark.read.option("wholetext", True).text(path).head()[0])
