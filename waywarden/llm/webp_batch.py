@@ -204,6 +204,8 @@ AT_HEAD, AT_PREDICTOR, AT_CROSS, AT_PALETTE, AT_END, AT_MAIN = 0, 1, 2, 3, 11, 1
 #: Transforms with one value for all tiles have the largest tiles.
 TILE = 9
 MODES = (0, 1, 2)
+#: Every so many pixels are looked at when a mode is chosen; all are written.
+LOOK = 5
 
 
 def _fields(n: int, fields: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -310,9 +312,9 @@ def _encode(images: list[np.ndarray]) -> list[bytes]:
         c[:, 0] -= c[:, 1]
         c[:, 2] -= c[:, 1]
         near = _neighbours(c, local, own, width[ids])
-        made = [_residual(c, m, *near) for m in MODES]
-        best = np.argmin([_cost(r, local, len(ids)) for r in made], axis=0)
-        c = np.choose(best[local][:, None], made)
+        some = slice(None, None, LOOK)
+        best = np.argmin([_cost(_residual(c[some], m, *(x[some] for x in near)), local[some], len(ids)) for m in MODES], axis=0)
+        c = _residual(c, np.array(MODES)[best][local], *near)
         b, g, r = (_signed(np.ascontiguousarray(c[:, k])) for k in range(3))
         to_red = _fit(r, g, local, len(ids))
         to_blue = _fit(b, g, local, len(ids))
@@ -686,7 +688,8 @@ def _pixels(s: _Streams, width: np.ndarray, count: np.ndarray, cache_bits: np.nd
     word = s.word
     eights = (16, 0, 24)
     for i, k in enumerate(steps):
-        if k < FEW:
+        # one image after the other, from the front, where that is less work than to go on in step
+        if k < FEW and (int(count[0]) - i) * FEW > int(count[:k].sum()):
             s.bad[:k] = True
             break
         busy = left[:k] > 0
