@@ -76,24 +76,27 @@ def test_expected_counts_match_plain_forward_backward():
     rng = np.random.default_rng(3)
     k, c = 3, 7
     m = hmm.Model({}, rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(c), k).T)
-    docs = [rng.integers(0, c, n) for n in (1, 2, 63, 64, 65, 200, 5)]
+    docs = [rng.integers(0, c, n) for n in (1, 2, 63, 64, 65, 200, 5, 255, 256, 257, 511, 513, 1500)]
     got = np.zeros(k), np.zeros((k, k)), np.zeros((c, k))
     like = hmm._Segments(np.concatenate(docs), np.array(list(map(len, docs)))).expect(m, got)
     want, total = (np.zeros(k), np.zeros((k, k)), np.zeros((c, k))), 0.0
     for d in docs:
         a = [m.start * m.emit[d[0]]]
-        for x in d[1:]:
+        for x in d[1:]:  # each divided by its sum, as 1500 tokens' likelihood is no number
+            total += np.log(a[-1].sum())
+            a[-1] = a[-1] / a[-1].sum()
             a.append(a[-1] @ m.move * m.emit[x])
+        total += np.log(a[-1].sum())
         b = [np.ones(k)]
         for x in d[:0:-1]:
-            b.insert(0, m.move @ (m.emit[x] * b[0]))
-        p = a[-1].sum()
-        total += np.log(p)
-        want[0][:] += a[0] * b[0] / p
+            now = m.move @ (m.emit[x] * b[0])
+            b.insert(0, now / now.sum())
+        want[0][:] += a[0] * b[0] / (a[0] * b[0]).sum()
         for t, x in enumerate(d):
-            want[2][x] += a[t] * b[t] / p
+            want[2][x] += a[t] * b[t] / (a[t] * b[t]).sum()
             if t:
-                want[1][:] += np.outer(a[t - 1], m.emit[x] * b[t]) * m.move / p
+                flow = np.outer(a[t - 1], m.emit[x] * b[t]) * m.move
+                want[1][:] += flow / flow.sum()
     assert np.isclose(like, total) and all(np.allclose(g, w) for g, w in zip(got, want, strict=True))
 
 

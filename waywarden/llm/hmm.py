@@ -10,13 +10,15 @@ small, while the counts it is combined with cover the whole vocabulary.
 1. Texts are tokenised once, in blocks of documents: a block has its own list
    of words and its tokens as numbers into it. Blocks are written.
 2. Word counts of the training documents are summed over the blocks.
-3. Each Baum-Welch step maps the blocks: expected starts, transitions and
+3. Blocks get the counts of their own words by a join on the word; their tokens
+   become classes, and the sums that need counts are taken.
+4. Each Baum-Welch step maps the blocks: expected starts, transitions and
    emissions are added up within a partition, then across partitions.
-4. Blocks get the counts of their own words by a join on the word, and each
-   document its likelihood by the scaled forward recursion.
+5. Each document gets its likelihood by the scaled forward recursion.
 
 The recursions run over many segments at once: transfer matrices of segments
-first, then the chain of segments of each document, then inside segments.
+first, where a document has several, then the chain of segments of each
+document, then inside segments.
 Scales are kept as logarithms, so a text of any length has an exact
 likelihood (up to rounding).
 """
@@ -33,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waywarden.llm.common import arrow_rows, documents, written
+from waywarden.llm.common import arrow_rows, discard, documents, written
 
 STATES = 4
 #: Baum-Welch ends when a step adds less than GAIN nats a token, and after STEPS at the latest.
@@ -43,7 +45,7 @@ OWN, OWN_GROWTH = 4096, 16
 SHARED, SHARED_GROWTH = 1024, 4
 #: Places of a model's parameters that are summed in one row.
 CHUNK = 1 << 13
-SEGMENT = 64
+SEGMENT = 256
 PART = 1 << 18
 BLOCK_BYTES = 8 << 20
 FOLD, HELD_OUT = 7, 2
@@ -130,10 +132,6 @@ class Model:
     move: np.ndarray
     emit: np.ndarray
 
-    def classes(self, words: list[bytes]) -> np.ndarray:
-        own, first, shared = self.own, len(self.own), len(self.emit) - len(self.own)
-        return np.fromiter((own[w] if w in own else first + zlib.crc32(w) % shared for w in words), np.int64, len(words))
-
 
 def class_numbers(vocabulary: int) -> tuple[int, int]:
     """(words with a class of their own, shared classes) for a vocabulary: both grow with it, as a model that every task holds can."""
@@ -151,44 +149,69 @@ def first_model(own: list[bytes], class_counts: np.ndarray, states: int = STATES
     return Model({w: i for i, w in enumerate(own)}, np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
 
+class _Steps:
+    """Segments, longest first, token by token: alive[t] of them have a token t, and steps[t] are those tokens' classes."""
+
+    def __init__(self, cls: np.ndarray, start: np.ndarray, size: np.ndarray):
+        most = int(size[0]) if len(size) else 0
+        self.alive = [int(a) for a in np.searchsorted(-size, -np.arange(most), side="left")]
+        self.steps = [cls[start[:a] + t] for t, a in enumerate(self.alive)]
+
+
 class _Segments:
-    """A block's documents cut into segments of up to SEGMENT tokens, longest first, with the chain of each document.
+    """A block's documents cut into segments of up to SEGMENT tokens, with the chain of each document.
 
-    Arrays have the states first and the segments last, so that each step works
-    on long rows.
+    A document's first segment begins with the start distribution, so its
+    recursion is one of vectors; the others need the product of their matrices
+    before it is known what they begin with. Arrays have the states first and
+    the segments last, so that each step works on long rows.
     """
 
     def __init__(self, cls: np.ndarray, lengths: np.ndarray):
-        docs = len(lengths)
-        per = -(-lengths // SEGMENT)
-        doc = np.repeat(np.arange(docs), per)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-        start = np.repeat(np.cumsum(lengths) - lengths, per) + nth * SEGMENT
-        size = np.minimum(SEGMENT, np.repeat(lengths, per) - nth * SEGMENT)
+        self.docs, begin = len(lengths), np.cumsum(lengths) - lengths
+        size = np.minimum(SEGMENT, lengths)
+        self.first_doc = np.argsort(-size, kind="stable")
+        self.first = _Steps(cls, begin[self.first_doc], size[self.first_doc])
+        more = -(-lengths // SEGMENT) - 1
+        doc = np.repeat(np.arange(self.docs), more)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(more) - more, more) + 1
+        size = np.minimum(SEGMENT, lengths[doc] - nth * SEGMENT)
         order = np.argsort(-size, kind="stable")
-        self.docs, self.doc, self.nth = docs, doc[order], nth[order]
-        start, size = start[order], size[order]
-        #: alive[t]: how many segments have a token t; steps[t]: the classes of those tokens
-        self.alive = [int(a) for a in np.searchsorted(-size, -np.arange(SEGMENT), side="left") if a]
-        self.steps = [cls[start[:a] + t] for t, a in enumerate(self.alive)]
-        by_nth = np.argsort(self.nth, kind="stable")
-        cuts = np.searchsorted(self.nth[by_nth], np.arange(int(per.max(initial=0)) + 1))
+        self.doc, nth = doc[order], nth[order]
+        self.rest = _Steps(cls, (begin[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(more) - more, more) + 1) * SEGMENT)[order], size[order])
+        by_nth = np.argsort(nth, kind="stable")
+        cuts = np.searchsorted(nth[by_nth], np.arange(1, int(more.max(initial=0)) + 2))
         self.rounds = [by_nth[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def transfer(self, m: Model) -> tuple[np.ndarray, np.ndarray]:
-        """For each segment the product of move and emission over its tokens, scaled, and the scale's logarithm.
+    def begin(self, m: Model, keep: bool) -> tuple[list, list, np.ndarray, np.ndarray]:
+        """The first segments' state distributions and emissions by token (kept if asked for), the last distribution and the likelihood's logarithm."""
+        emit, step = np.ascontiguousarray(m.emit.T), np.ascontiguousarray(m.move.T)
+        alphas, emitted = [], []
+        state, product, log = np.empty((len(m.start), self.docs)), np.ones(self.docs), np.zeros(self.docs)
+        for t, (a, cls) in enumerate(zip(self.first.alive, self.first.steps, strict=True)):
+            e = emit.take(cls, axis=1)
+            now = e * m.start[:, None] if t == 0 else e * (step @ state[:, :a])
+            s = now.sum(axis=0)
+            now /= s
+            state[:, :a] = now
+            product[:a] *= s
+            if t % 8 == 7:
+                log[:a] += np.log(product[:a])
+                product[:a] = 1.0
+            if keep:
+                alphas.append(now)
+                emitted.append(e)
+        return alphas, emitted, state, log + np.log(product)
 
-        A document's first token is emitted from the start distribution: its
-        segment's matrix has the rows of no move for that token.
-        """
+    def transfer(self, m: Model) -> tuple[np.ndarray, np.ndarray]:
+        """For each other segment the product of move and emission over its tokens, scaled, and the scale's logarithm."""
         k, n = len(m.start), len(self.doc)
         emit, step = np.ascontiguousarray(m.emit.T), np.ascontiguousarray(m.move.T)
         p, log = np.empty((k, k, n)), np.zeros(n)
-        for t, (a, cls) in enumerate(zip(self.alive, self.steps, strict=True)):
+        for t, (a, cls) in enumerate(zip(self.rest.alive, self.rest.steps, strict=True)):
             e = emit.take(cls, axis=1)
             if t == 0:
                 p[:] = m.move[:, :, None]
-                p[:, :, self.nth == 0] = np.eye(k)[:, :, None]
                 p *= e
             else:
                 now = np.matmul(step, p[:, :, :a])
@@ -200,9 +223,10 @@ class _Segments:
                 log[:a] += np.log(s)
         return p, log
 
-    def forward(self, m: Model, p: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The state distribution before each segment, and each document's log likelihood."""
-        state, total = np.repeat(m.start[:, None], self.docs, axis=1), np.zeros(self.docs)
+    def forward(self, m: Model, first: tuple, p: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state distribution before each other segment, and each document's log likelihood."""
+        state, total = np.empty((len(m.start), self.docs)), np.empty(self.docs)
+        state[:, self.first_doc], total[self.first_doc] = first[2], first[3]
         before = np.empty((len(m.start), len(self.doc)))
         for at in self.rounds:
             d = self.doc[at]
@@ -213,48 +237,54 @@ class _Segments:
             total[d] += np.log(s) + log[at]
         return before, total
 
+    def likelihoods(self, m: Model) -> np.ndarray:
+        return self.forward(m, self.begin(m, False), *self.transfer(m))[1]
+
     def expect(self, m: Model, counts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
         """Adds the expected starts, moves and emissions; returns the log likelihood."""
-        k, n = len(m.start), len(self.doc)
-        emit, step = np.ascontiguousarray(m.emit.T), np.ascontiguousarray(m.move.T)
-        p, log = self.transfer(m)
-        before, total = self.forward(m, p, log)
-        behind, state = np.empty((k, n)), np.ones((k, self.docs))
+        first, (p, log) = self.begin(m, True), self.transfer(m)
+        before, total = self.forward(m, first, p, log)
+        behind, state = np.empty((len(m.start), len(self.doc))), np.ones((len(m.start), self.docs))
         for at in reversed(self.rounds):
             d = self.doc[at]
             behind[:, at] = state[:, d]
             now = np.einsum("kln,ln->kn", p[:, :, at], state[:, d])
             state[:, d] = now / now.max(axis=0)
+        self._back(m, counts, self.first, first[0], first[1], state[:, self.first_doc], None)
+        if len(self.doc):
+            emit, step = np.ascontiguousarray(m.emit.T), np.ascontiguousarray(m.move.T)
+            alphas, emitted, alpha = [], [], before
+            for a, cls in zip(self.rest.alive, self.rest.steps, strict=True):
+                emitted.append(emit.take(cls, axis=1))
+                alpha = step @ alpha[:, :a]
+                alpha *= emitted[-1]
+                alpha /= alpha.sum(axis=0)
+                alphas.append(alpha)
+            self._back(m, counts, self.rest, alphas, emitted, behind, before)
+        return float(total.sum())
+
+    @staticmethod
+    def _back(m: Model, counts: tuple, g: _Steps, alphas: list, emitted: list, beta: np.ndarray, before: np.ndarray | None) -> None:
+        """Adds what the backward recursion from beta tells; before is what segments begin with, None for those at a document's start."""
         starts, moves, emits = counts
-        first = self.nth == 0
-        alphas, emitted, alpha = [], [], before
-        for t, (a, cls) in enumerate(zip(self.alive, self.steps, strict=True)):
-            alpha = step @ alpha[:, :a]
-            if t == 0:
-                alpha[:, first] = m.start[:, None]
-            emitted.append(emit.take(cls, axis=1))
-            alpha *= emitted[-1]
-            alpha /= alpha.sum(axis=0)
-            alphas.append(alpha)
-        beta, gammas = behind, []
         for t in range(len(alphas) - 1, -1, -1):
-            a = self.alive[t]
-            gamma = alphas[t] * beta[:, :a]
+            a = g.alive[t]
+            alpha = alphas[t]
+            gamma = alpha * beta[:, :a]
             gamma /= gamma.sum(axis=0)
-            gammas.append(gamma)
+            prior = alphas[t - 1][:, :a] if t else before
+            alphas[t] = gamma
+            if prior is None:
+                starts += gamma.sum(axis=1)
+                break
             out = emitted[t] * beta[:, :a]
             back = m.move @ out
-            prior, flow, meet = (alphas[t - 1][:, :a] if t else before), out, back
-            if t == 0:
-                starts += gamma[:, first].sum(axis=1)
-                prior, flow, meet = prior[:, ~first], out[:, ~first], back[:, ~first]
-            moves += (prior / (prior * meet).sum(axis=0)) @ flow.T * m.move
+            moves += (prior / (prior * back).sum(axis=0)) @ out.T * m.move
             back /= back.max(axis=0)
             beta[:, :a] = back
-        cls, gamma = np.concatenate(self.steps[::-1]), np.concatenate(gammas, axis=1)
-        for j in range(k):
+        cls, gamma = np.concatenate(g.steps), np.concatenate(alphas, axis=1)
+        for j in range(len(emits.T)):
             emits[:, j] += np.bincount(cls, weights=gamma[j], minlength=len(emits))
-        return float(total.sum())
 
 
 def _numpy(batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
@@ -262,17 +292,17 @@ def _numpy(batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
     return batch.column(column).slice(i, 1).flatten().to_numpy(zero_copy_only=False)
 
 
-def _tokens(batch: pa.RecordBatch, i: int) -> np.ndarray:
-    low, high = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u2") for c in ("low", "high"))
-    return low.astype(np.uint32) | high.astype(np.uint32) << 16
-
-
 def _parts(lengths: np.ndarray) -> list[slice]:
     """Ranges of documents with about PART tokens each, so that a block's recursions need little memory at a time."""
     cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // PART)) + 1
     return [slice(a, b) for a, b in zip([0, *cuts], [*cuts, len(lengths)], strict=True) if b > a]
 
 
+def _coded(batch: pa.RecordBatch, i: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of a block's tokens and the lengths of its documents."""
+    return np.frombuffer(batch.column("codes")[i].as_buffer(), code_type(classes)), _numpy(batch, "lengths", i)
+
+
 def _expect(model: Model):
     def run(batches):
         c, k = model.emit.shape
@@ -280,12 +310,11 @@ def _expect(model: Model):
         likelihood, seen = 0.0, 0
         for b in batches:
             for i in range(len(b)):
-                lengths, keep = _numpy(b, "lengths", i), ~_numpy(b, "held_out", i)
-                cls = model.classes(b.column("words").slice(i, 1).flatten().to_pylist()).astype(np.int32)
-                tokens, ends = _tokens(b, i), np.cumsum(lengths)
+                (codes, lengths), keep = _coded(b, i, c), ~_numpy(b, "held_out", i)
+                ends = np.cumsum(lengths)
                 for part in _parts(lengths):
-                    mine, train = tokens[ends[part.start] - lengths[part.start] : ends[part.stop - 1]], keep[part]
-                    mine = cls[mine[np.repeat(train, lengths[part])]]
+                    mine, train = codes[ends[part.start] - lengths[part.start] : ends[part.stop - 1]], keep[part]
+                    mine = mine[np.repeat(train, lengths[part])].astype(np.int32)
                     if len(mine):
                         likelihood += _Segments(mine, lengths[part][train]).expect(model, counts)
                         seen += len(mine)
@@ -315,7 +344,7 @@ def _add(batches):
         yield pa.RecordBatch.from_pylist([{"chunk": chunk, "sums": total.tobytes()}], schema=pa.schema([SUMS.field(0), SUMS.field(2)]))
 
 
-def baum_welch(blocks: DataFrame, model: Model, steps: int = STEPS, gain: float = GAIN) -> tuple[Model, list[float]]:
+def baum_welch(coded: DataFrame, model: Model, steps: int = STEPS, gain: float = GAIN) -> tuple[Model, list[float]]:
     """The model after as many steps as pay, and the log likelihood per token before each.
 
     Each partition adds up its blocks' expected counts; chunks of these are
@@ -325,7 +354,7 @@ def baum_welch(blocks: DataFrame, model: Model, steps: int = STEPS, gain: float
     c, k = model.emit.shape
     trace = []
     for _ in range(steps):
-        part = blocks.select("words", "low", "high", "lengths", "held_out").mapInArrow(_expect(model), "chunk long, part long, sums binary")
+        part = coded.select("codes", "lengths", "held_out").mapInArrow(_expect(model), "chunk long, part long, sums binary")
         sums = part.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(_add, "chunk long, sums binary").collect()
         flat = np.zeros(2 + k + k * k + c * k)
         for r in sums:
@@ -349,35 +378,46 @@ def baum_welch(blocks: DataFrame, model: Model, steps: int = STEPS, gain: float
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(model: Model, total: int, distinct: int, class_count: np.ndarray, class_words: np.ndarray):
+CODED = "doc_ids array<long>, held_out array<boolean>, lengths array<long>, n_known array<long>, base array<double>, inner array<double>, codes binary"
+
+
+def code_type(classes: int) -> str:
+    return "<u2" if classes <= 1 << 16 else "<u4"
+
+
+def _code(own: int, total: int, distinct: int, class_count: np.ndarray, class_words: np.ndarray):
+    def run(block: pa.Table, known: pa.Table) -> pa.Table:
+        b = block.combine_chunks().to_batches()[0]  # a block is a row
+        # every word of the block has a row, whether the corpus knows it or not
+        at = known["pos"].to_numpy()
+        counts, cls = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        counts[at], cls[at] = known["c"].to_numpy(), known["cls"].to_numpy()
+        low, high = (np.frombuffer(b.column(c)[0].as_buffer(), "<u2") for c in ("low", "high"))
+        tokens, lengths = low.astype(np.uint32) | high.astype(np.uint32) << 16, _numpy(b, "lengths", 0)
+        base = np.log10((counts + 1) / (total + distinct + 1))
+        # within a class; a word with a class of its own is certain there
+        inner = np.where(cls < own, 0.0, np.log10((counts + 1) / (class_count[cls] + class_words[cls] + 1)))
+        starts = np.cumsum(lengths) - lengths
+        by_doc = lambda v: np.add.reduceat(v[tokens], starts)
+        columns = [lengths, by_doc((counts > 0).astype(np.int64)), by_doc(base), by_doc(inner)]
+        made = [b.column("doc_ids"), b.column("held_out"), *[pa.array([v]) for v in columns], pa.array([cls.astype(code_type(len(class_count)))[tokens].tobytes()], pa.binary())]
+        return pa.table(made, names=[x.split()[0] for x in CODED.split(", ")])
+
+    return run
+
+
+def _score(model: Model):
     def run(batches):
         for b in batches:
             for i in range(len(b)):
-                # every word of the block has a row, whether the corpus knows it or not
-                at, c, of = (b.column("known").slice(i, 1).flatten().field(f).to_numpy() for f in ("pos", "c", "cls"))
-                known, cls = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-                known[at], cls[at] = c, of
-                tokens, lengths = _tokens(b, i), _numpy(b, "lengths", i)
-                base = np.log10((known + 1) / (total + distinct + 1))
-                # within a class; a word with a class of its own is certain there
-                inner = np.where(cls < len(model.own), 0.0, np.log10((known + 1) / (class_count[cls] + class_words[cls] + 1)))
+                codes, lengths = _coded(b, i, len(model.emit))
                 ends, logs = np.cumsum(lengths), []
                 for part in _parts(lengths):
-                    s = _Segments(cls[tokens[ends[part.start] - lengths[part.start] : ends[part.stop - 1]]], lengths[part])
-                    logs.append(s.forward(model, *s.transfer(model))[1])
-                log = np.concatenate(logs)
-                by_doc = lambda v: np.add.reduceat(v[tokens], ends - lengths)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_ids").slice(i, 1).flatten(),
-                        b.column("held_out").slice(i, 1).flatten(),
-                        pa.array(lengths),
-                        pa.array(by_doc((known > 0).astype(np.int64))),
-                        pa.array(by_doc(base)),
-                        pa.array(by_doc(inner) + log / np.log(10)),
-                    ],
-                    names=[x.split()[0] for x in SCORES.split(", ")],
-                )
+                    mine = codes[ends[part.start] - lengths[part.start] : ends[part.stop - 1]].astype(np.int32)
+                    logs.append(_Segments(mine, lengths[part]).likelihoods(model))
+                flat = lambda c, i=i, b=b: b.column(c).slice(i, 1).flatten()
+                score_ = _numpy(b, "inner", i) + np.concatenate(logs) / np.log(10)
+                yield pa.RecordBatch.from_arrays([flat("doc_ids"), flat("held_out"), pa.array(lengths), flat("n_known"), flat("base"), pa.array(score_)], names=[x.split()[0] for x in SCORES.split(", ")])
 
     return run
 
@@ -409,12 +449,16 @@ def score(df: DataFrame, states: int = STATES, steps: int = STEPS) -> tuple[Data
         class_count[r["cls"]], class_words[r["cls"]] = r["c"], r["n"]
     counts = class_count.copy()
     counts[: len(own)] = [frequent[w] for w in own]
-    with arrow_rows(spark, 1):  # a row is a block
-        model, trace = baum_welch(blocks, first_model(own, counts, states), steps)
+    # a block meets the counts of its own words once; from then on its tokens are classes
     found = spread.select("block", "pos", "word").join(vocab, "word", "left").select("block", "pos", F.coalesce("c", F.lit(0).cast("long")).alias("c"), F.coalesce("cls", shared).alias("cls"))
-    known = found.groupBy("block").agg(F.collect_list(F.struct("pos", "c", "cls")).alias("known"))
-    with arrow_rows(spark, 1):
-        out = written(blocks.drop("counts", "words").join(known, "block").mapInArrow(_score(model, total, distinct, class_count, class_words), SCORES), "scores")
+    code = _code(len(own), total, distinct, class_count, class_words)
+    both = blocks.drop("counts", "words").withColumnRenamed("block", "number").groupBy("number").cogroup(found.groupBy("block"))
+    coded = written(both.applyInArrow(lambda block, known: code(block, known), CODED), "coded")
+    discard(blocks, counted, vocab)
+    with arrow_rows(spark, 1):  # a row is a block
+        model, trace = baum_welch(coded, first_model(own, counts, states), steps)
+        out = written(coded.mapInArrow(_score(model), SCORES), "scores")
+    discard(coded)
     return out.withColumn("train_tokens", F.lit(total).cast("long")), model, trace
 
 
