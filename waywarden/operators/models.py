@@ -136,19 +136,25 @@ class Linear:
 
 
 def piecewise(x: Column, steps: list[tuple[float, float]]) -> Column:
-    """Linear between the steps' points, flat outside."""
-    out = F.lit(steps[-1][1])
-    for (x0, y0), (x1, y1) in reversed(list(zip(steps, steps[1:], strict=False))):
-        out = F.when(x <= x1, y0 + (y1 - y0) * (x - x0) / (x1 - x0) if x1 > x0 else F.lit(y1)).otherwise(out)
-    return F.when(x <= steps[0][0], steps[0][1]).otherwise(out)
+    """Linear between the steps' points, flat outside: a look-up in two lists, however many steps there are."""
+    xs, ys = (F.array(*[F.lit(float(p[i])) for p in steps]) for i in (0, 1))
+    n = len(steps)
+
+    def at(v: Column) -> Column:
+        k = F.size(F.filter(xs, lambda a: a < v))
+        x0, x1, y0, y1 = F.get(xs, k - 1), F.get(xs, k), F.get(ys, k - 1), F.get(ys, k)
+        return F.when(v.isNull(), F.lit(None)).when(k == 0, F.lit(float(steps[0][1]))).when(k == n, F.lit(float(steps[-1][1]))).otherwise(y0 + (y1 - y0) * (v - x0) / (x1 - x0))
+
+    return F.get(F.transform(F.array(x), at), 0)  # an array of one: x is evaluated once
 
 
 def _prepare(df: DataFrame, inputs: list[str]):
+    """Means, scales, and the names of what varies: an input or indicator that is the same in all rows has no weight."""
     registry.assert_no_leakage(inputs)
-    row = df.agg(*[x for c in inputs for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"), F.count_if(F.col(c).isNull()).alias(f"n_{c}"))]).head()
+    row = df.agg(F.count("*").alias("n"), *[x for c in inputs for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"), F.count_if(F.col(c).isNull()).alias(f"n_{c}"))]).head()
     mean = {c: row[f"m_{c}"] or 0.0 for c in inputs}
     scale = {c: row[f"s_{c}"] or 1.0 for c in inputs}
-    names = [*inputs, *[f"missing:{c}" for c in inputs if row[f"n_{c}"]]]
+    names = [*[c for c in inputs if row[f"s_{c}"]], *[f"missing:{c}" for c in inputs if 0 < row[f"n_{c}"] < row["n"]]]
     return mean, scale, names
 
 
