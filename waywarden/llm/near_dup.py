@@ -212,7 +212,9 @@ def link(pairs: DataFrame, signed: DataFrame, texts: DataFrame, rule: Rule) -> D
     # the leader's text comes last: its rows are then neighbours and its set is made once
     with_b = alive.join(text.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
     both = with_b.join(text.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")
-    return written(both.mapInArrow(_verify(rule), "a long, b long"), "links")
+    out = written(both.mapInArrow(_verify(rule), "a long, b long"), "links")
+    discard(alive)
+    return out
 
 
 def _by_bucket(members: DataFrame, *values) -> DataFrame:
@@ -375,6 +377,7 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule()) -> DataFrame:
     ids = members.select("id").distinct()
     texts = written(texts.hint("merge").join(ids, texts["doc_id"] == ids["id"], "left_semi"), "texts")
     comp, links, done, left = None, bound, None, members
+    spent = [bound, members, texts]  # what the result does not read
     for turn in range(LEADER_ROUNDS + 1):
         if turn == 0:
             now = members.withColumn("c", F.col("id"))
@@ -387,13 +390,16 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule()) -> DataFrame:
             if turn == 1:
                 # components only grow, so what is shared with others can only fall: the bound holds for all later turns
                 first = written(now, "open")
-                now = _open(reachable(first, texts, rule))
+                now = _open(held := reachable(first, texts, rule))
+                spent += [first, held]
             now = written(now, "open")
+            spent.append(now)
             left = now.drop("c")
             if now.isEmpty():
                 break
         if turn == LEADER_ROUNDS:
             found = finish(now, reps, texts, rule)
+            spent.append(found)
             links = links.unionByName(found)
             comp = components(links)
             break
@@ -409,15 +415,18 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule()) -> DataFrame:
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
+        spent.append(pairs)
         if pairs.isEmpty():
             continue
         done = pairs if done is None else done.unionByName(pairs)
         found = link(pairs, reps, texts, rule)
+        spent.append(found)
         links = links.unionByName(found)
         comp = components(links)
 
     if comp is None:
         comp = components(links)
+    discard(*spent, reps)
     of_rep = classes.select("key", "rep").join(comp, F.col("rep") == comp["id"], "left").select("key", F.coalesce("component", "rep").alias("rep"))
     out = signed.select("doc_id", "n_shingles", "key").join(of_rep, "key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
