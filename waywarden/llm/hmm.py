@@ -442,7 +442,7 @@ def score(df: DataFrame, states: int = STATES, steps: int = STEPS) -> tuple[Data
     own = sorted(frequent)
     places = spark.createDataFrame([(bytearray(w), i) for i, w in enumerate(own)], "word binary, place int")
     shared = (len(own) + F.crc32("word") % n_shared).cast("int")
-    vocab = written(counted.join(places, "word", "left").select("word", "c", F.coalesce("place", shared).alias("cls")), "vocabulary")
+    vocab = counted.join(places, "word", "left").select("word", "c", F.coalesce("place", shared).alias("cls"))
     per = vocab.filter(F.col("cls") >= len(own)).groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
     class_count, class_words = np.zeros(len(own) + n_shared), np.zeros(len(own) + n_shared)
     for r in per:
@@ -454,7 +454,7 @@ def score(df: DataFrame, states: int = STATES, steps: int = STEPS) -> tuple[Data
     code = _code(len(own), total, distinct, class_count, class_words)
     both = blocks.drop("counts", "words").withColumnRenamed("block", "number").groupBy("number").cogroup(found.groupBy("block"))
     coded = written(both.applyInArrow(lambda block, known: code(block, known), CODED), "coded")
-    discard(blocks, counted, vocab)
+    discard(blocks, counted)
     with arrow_rows(spark, 1):  # a row is a block
         model, trace = baum_welch(coded, first_model(own, counts, states), steps)
         out = written(coded.mapInArrow(_score(model), SCORES), "scores")
