@@ -35,6 +35,15 @@ def test_frozen(spark, base):
     assert rows(s, "frozen_position") == list(range(50, 70)) and not s.position_jump.any()
 
 
+def test_frozen_with_two_fixes_of_one_time_at_the_end(spark, base):
+    p = base.copy()
+    p.loc[50:69, ["lat", "lon"]] = p.loc[49, ["lat", "lon"]].values
+    p.loc[120, "t_us"] = p.loc[119, "t_us"]
+    assert rows(labels_of(spark, p), "frozen_position") == list(range(50, 70))
+    p.loc[120, ["lat", "lon"]] = p.loc[119, ["lat", "lon"]].values
+    assert rows(labels_of(spark, p), "frozen_position") == list(range(50, 70))
+
+
 def test_fix_loss(spark, base):
     s = labels_of(spark, base[(base.seq < 50) | (base.seq >= 90)])
     assert rows(s, "fix_loss") == [49, 90] and np.allclose(s.loc[[49, 90], "gap_s"], 41)

@@ -98,11 +98,12 @@ def frozen(k: DataFrame) -> DataFrame:
     anchor = F.min(F.struct("t_us", "seq", "x", "y", "far_back")).over(of)
     k = k.withColumns({"_a": anchor, "_end": F.max("t_us").over(of), "_gs": F.max(F.when(c("_same"), c("gs_mps"))).over(of), "_n": F.sum(c("_same").cast("long")).over(of)})
     nxt = F.first(F.struct("t_us", "x", "y", "far_ahead")).over(w.rowsBetween(1, 1))
-    k = k.withColumn("_b", F.last(F.when(c("t_us") == c("_end"), nxt), ignorenulls=True).over(of.orderBy("t_us", "seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    k = k.withColumn("_b", F.last(nxt).over(of.orderBy("t_us", "seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     dur = (c("_end") - c("_a.t_us")) / 1e6
     before = F.hypot(c("_a.x") - c("_a.far_back.x"), c("_a.y") - c("_a.far_back.y")) / ((c("_a.t_us") - c("_a.far_back.t_us")) / 1e6)
     to = F.coalesce(F.col("_b.far_ahead"), F.when(c("_b").isNotNull(), F.struct("_b.t_us", F.lit(0).cast("long").alias("seq"), "_b.x", "_b.y")))
-    after = F.hypot(to["x"] - c("_a.x"), to["y"] - c("_a.y")) / ((to["t_us"] - c("_a.t_us")) / 1e6)
+    # a fix of the anchor's own time tells no speed
+    after = F.try_divide(F.hypot(to["x"] - c("_a.x"), to["y"] - c("_a.y")), (to["t_us"] - c("_a.t_us")) / 1e6)
     k = k.withColumns({"_long": (c("_n") > 0) & (dur >= params.FROZEN_MIN_S), "_moving": F.greatest("_gs", before, after), "_dur": dur})
     k = k.withColumns({"frozen_position": c("_same") & c("_long") & F.coalesce(c("_moving") >= params.MOVING_MPS, F.lit(False))})
     was_frozen = F.lag(c("_long") & c("_same")).over(w)
