@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -185,6 +187,34 @@ def test_too_few_and_noisy_cell(spark):
     assert fleet.cell_counts(fleet.presence(w), baseline=noisy).filter("flagged").count() == 0
 
 
+def test_leaving_out_takes_a_tail_for_a_cell_not_for_a_track(spark):
+    from pyspark.sql import functions as F
+
+    n = 12_000
+    w = windows(spark, {"t": ((0, 0), [True])}).drop("track_id", "degraded").crossJoin(spark.range(n).selectExpr("concat('t', id) AS track_id", "id % 5 < 3 AS degraded"))
+    began = time.perf_counter()
+    got = fleet.fleet_features(w).groupBy("flt_deg_count_loo", "flt_n_others", "flt_cell_flagged_loo").agg(F.count("*").alias("n")).collect()
+    # 12,000 tails of 12,000 terms are 144 million steps of a fold
+    assert time.perf_counter() - began < 30
+    assert sorted(tuple(r) for r in got) == [(7199.0, 11999.0, 1.0, 7200), (7200.0, 11999.0, 1.0, 4800)]
+
+
+def test_leaving_out_at_the_edge(spark):
+    # four of seven are degraded: three of six are not most, four of six are
+    w = windows(spark, {f"t{i}": ((0, 0), [i < 4]) for i in range(7)} | {"n": ((1, 0), [False])})
+    f = fleet.fleet_features(w).toPandas().set_index("track_id")
+    assert f.flt_cell_flagged_loo.to_dict() == {f"t{i}": float(i >= 4) for i in range(7)} | {"n": 0.0}
+    assert np.isclose(f.at["n", "flt_nbr_flagged_frac"], 1 / 6) and f.at["t0", "flt_nbr_flagged_frac"] == 0
+
+
+def test_binomial_tail_of_very_many(spark):
+    from pyspark.sql import functions as F
+
+    got = [spark.range(1).select(fleet.binomial_tail(F.lit(50_000), F.lit(k), F.lit(0.02)).alias("v")).head()["v"] for k in (900, 1000, 1100, 30_000)]
+    assert np.allclose(got, [0.9994432795, 0.5043328851, 0.0008626633462, 0], rtol=1e-8)
+    assert spark.range(1).select(fleet.binomial_tail(F.lit(5), F.lit(3), F.lit(1.0)).alias("v")).head()["v"] == 1
+
+
 def test_ring(spark):
     w = windows(spark, {"c": ((0, 0), [False]), "n1": ((1, 0), [False]), "n2": ((-1, 0), [False]), "far": ((9, 0), [False])})
     f = fleet.fleet_features(w).toPandas().set_index("track_id").flt_n_others

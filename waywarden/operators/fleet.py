@@ -73,18 +73,21 @@ def presence(windows: DataFrame, profile: Fleet = APRON) -> DataFrame:
 
 
 def binomial_tail(n: Column, k: Column, p: Column) -> Column:
-    """P(X >= k) of n trials: one run over the terms, added up below k and from k on. 1 for k <= 0."""
-    first = F.pow(1 - p, n)
-    zero = F.struct(first.alias("term"), F.lit(0.0).alias("below"), F.lit(0.0).alias("above"))
+    """P(X >= k) of n trials: one run over the terms, added up below k and from k on. 1 for k <= 0.
+
+    Terms are carried as logarithms: the first of very many trials is less than any double.
+    """
+    odds = F.log(p) - F.log1p(-p)
+    zero = F.struct((n * F.log1p(-p)).alias("ln"), F.lit(0.0).alias("below"), F.lit(0.0).alias("above"))
 
     def step(acc: Column, i: Column) -> Column:
-        # acc.term is P(X = i)
-        next_ = acc["term"] * (n - i) / (i + 1) * p / (1 - p)
-        return F.struct(next_.alias("term"), (acc["below"] + F.when(i < k, acc["term"]).otherwise(0.0)).alias("below"), (acc["above"] + F.when(i + 1 >= k, next_).otherwise(0.0)).alias("above"))
+        # acc.ln is the logarithm of P(X = i)
+        term, low = F.exp(acc["ln"]), i < k
+        return F.struct((acc["ln"] + F.log((n - i) / (i + 1)) + odds).alias("ln"), (acc["below"] + F.when(low, term).otherwise(0.0)).alias("below"), (acc["above"] + F.when(low, 0.0).otherwise(term)).alias("above"))
 
     # the tail's own terms, when it is small, keep the digits that 1 - below would lose
-    inner = F.aggregate(F.sequence(F.lit(0), (n - 1).cast("int")), zero, step, lambda acc: F.when(acc["below"] < 0.5, 1 - acc["below"]).otherwise(acc["above"]))
-    return F.when(k <= 0, 1.0).when(k > n, 0.0).otherwise(inner)
+    inner = F.aggregate(F.sequence(F.lit(0), n.cast("int")), zero, step, lambda acc: F.when(acc["below"] < 0.5, 1 - acc["below"]).otherwise(acc["above"]))
+    return F.when(k > n, 0.0).when((k <= 0) | (p >= 1), 1.0).otherwise(inner)
 
 
 def crowded(n: Column, bad: Column, profile: Fleet = APRON) -> Column:
@@ -133,20 +136,27 @@ def fleet_features(windows: DataFrame, profile: Fleet = APRON, baseline: DataFra
     """
     state = presence(windows, profile)
     counts = cell_counts(state, profile, baseline)
-    sent = ring(counts, profile.ring, True).groupBy("area", "nq", "nr", "k").agg(F.sum("n_tracks").alias("n_disk"), F.sum("n_degraded").alias("bad_disk"))
-    near = ring(counts.filter("flagged"), 1, False).groupBy("area", "nq", "nr", "k").agg(F.count("*").alias("n_flagged"))
-    own = state.filter("own").join(counts.select("area", "cell", "k", "n_tracks", "n_degraded", "baseline"), ["area", "cell", "k"])
-    own = own.join(sent.withColumnsRenamed({"nq": "q", "nr": "r"}), ["area", "q", "r", "k"]).join(near.withColumnsRenamed({"nq": "q", "nr": "r"}), ["area", "q", "r", "k"], "left")
-    bad = F.col("degraded").cast("long")
-    others, bad_others = F.col("n_disk") - 1, F.col("bad_disk") - bad
+    # without a track a cell is one of two, by whether that one was degraded: the tail is taken for cells, not for tracks
+    n, bad, base = (F.col(c) for c in ("n_tracks", "n_degraded", "baseline"))
+    counts = counts.withColumns({"_good": flag(n - 1, bad, base, profile), "_bad": flag(n - 1, bad - 1, base, profile)})
+    dq, dr = F.col("nq") - F.col("q"), F.col("nr") - F.col("r")
+    sent = ring(counts, max(profile.ring, 1), True).withColumn("_far", F.greatest(F.abs(dq), F.abs(dr), F.abs(dq + dr)))
+    near = sent.groupBy("area", "k", F.col("nq").alias("q"), F.col("nr").alias("r")).agg(
+        F.sum(F.when(F.col("_far") <= profile.ring, n)).alias("n_disk"),
+        F.sum(F.when(F.col("_far") <= profile.ring, bad)).alias("bad_disk"),
+        F.count_if((F.col("_far") == 1) & F.col("flagged")).alias("n_flagged"),
+        *[F.max(F.when(F.col("_far") == 0, F.col(c))).alias(c) for c in ("_good", "_bad")],
+    )
+    own = state.filter("own").join(near, ["area", "q", "r", "k"])
+    others, bad_others = F.col("n_disk") - 1, F.col("bad_disk") - F.col("degraded").cast("long")
     return own.select(
         TRACK,
         "k",
         others.cast("double").alias("flt_n_others"),
         F.coalesce(F.try_divide(bad_others, others), F.lit(0.0)).alias("flt_deg_rate_loo"),
         bad_others.cast("double").alias("flt_deg_count_loo"),
-        flag(F.col("n_tracks") - 1, F.col("n_degraded") - bad, F.col("baseline"), profile).cast("double").alias("flt_cell_flagged_loo"),
-        (F.coalesce("n_flagged", F.lit(0)) / 6.0).alias("flt_nbr_flagged_frac"),
+        F.when(F.col("degraded"), F.col("_bad")).otherwise(F.col("_good")).cast("double").alias("flt_cell_flagged_loo"),
+        (F.col("n_flagged") / 6.0).alias("flt_nbr_flagged_frac"),
     )
 
 
