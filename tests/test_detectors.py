@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -104,6 +106,48 @@ def test_behaviour(spark, base):
     assert mine.aircraft_proximity.mean() > 0.9
 
 
+def crowd(rng, n, kind, scale, lat=41.8, lon=12.25):
+    """(track_id, seq, t_us, lat, lon, asset_id, asset_kind, domain, v5, position_wrong) of n assets in two seconds, each on a scale of its own."""
+    size = scale * 10 ** rng.uniform(-4, 0, n)
+    la, lo = lat + size * rng.normal(size=n) / 111_000, lon + size * rng.normal(size=n) / 83_000
+    second = rng.integers(0, 2, n)
+    air = kind == "aircraft_taxi"
+    return [(f"{kind}{i}", i, int(1_000_000 * second[i] + 17 * i), float(la[i]), float(lo[i]), f"{kind[0]}{i}", kind, "aircraft" if air else "vehicle", 5.0, False) for i in range(n)]
+
+
+CROWD = "track_id string, seq long, t_us long, lat double, lon double, asset_id string, asset_kind string, domain string, v5 double, position_wrong boolean"
+
+
+def test_proximity_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows_ = crowd(rng, 300, "bus", 60.0) + crowd(rng, 300, "aircraft_taxi", 60.0)
+    # copies of a place under other names, a vehicle in such a place, one far from all, places that are not known, one that stands
+    a, b = rows_[400], rows_[401]
+    rows_ += [("c", i, a[2], a[3], a[4], f"a{i}", *a[6:]) for i in range(5)] + [("v", i, a[2], a[3], a[4], "v", "bus", "vehicle", 5.0, False) for i in range(3)]
+    rows_ += [("far", 0, a[2], 41.9, 12.4, "far", "bus", "vehicle", 5.0, False), ("null", 0, a[2], None, 12.25, "null", "bus", "vehicle", 5.0, False), ("nil", 0, a[2], 41.8, None, "nil", *a[6:])]
+    rows_ += [("still", 0, b[2], b[3], b[4], "0", "aircraft_taxi", "aircraft", 0.0, False), ("wrong", 0, b[2], b[3], b[4], "0", "aircraft_taxi", "aircraft", 5.0, True), ("w", 0, b[2], b[3], b[4], "w", "bus", "vehicle", 5.0, False)]
+    s = spark.createDataFrame(rows_, CROWD)
+    from pyspark.sql import functions as F
+
+    from waywarden.functions import geo
+
+    v = s.filter("domain = 'vehicle'").selectExpr("track_id", "seq", "t_us div 1000000 AS sec", "lat", "lon")
+    o = s.filter("asset_kind = 'aircraft_taxi' AND v5 >= 1 AND NOT position_wrong").selectExpr("t_us div 1000000 AS sec", "lat AS lat2", "lon AS lon2", "asset_id")
+    pairs = v.join(o, "sec").withColumn("d", F.expr(geo.distance_m("lat", "lon", "lat2", "lon2"))).filter("d <= 20")
+    want = pairs.groupBy("track_id", "seq").agg(F.min(F.struct("d", "asset_id")).alias("n")).select("track_id", "seq", "n.*").collect()
+    got = detectors.proximity(s).collect()
+    assert len(want) > 200 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_proximity_in_a_crowd(spark):
+    rng = np.random.default_rng(6)
+    n = 30_000
+    s = spark.createDataFrame(crowd(rng, n, "bus", 5.0) + crowd(rng, n, "aircraft_taxi", 5.0), CROWD)
+    began = time.perf_counter()
+    # some 450 million pairs share a second
+    assert detectors.proximity(s).count() > 0.99 * n and time.perf_counter() - began < 30
+
+
 def test_trust_attaches_forward_then_back(spark, base):
     v = spark.createDataFrame([("test:a:0", float(base.t[0] + 10), "trusted", 90.0), ("test:a:0", float(base.t[0] + 50), "caution", 60.0)], "track_id string, t_end double, trust_state string, integrity double")
     out = detectors.attach_trust(frame(spark, base), v).toPandas().set_index("seq").sort_index()

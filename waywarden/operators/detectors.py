@@ -204,22 +204,59 @@ def overspeed_limits(s: DataFrame) -> DataFrame:
     return out.withColumn("threshold_mps", F.when(F.col("speed_limit_mps").isNotNull(), F.greatest(F.col("speed_limit_mps") * (1 + params.OVERSPEED_TOL), F.col("bulk")))).drop("bulk")
 
 
-def proximity(s: DataFrame, taxiing: str = "aircraft_taxi", within: float = params.PROXIMITY_M) -> DataFrame:
-    """(track_id, seq, prox_m, other_id): the nearest moving aircraft of a vehicle's second, if it is within some metres.
+def morton(x: Column, y: Column) -> Column:
+    """The place of whole numbers below 2^30 on the curve that halves both in turn."""
+
+    def spread(v: Column) -> Column:
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    return spread(x).bitwiseOR(F.shiftleft(spread(y), 1))
+
 
-    The join is on the second and a tile: an aircraft is sent to each tile that
-    its surroundings touch, at most four, a vehicle to its own.
+def nearest(spots: DataFrame, others: DataFrame, within: float) -> DataFrame:
+    """(sec, lat, lon, n): for each of spots (sec, lat, lon) the nearest of others (sec, lat, lon, other_id) in its second, as (d, other_id).
+
+    The neighbours on a curve through a tile bound the distance. The bound sets
+    the side of the cells that a spot is looked up in, at most four, so crowds
+    of any density meet few of the others. Others stand in the cells of every size.
     """
-    sec, tile, reach = F.floor(F.col("t_us") / params.US), 5 * within, 1.01 * within + 0.5  # the grid's metres are not quite metres
-    at = lambda v: F.floor(v / tile).cast("long")
-    air = metric(s.filter((F.col("asset_kind") == taxiing) & (F.col("v5") >= params.MOVING_MPS) & ~F.col("position_wrong")).select(sec.alias("sec"), "lat", "lon", F.col("asset_id").alias("other_id")))
+    # the grid's metres are not quite metres; cells are halved while they hold the reach of a centimetre on both sides
+    tile, slack = 5 * within, 0.01
+    finest = max(0, int(math.log2(tile / (2 * slack))))
+    at = lambda v, side: F.floor(v / side).cast("long")
+    dist = lambda lat2, lon2: F.expr(geo.distance_m("lat", "lon", lat2, lon2))
+    key = ["sec", "lat", "lon"]
+    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    # of many at one place the first by name is the nearest
+    o = metric(others.filter(placed).groupBy(*key).agg(F.min("other_id").alias("other_id")))
+    p = metric(spots.filter(placed).select(*key).distinct())
+    both = p.select(*key, "x", "y", F.lit(None).cast("struct<lat:double,lon:double>").alias("o")).unionByName(o.select(*key, "x", "y", F.struct("lat", "lon").alias("o")))
+    both = both.withColumns({f"t{v}": at(F.col(v), tile) for v in "xy"})
+    inside = {v: F.floor((F.col(v) / tile - F.col(f"t{v}")) * (1 << 20)).cast("long") for v in "xy"}
+    both = both.withColumn("z", morton(inside["x"], inside["y"]))
+    curve = lambda order: F.last("o", True).over(Window.partitionBy("sec", "tx", "ty").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    p = both.withColumns({"before": curve(F.asc("z")), "after": curve(F.desc("z"))}).filter("o IS NULL")
+    p = p.withColumn("bound", F.least(dist("before.lat", "before.lon"), dist("after.lat", "after.lon"), F.lit(float(within))))
+    reach = F.least(1.01 * F.col("bound") + slack, F.lit(1.01 * within + 0.5))
+    p = p.withColumn("reach", reach).withColumn("level", F.greatest(F.lit(0), F.least(F.lit(finest), F.floor(F.log2(tile / (2 * F.col("reach")))).cast("int"))))
+    p = p.withColumn("side", tile / F.pow(F.lit(2.0), "level"))
+    o = o.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(finest)))).withColumn("side", tile / F.pow(F.lit(2.0), "level"))
+    o = o.select("sec", "level", *[at(F.col(v), F.col("side")).alias(f"c{v}") for v in "xy"], F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "other_id")
     for v in "xy":
-        air = air.withColumn(f"t{v}", F.explode(F.sequence(at(F.col(v) - reach), at(F.col(v) + reach))))
-    air = air.select("sec", "tx", "ty", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "other_id")
-    veh = metric(s.filter((F.col("domain") == "vehicle") & ~F.col("asset_kind").isin(*params.PROXIMITY_EXEMPT)).select(TRACK, "seq", "lat", "lon", sec.alias("sec")))
-    veh = veh.withColumns({f"t{v}": F.coalesce(at(F.col(v)), F.lit(-(1 << 40))) for v in "xy"})
-    d = veh.join(air, ["sec", "tx", "ty"]).withColumn("d", F.expr(geo.distance_m("lat", "lon", "lat2", "lon2"))).filter(F.col("d") <= within)
-    return d.groupBy(TRACK, "seq").agg(F.min(F.struct("d", "other_id")).alias("n")).select(TRACK, "seq", F.col("n.d").alias("prox_m"), F.col("n.other_id").alias("other_id"))
+        p = p.withColumn(f"c{v}", F.explode(F.sequence(at(F.col(v) - F.col("reach"), F.col("side")), at(F.col(v) + F.col("reach"), F.col("side")))))
+    found = p.select(*key, "bound", "level", "cx", "cy").join(o, ["sec", "level", "cx", "cy"]).withColumn("d", dist("lat2", "lon2")).filter("d <= bound")
+    return found.groupBy(*key).agg(F.min(F.struct("d", "other_id")).alias("n"))
+
+
+def proximity(s: DataFrame, taxiing: str = "aircraft_taxi", within: float = params.PROXIMITY_M) -> DataFrame:
+    """(track_id, seq, prox_m, other_id): the nearest moving aircraft of a vehicle's second, if it is within some metres."""
+    sec = F.floor(F.col("t_us") / params.US).alias("sec")
+    air = s.filter((F.col("asset_kind") == taxiing) & (F.col("v5") >= params.MOVING_MPS) & ~F.col("position_wrong")).select(sec, "lat", "lon", F.col("asset_id").alias("other_id"))
+    veh = s.filter((F.col("domain") == "vehicle") & ~F.col("asset_kind").isin(*params.PROXIMITY_EXEMPT)).select(TRACK, "seq", sec, "lat", "lon")
+    d = veh.join(nearest(veh, air, within), ["sec", "lat", "lon"])
+    return d.groupBy(TRACK, "seq").agg(F.min("n").alias("n")).select(TRACK, "seq", F.col("n.d").alias("prox_m"), F.col("n.other_id").alias("other_id"))
 
 
 def _stopping(s: DataFrame, below: float) -> DataFrame:
