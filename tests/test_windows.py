@@ -4,6 +4,7 @@ import pytest
 
 from tests.helpers import T0, frame, shift, track, windows_of
 from waywarden import registry
+from waywarden.operators import fixes
 
 
 @pytest.fixture(scope="module")
@@ -121,3 +122,11 @@ def test_window_labels(spark):
     assert np.isclose(w.at[k + 13, "label_frac"], 6 / 30) and w.at[k + 13, "label_transition"] and w.at[k + 13, "label_cause"] == "plausible"
     assert np.isclose(w.at[k + 14, "label_frac"], 11 / 30) and w.at[k + 14, "label_cause"] == "gnss_anomaly"
     assert w.at[k + 22, "label_frac"] == 1 and w.at[k + 22, "label_event_id"] == "e1"
+
+
+def test_arrivals_of_one_seq_do_not_depend_on_the_order_of_rows(spark):
+    rows = [("t", seq, t) for seq, t in ((0, 10), (1, 30), (1, 20), (1, 40), (2, 35), (3, 35), (3, 36))]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "track_id string, seq long, t_us long").coalesce(1)
+        got = sorted((r["seq"], r["t_us"], r["nonmono"]) for r in fixes.arrivals(df).collect())
+        assert got == [(0, 10, 0), (1, 20, 0), (1, 30, 0), (1, 40, 0), (2, 35, 1), (3, 35, 0), (3, 36, 0)]

@@ -32,8 +32,8 @@ def lagged(timing: Timing, *columns: str | Column, track: str = TRACK) -> Column
 
 
 def arrivals(points: DataFrame) -> DataFrame:
-    """points with nonmono: earlier than the fix that arrived before."""
-    w = Window.partitionBy(TRACK).orderBy("seq")
+    """points with nonmono: earlier than the fix that arrived before. Fixes of one seq count as arrived in order of time."""
+    w = Window.partitionBy(TRACK).orderBy("seq", "t_us")
     return points.withColumn("nonmono", F.coalesce((F.col("t_us") < F.lag("t_us").over(w)).cast("int"), F.lit(0)))
 
 
