@@ -1,13 +1,15 @@
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.data import table, texts
 from waywarden.llm import packing, token_files, tokens
-from waywarden.llm.common import new_path
+from waywarden.llm.common import new_path, written
 
 ODD = ["İstanbul'S foo’s", "a  b\n\n c\t d ", "²³½ x", "é café", "it's DON'T 'll", "　wide space", "x<|endoftext|>y z", "ΣΑΣ ς", "日本語 テスト", "\x1c\x1d a", "ß ẞ Ǆ", "'", " '", "  ", "\n", "a" * 5000, "", "don''t ''s", "_x_ __", "1234 56", "\x85a"]
 
@@ -88,6 +90,37 @@ def test_entry_gives_checksums_of_the_ids(spark, tmp_path):
     assert sorted(got, key=lambda r: r[1]) == want
 
 
+def test_the_manifest_is_one_file(spark):
+    """However many tasks encode, none writes a part of the manifest; bases run on from file to file."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        manifest = token_files.write_files(table(spark).repartition(3), new_path(spark, "t"))
+    finally:
+        spark.conf.set(key, before)
+    rows = sorted(manifest.collect(), key=lambda r: r["part"])
+    assert len(rows) > 1 and [r["base"] for r in rows] == [sum(r["n_tokens"] for r in rows[:i]) for i in range(len(rows))]
+    assert len(manifest.inputFiles()) == 1
+
+
+def test_files_are_dealt_out_evenly(spark):
+    """Files go to tasks in equal shares: as many tasks as cores, more where a task would have more than eight."""
+    folder, names = new_path(spark, "t"), [f"part-{i:06d}" for i in range(43)]
+    Path(folder).mkdir(parents=True)
+    for i, name in enumerate(names):
+        with open(f"{folder}/{name}.arrow", "wb") as data, pa.ipc.new_stream(f"{folder}/{name}.index.arrow", token_files.PLACES) as places:
+            w = token_files._Writer(data, 8, "<u2")
+            w.add(np.array([i, 0], "<u2").tobytes())
+            w.close()
+            places.write_batch(pa.record_batch([[i], [0], [2]], schema=token_files.PLACES))
+    manifest = written(spark.createDataFrame([(name, 2 * i) for i, name in enumerate(names)], "name string, base long").coalesce(1), "manifest")
+    out = token_files.read_files(manifest, folder).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"], np.frombuffer(r["ids"], "<u4").tolist()) for r in out) == [(i, 2 * i, 2, [i, 0]) for i in range(43)]
+    shares = Counter(r["task"] for r in out).values()
+    assert len(shares) == max(spark.sparkContext.defaultParallelism, 6) and max(shares) - min(shares) <= 1
+
+
 def test_no_rows_give_no_files(spark):
     folder = new_path(spark, "t")
     assert token_files.read_files(token_files.write_files(table(spark, []), folder), folder).count() == 0

@@ -27,6 +27,7 @@ from waywarden.llm.tokens import chunks, encoder, path
 
 LENGTH = 1024
 PER_BATCH = 256
+FILES_A_TASK = 8
 END = 0
 FILE = "byte_bpe_50k.json"
 
@@ -119,8 +120,9 @@ def write_files(df: DataFrame, folder: str, file: str | None = None, length: int
     """
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = written(order.mapInArrow(_write(folder, file or path(FILE), length, end), "part long, name string, n_docs long, n_tokens long"), "manifest")
-    return manifest.withColumn("base", F.expr("coalesce(sum(n_tokens) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
+    files = order.mapInArrow(_write(folder, file or path(FILE), length, end), "part long, name string, n_docs long, n_tokens long")
+    # summed before it is written: the manifest is one small file, and tasks that encode write no table (on file: Hadoop starts a chmod for each file)
+    return written(files.withColumn("base", F.expr("coalesce(sum(n_tokens) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")), "manifest")
 
 
 class Sequences:
@@ -201,8 +203,10 @@ def _read(folder: str, digest: bool):
 def read_files(manifest: DataFrame, folder: str, digest: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids) from the files, ids as little-endian 32-bit; with digest their checksum in place of them."""
     last = "ids_crc32 long" if digest else "ids binary"
-    names = manifest.select("name", F.col("base").cast("long").alias("base")).repartition(max(1, manifest.count()), "name")
-    return names.mapInArrow(_read(folder, digest), f"doc_id long, start long, n_tokens long, {last}")
+    names, n = manifest.select("name", F.col("base").cast("long").alias("base")), manifest.count()
+    # dealt out in turn: as many to each task, all cores busy, and no table of tiny parts
+    tasks = max(1, min(n, manifest.sparkSession.sparkContext.defaultParallelism), -(-n // FILES_A_TASK))
+    return names.repartition(tasks).mapInArrow(_read(folder, digest), f"doc_id long, start long, n_tokens long, {last}")
 
 
 def op4(spark, sf_dir):
